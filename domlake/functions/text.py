@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Whitespace and zero-width sets spelled out so that Java and other regex engines agree.
 WS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
@@ -19,7 +21,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -149,17 +151,40 @@ def estimate_tokens(c) -> Column:
 
 def contains_any(c, parts) -> Column:
     """True when the column contains one of a short fixed list of substrings."""
-    c = _col(c)
-    test = F.lit(False)
-    for part in parts:
-        test = test | F.contains(c, F.lit(part))
-    return F.coalesce(test, F.lit(False))
+    pattern = "|".join(re.escape(p) for p in parts)
+    return F.coalesce(_col(c).rlike(pattern), F.lit(False))
+
+
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(table: dict) -> Column:
+    """A small table as one map literal; built from SQL text because thousands of column objects
+    would take longer to create than the query takes to run."""
+    show = lambda v: sql_text(v) if isinstance(v, str) else f"{v!r}D" if isinstance(
+        v, float) else repr(v)
+    return F.expr("map(" + ", ".join(show(x) for kv in table.items() for x in kv) + ")")
+
+
+def literal_rows(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    """A small table as one array-of-structs literal."""
+    show = lambda v: sql_text(v) if isinstance(v, str) else f"{v!r}D" if isinstance(
+        v, float) else repr(v)
+    items = ("named_struct(" + ", ".join(f"'{n}', {show(v)}" for n, v in zip(names, row)) + ")"
+             for row in rows)
+    return F.expr("array(" + ", ".join(items) + ")")
 
 
 def lookup(c, table: dict) -> Column:
     """Value of a small literal table, null when the key is missing."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), _col(c))
+    return F.try_element_at(literal_map(table), _col(c))
+
+
+def is_in(c, values: list[str]) -> Column:
+    """Membership in a fixed list, with a single literal."""
+    return F.array_contains(F.expr("array(" + ", ".join(map(sql_text, values)) + ")"), _col(c))
 
 
 def blank_to_null(c) -> Column:

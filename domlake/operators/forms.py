@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.privacy import mask_runtime_value
-from ..functions.text import blank_to_null, contains_any, lookup, trim_ws
+from ..functions.text import blank_to_null, contains_any, literal_rows, lookup, trim_ws
 
 CELL = 256
 MAX_CELLS = 4096
@@ -145,23 +145,18 @@ def form_confidence(signals) -> Column:
     return F.least(F.lit(1.0), total)
 
 
-def intent_scores(text) -> Column:
-    """Array of (score, rank, intent), one entry per intent; rank prefers earlier intents."""
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    out = []
-    for i, (intent, words) in enumerate(rules.INTENT_KEYWORDS.items()):
-        score = F.lit(0.0)
-        for word, weight in words:
-            score = score + F.when(F.contains(t, F.lit(word)), float(weight)).otherwise(0.0)
-        out.append(F.struct(score.alias("score"), F.lit(-i).alias("rank"),
-                            F.lit(intent).alias("intent")))
-    return F.array(*out)
-
-
 def infer_intent(text) -> Column:
-    """Best-scoring intent of a text, 'unknown' when nothing matches."""
-    best = F.array_max(intent_scores(text))
-    return F.when(best.score > 0, best.intent).otherwise("unknown")
+    """Intent whose keywords weigh most in a text; the earlier of equals, 'unknown' without any."""
+    t = F.lower(F.col(text) if isinstance(text, str) else text)
+    table = literal_rows([(-i, intent, word, float(weight))
+                          for i, (intent, words) in enumerate(rules.INTENT_KEYWORDS.items())
+                          for word, weight in words], ("rank", "intent", "word", "weight"))
+    hits = F.filter(table, lambda e: F.contains(t, e.word))
+    scored = F.transform(hits, lambda e: F.struct(
+        F.aggregate(F.filter(hits, lambda o: o.rank == e.rank), F.lit(0.0),
+                    lambda acc, o: acc + o.weight).alias("score"),
+        e.rank.alias("rank"), e.intent.alias("intent")))
+    return F.coalesce(F.array_max(scored).intent, F.lit("unknown"))
 
 
 def has_intent_words(text) -> Column:
@@ -173,12 +168,10 @@ def has_intent_words(text) -> Column:
 
 def _first_match(text: Column, table: list[tuple[str, str]], source: str, verb: str) -> Column:
     """struct(type, why) of the first (word, type) whose word occurs in the text."""
-    out = None
-    for word, kind in table:
-        hit = F.struct(F.lit(kind).alias("type"), F.lit(f'{source} {verb} "{word}"').alias("why"))
-        test = F.contains(text, F.lit(word))
-        out = F.when(test, hit) if out is None else out.when(test, hit)
-    return out
+    hit = F.get(F.filter(literal_rows(table, ("word", "type")),
+                         lambda e: F.contains(text, e.word)), F.lit(0))
+    return F.struct(hit.type.alias("type"), F.concat(F.lit(f'{source} {verb} "'), hit.word,
+                                                     F.lit('"')).alias("why"))
 
 
 def infer_purpose(kind="kind", label="label", attrs: str = "attributes") -> Column:

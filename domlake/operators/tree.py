@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import privacy
 from ..functions.text import (
-    WS, blank_to_null, contains_any, lookup, nfkc, parse_bool, parse_checked, slugify, squeeze,
+    WS, blank_to_null, contains_any, is_in, lookup, nfkc, parse_bool, parse_checked, slugify, squeeze,
     trim_ws, truncate,
 )
 from ..schema import ATTRIBUTES, BBOX, node_struct
@@ -28,7 +28,7 @@ TAG_ROLE = {
     "DIALOG": "dialog", "NAV": "navigation", "MAIN": "main", "ASIDE": "complementary",
     "HEADER": "banner", "FOOTER": "contentinfo", "ARTICLE": "article", "SECTION": "region",
     "SEARCH": "search", "FIGURE": "figure", "PROGRESS": "progressbar", "OUTPUT": "status",
-    "CANVAS": "canvas", "FIELDSET": "group",
+    "CANVAS": "canvas", "FIELDSET": "group", "SELECT": "combobox",
 }
 # Role of an INPUT by its type; every other type is a text box.
 INPUT_ROLE = {
@@ -101,7 +101,7 @@ def ancestors(dom: DataFrame) -> DataFrame:
 
 
 def text_content(dom: DataFrame, max_depth: int | None = 2,
-                 exclude_tags: list[str] | None = None) -> DataFrame:
+                 exclude_tags: list[str] | None = None, normalize: bool = True) -> DataFrame:
     """(snapshot, element) -> text of the text nodes at most ``max_depth`` levels below, in document
     order.  Without ``max_depth`` the whole subtree counts.  ``exclude_tags`` skips text that sits
     inside such elements below the node, and the elements themselves."""
@@ -124,14 +124,15 @@ def text_content(dom: DataFrame, max_depth: int | None = 2,
     return (
         texts.groupBy("snapshot_id", F.col("a.id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("pre", "t"))).getField("t").alias("parts"))
-        .select("snapshot_id", "id", squeeze(F.array_join("parts", " ")).alias("text"))
+        .withColumn("text", F.array_join("parts", " "))
+        .select("snapshot_id", "id", squeeze("text").alias("text") if normalize else "text")
         .filter(F.col("text") != "")
     )
 
 
 def clean_text(dom: DataFrame, limit: int = 100) -> DataFrame:
     """Whole visible text under each element without style and script, cut to ``limit``."""
-    return text_content(dom, None, rules.EXCLUDED_TEXT_TAGS).withColumn(
+    return text_content(dom, None, rules.EXCLUDED_TEXT_TAGS, normalize=False).withColumn(
         "text", F.substring("text", 1, limit))
 
 
@@ -140,10 +141,10 @@ def clean_text(dom: DataFrame, limit: int = 100) -> DataFrame:
 def classify_role(role) -> Column:
     r = F.lower(F.col(role) if isinstance(role, str) else role)
     return (
-        F.when(r.isin(rules.INTERACTIVE_ROLES), "interactive")
-        .when(r.isin(rules.READABLE_ROLES), "readable")
-        .when(r.isin(rules.STRUCTURAL_ROLES), "structural")
-        .when(r.isin(rules.LIVE_ROLES), "live")
+        F.when(is_in(r, rules.INTERACTIVE_ROLES), "interactive")
+        .when(is_in(r, rules.READABLE_ROLES), "readable")
+        .when(is_in(r, rules.STRUCTURAL_ROLES), "structural")
+        .when(is_in(r, rules.LIVE_ROLES), "live")
         .otherwise("unknown")
     )
 
@@ -191,7 +192,7 @@ def with_derived_ax(dom: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
                   for k, v in pairs.items()]),
         lambda e: e.v.isNotNull()))
-    named = F.col("ax_role").isin(NAME_FROM_CONTENT)
+    named = is_in(F.col("ax_role"), NAME_FROM_CONTENT)
     name = F.coalesce(
         blank_to_null(squeeze(attr("aria-label"))),
         F.when(F.col("ax_role").isin("image", "img"), blank_to_null(squeeze(attr("alt")))),
@@ -204,10 +205,9 @@ def with_derived_ax(dom: DataFrame) -> DataFrame:
         a.aria_label.alias("ax_name"), a.aria_label.alias("aria_label"),
         a.title.alias("title"), a.html_id.alias("html_id")))
     return (
-        dom.withColumn("tag", tag).withColumn("ax_role", role)
-        .withColumn("ax_name", name).withColumn("ax_props", props)
-        .withColumn("ax_order", F.col("pre")).withColumn("anc", anc)
-        .withColumn("has_ax", is_element)
+        dom.withColumns({"tag": tag, "ax_role": role, "anc": anc, "ax_order": F.col("pre"),
+                         "has_ax": is_element})
+        .withColumns({"ax_name": name, "ax_props": props})
     )
 
 
@@ -288,17 +288,15 @@ def synthesize(el: DataFrame) -> DataFrame:
                   for k in ("selected", "disabled")]), lambda e: e.v.isNotNull()))
     empty = F.create_map().cast("map<string,string>")
     m = F.col("made")
-    return (
-        el.withColumn("made", made)
-        .withColumn("ax_role", F.when(m == "toast", "alert").when(m == "none", F.col("ax_role"))
-                    .otherwise(m))
-        .withColumn("ax_name", F.when(m == "toast", "").when(
+    return el.withColumn("made", made).withColumns({
+        "ax_role": F.when(m == "toast", "alert").when(m == "none", F.col("ax_role")).otherwise(m),
+        "ax_name": F.when(m == "toast", "").when(
             m == "option", F.coalesce(near_text(2), F.lit(""))).when(
-            m == "canvas", F.coalesce(attr("aria-label"), F.lit(""))).otherwise(F.col("ax_name")))
-        .withColumn("ax_props", F.when(m == "option", option_props).when(
-            m == "none", F.col("ax_props")).otherwise(empty))
-        .withColumn("listed", F.col("listed") | (m != "none"))
-    )
+            m == "canvas", F.coalesce(attr("aria-label"), F.lit(""))).otherwise(F.col("ax_name")),
+        "ax_props": F.when(m == "option", option_props).when(
+            m == "none", F.col("ax_props")).otherwise(empty),
+        "listed": F.col("listed") | (m != "none"),
+    })
 
 
 def interactivity_signals(el: DataFrame, listeners: DataFrame | None = None,
@@ -307,9 +305,10 @@ def interactivity_signals(el: DataFrame, listeners: DataFrame | None = None,
     or a click-type listener on itself or one of its nearest ancestors.  ``listeners`` has
     (snapshot_id, id, type), ``styles`` (snapshot_id, id, cursor)."""
     tab = F.regexp_extract(attr("tabindex"), r"^\s*([+-]?\d+)", 1)
-    out = el.withColumn("has_tabindex", F.coalesce(F.try_cast(tab, "int") >= 0, F.lit(False))
-                        if hasattr(F, "try_cast")
-                        else F.coalesce(tab.try_cast("int") >= 0, F.lit(False)))
+    out = el.withColumn("has_tabindex", F.coalesce(tab.try_cast("int") >= 0, F.lit(False)))
+    if styles is None and listeners is None:
+        return out.withColumns({"has_cursor_pointer": F.lit(False), "listener_source":
+                                F.lit("none"), "has_click_listener": F.lit(False)})
     if styles is not None:
         cursor = styles.groupBy("snapshot_id", "id").agg(
             F.bool_or(F.col("cursor") == "pointer").alias("has_cursor_pointer"))
@@ -345,7 +344,7 @@ def implicit_candidates(el: DataFrame, order: str = "ax_order") -> DataFrame:
         F.asc_nulls_last(order)).rowsBetween(W.unboundedPreceding, 0))
     signal = F.col("has_click_listener") | F.col("has_cursor_pointer") | F.col("has_tabindex")
     extra = unknown & signal & (F.col("_rank") <= rules.IMPLICIT_CANDIDATES)
-    counts = (F.col("listed") & ~kind.isin(rules.INTERACTIVE_KINDS)) | extra
+    counts = (F.col("listed") & ~is_in(kind, rules.INTERACTIVE_KINDS)) | extra
     return (
         el.withColumn("_rank", rank)
         .withColumn("implicitly_interactive", counts & signal)
@@ -404,9 +403,9 @@ def resolve_region() -> Column:
 
 def _is_container(a: Column) -> Column:
     def has(role):
-        return F.coalesce(F.lower(role).isin(rules.GROUPING_ROLES), F.lit(False))
+        return F.coalesce(is_in(F.lower(role), rules.GROUPING_ROLES), F.lit(False))
 
-    return has(a.ax_role) | F.coalesce(a.tag.isin(rules.GROUPING_TAGS), F.lit(False)) | has(
+    return has(a.ax_role) | F.coalesce(is_in(a.tag, rules.GROUPING_TAGS), F.lit(False)) | has(
         a.dom_role)
 
 
@@ -423,13 +422,15 @@ def group_id(container: Column, heading: Column) -> Column:
 def with_grouping(el: DataFrame) -> DataFrame:
     """``group`` is the nearest grouping ancestor, ``group_path`` the names of all of them from the
     outside in."""
-    return el.withColumn("_containers", F.filter("anc", _is_container)).withColumn(
-        "group", F.get("_containers", F.lit(0))).withColumn(
-        "group_path", F.reverse(F.filter(F.transform(
-            "_containers", lambda a: F.coalesce(a.ax_name, a.aria_label, a.title)),
-            lambda n: F.length(n) > 0))).drop("_containers").withColumn(
-        "group_path", F.when(F.size("group_path") > 0, F.col("group_path"))).withColumn(
-        "is_container", _is_container(F.struct("ax_role", "tag", attr("role").alias("dom_role"))))
+    path = F.reverse(F.filter(F.transform(
+        "_containers", lambda a: F.coalesce(a.ax_name, a.aria_label, a.title)),
+        lambda n: F.length(n) > 0))
+    own = F.struct("ax_role", "tag", attr("role").alias("dom_role"))
+    return el.withColumns({
+        "_containers": F.filter("anc", _is_container), "is_container": _is_container(own)
+    }).withColumns({
+        "group": F.get("_containers", F.lit(0)),
+        "group_path": F.when(F.size(path) > 0, path)}).drop("_containers")
 
 
 def labelledby(dom: DataFrame) -> DataFrame:
@@ -462,7 +463,9 @@ def labelledby(dom: DataFrame) -> DataFrame:
 
 def _label_choices() -> list[tuple[str, Column]]:
     tag, kind = F.col("tag"), F.lower(attr("type"))
-    own = lambda name: blank_to_null(squeeze(attr(name)))
+    def own(name):
+        return blank_to_null(squeeze(F.coalesce(attr(name, "compat_forms"), attr(name))))
+
     out = [
         ("ax-name", blank_to_null(squeeze("ax_name"))),
         ("labelledby", blank_to_null("labelledby")),
@@ -478,7 +481,9 @@ def _label_choices() -> list[tuple[str, Column]]:
 
 
 def resolve_label(el: DataFrame, compat: bool = True) -> DataFrame:
-    """Adds ``label`` and ``label_source``: the first naming source that has text."""
+    """Adds ``label`` and ``label_source``: the first naming source that has text.  Text and
+    attributes from the document sources are NFKC already; ``compat`` also normalises names that
+    came with a captured accessibility tree."""
     choices = [F.when(c.isNotNull(), F.struct(F.lit(s).alias("source"), c.alias("text")))
                for s, c in _label_choices()]
     none = F.struct(F.lit("none").alias("source"), F.lit("").alias("text"))
@@ -486,10 +491,8 @@ def resolve_label(el: DataFrame, compat: bool = True) -> DataFrame:
     text = F.col("_label.text")
     if compat:
         text = squeeze(nfkc(text))
-    return (
-        out.withColumn("label", truncate(text, rules.MAX_LABEL))
-        .withColumn("label_source", F.col("_label.source")).drop("_label")
-    )
+    return out.withColumns({"label": truncate(text, rules.MAX_LABEL),
+                            "label_source": F.col("_label.source")}).drop("_label")
 
 
 def live_label_fallback(el: DataFrame) -> DataFrame:
@@ -669,7 +672,7 @@ def locator_candidates() -> Column:
     classes = F.filter(F.split(F.coalesce(attr("class"), F.lit("")), WS + "+"),
                        lambda c: c != "")
     cls = F.coalesce(
-        F.get(F.filter(classes, lambda c: ~F.lower(c).isin(rules.GENERIC_CLASSES)), F.lit(0)),
+        F.get(F.filter(classes, lambda c: ~is_in(F.lower(c), rules.GENERIC_CLASSES)), F.lit(0)),
         F.get(classes, F.lit(0)))
     return F.array_compact(F.array_distinct(F.array(
         test_id,
@@ -723,7 +726,7 @@ def filter_noise(nodes: DataFrame) -> DataFrame:
     family key with their parent, which hands them its label."""
     back = W.partitionBy("snapshot_id", "frame_path", "shadow_path").orderBy(
         F.desc_nulls_first("doc_order")).rowsBetween(W.unboundedPreceding, -1)
-    upcoming = F.last(F.when(F.col("kind").isin(rules.INTERACTIVE_KINDS), F.col("doc_order")),
+    upcoming = F.last(F.when(is_in("kind", rules.INTERACTIVE_KINDS), F.col("doc_order")),
                       ignorenulls=True).over(back)
     is_text = F.col("kind") == "text"
     hollow = F.col("kind").isin("list", "listitem") & (trim_ws("label") == "") & ~F.coalesce(
@@ -745,7 +748,7 @@ def snapshot_stats(nodes: DataFrame, captures: DataFrame | None = None) -> DataF
     """Node counts per capture; captures without nodes count zero when given."""
     stats = nodes.groupBy("snapshot_id").agg(
         F.count("*").alias("node_count"),
-        F.count_if(F.col("kind").isin(rules.INTERACTIVE_KINDS)
+        F.count_if(is_in("kind", rules.INTERACTIVE_KINDS)
                    | F.coalesce("implicitly_interactive", F.lit(False))
                    ).alias("interactive_count"))
     if captures is None:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import bbox, make_nodes
+from ..sources.captures import read_pages
+from ..sources.html import html_to_dom
+from .compile import compile_elements
 
 _EVENTS = ("(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e")
 
@@ -81,12 +84,94 @@ FROM orders
 """
 
 
+# One product page per part, with the markup the corpus lacks: a form with every kind of control,
+# named and unnamed groups, references, a toast, a live region, a shadow tree and a frame.
+_S = "CAST(p_size AS STRING)"
+_K = "CAST(p_partkey AS STRING)"
+
+
+def _when(test: str, text: str, other: str = "") -> str:
+    return f"CASE WHEN {test} THEN '{text}' ELSE '{other}' END"
+
+
+PRODUCTS = f"""
+SELECT p_partkey AS page_id, p_name, p_brand, p_size,
+  '<html lang="en"><head><title>' || p_name || '</title><meta name="author" content="' || p_brand
+  || '"></head><body><header><h1 id="top">' || p_name || '</h1></header><main>'
+  || '<form id="order" name="order" action="/buy" method="post" aria-label="Order ' || p_brand
+  || '"><label for="qty">Quantity ' || {_S} || '</label><input id="qty" type="number" name="qty" '
+  || 'value="' || {_S} || '"' || {_when('p_size % 2 = 0', ' required')}
+  || {_when('p_size % 3 = 0', ' disabled')} || {_when('p_size % 5 = 0', ' aria-disabled="false"')}
+  || '><input type="password" name="pw" placeholder="Secret code" value="abc">'
+  || '<input type="checkbox" name="gift"' || {_when('p_size % 4 = 0', ' checked')}
+  || ' aria-label="Gift wrap"><input type="email" title="Mail ' || {_S}
+  || '" autocomplete="email" aria-invalid="' || {_when('p_size % 2 = 1', 'true', 'false')}
+  || '"><input type="submit" value="Buy ' || p_name || '"><select name="color">'
+  || '<optgroup label="All"><option selected>Red</option></optgroup><option disabled>Blue</option>'
+  || '</select><input type="text" aria-labelledby="ref1 missing ref2">'
+  || '<textarea data-testid="note-' || {_K} || '"></textarea><button>Go</button></form>'
+  || '<div id="ref1" aria-label="First ' || {_S} || '"></div><div id="ref2" aria-label="Second">'
+  || '</div><div class="col card" data-testid="card" tabindex="'
+  || {_when('p_size % 2 = 0', '0', '-1')} || '">Card</div><img alt="Photo of ' || p_name
+  || '" src="https://img.example/' || {_K} || '.png?x=1"><a href="https://shop.example/p/' || {_K}
+  || '?token=abc&amp;page=2" class="container">Details</a><div class="Toastify__toast">Saved '
+  || {_S} || '</div><div role="alert"><span>Low stock <b>' || {_S} || '</b></span></div>'
+  || '<canvas aria-label="Chart"></canvas><h2>Related</h2><ul><li></li></ul>'
+  || '<ol aria-label="Steps"><li>One<li>Two</ol><div id="host"><template shadowrootmode="open">'
+  || '<button id="top">Inside</button></template></div><iframe srcdoc="&lt;p id=top&gt;Framed'
+  || '&lt;/p&gt;&lt;h3&gt;In frame&lt;/h3&gt;&lt;a href=/x&gt;x&lt;/a&gt;"></iframe><p>After</p>'
+  || '</main><footer>' || p_brand || '</footer></body></html>' AS html
+FROM part
+"""
+
+
+def _text(node_id: str, value: str) -> str:
+    """A text node inside a quoted SQL text, with its value spliced in."""
+    return ('{"nodeId":0,"backendNodeId":' + node_id + ',"nodeType":3,"nodeName":"#text",'
+            '"nodeValue":"\' || ' + value + ' || \'"}')
+
+
+# The same kind of page as capture JSON: document tree, accessibility rows, frame tree.
+CAPTURES = f"""
+SELECT p_partkey AS snapshot_id, p_name, p_brand, p_size,
+  '{{"root":{{"nodeId":1,"backendNodeId":1,"nodeType":9,"nodeName":"#document","frameId":"F1",'
+  || '"children":[{{"nodeId":2,"backendNodeId":10,"nodeType":1,"nodeName":"MAIN","attributes":'
+  || '["id","m"],"children":[{{"nodeId":3,"backendNodeId":11,"nodeType":1,"nodeName":"BUTTON",'
+  || '"attributes":["class","btn wide"],"children":[{_text('12', 'p_name')}]}},'
+  || '{{"nodeId":4,"backendNodeId":20,"nodeType":1,"nodeName":"DIV","attributes":["id","host"],'
+  || '"children":[{{"nodeId":5,"backendNodeId":23,"nodeType":1,"nodeName":"SPAN","children":'
+  || '[{_text('24', "'light'")}]}}],"shadowRoots":[{{"nodeId":6,"backendNodeId":21,"nodeType":11,'
+  || '"nodeName":"#document-fragment","shadowRootType":"open","children":[{{"nodeId":7,'
+  || '"backendNodeId":22,"nodeType":1,"nodeName":"INPUT","attributes":["type","text","name","n'
+  || {_S} || '"]}}]}}]}},{{"nodeId":8,"backendNodeId":30,"nodeType":1,"nodeName":"IFRAME",'
+  || '"frameId":"F2","contentDocument":{{"nodeId":9,"backendNodeId":31,"nodeType":9,'
+  || '"nodeName":"#document","frameId":"F2","children":[{{"nodeId":10,"backendNodeId":32,'
+  || '"nodeType":1,"nodeName":"H2","frameId":"F2","children":[{_text('33', 'p_brand')}]}}]}}}}]}}]'
+  || '}}}}' AS dom_json,
+  '{{"nodes":[{{"nodeId":"1","backendDOMNodeId":10,"role":{{"value":"main"}},"name":{{"value":'
+  || '"Main ' || p_brand || '"}}}},{{"nodeId":"2","backendDOMNodeId":11,"role":{{"value":"button"'
+  || '}},"name":{{"value":"' || p_name || '"}},"properties":[{{"name":"disabled","value":{{"value":'
+  || {_when('p_size % 2 = 0', 'true', 'false')} || '}}}}]}},{{"nodeId":"3","backendDOMNodeId":20,'
+  || '"ignored":true,"role":{{"value":"none"}}}},{{"nodeId":"4","backendDOMNodeId":22,"role":'
+  || '{{"value":"textbox"}},"name":{{"value":""}},"properties":[{{"name":"focused","value":'
+  || '{{"value":' || {_when('p_size % 3 = 0', 'true', 'false')} || '}}}},{{"name":"invalid","value":'
+  || '{{"value":"spelling"}}}}]}},{{"nodeId":"5","backendDOMNodeId":32,"role":{{"value":"heading"'
+  || '}},"name":{{"value":"Frame ' || {_S} || '"}},"properties":[{{"name":"level","value":{{"value":'
+  || '2}}}}]}},{{"nodeId":"6","role":{{"value":"link"}},"name":{{"value":"no dom"}}}},{{"nodeId":'
+  || '"7","backendDOMNodeId":23,"role":{{"value":"generic"}}}},{{"nodeId":"8","backendDOMNodeId":'
+  || '24,"role":{{"value":"StaticText"}},"name":{{"value":"light"}}}}]}}' AS ax_json,
+  '{{"frame":{{"id":"F1","loaderId":"L' || {_K} || '"}},"childFrames":[{{"frame":{{"id":"F2",'
+  || '"parentId":"F1"' || {_when('p_size % 2 = 0', ',"loaderId":"LX"')} || '}}}}]}}' AS frame_json
+FROM part
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    text = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(text, **{name: table(spark, sf_dir, name)})
 
 
@@ -157,3 +242,29 @@ def box_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, FIELDS, "orders")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rows of the page corpus."""
+    return html_to_dom(read_pages(spark, f"{sf_dir}/pages.parquet"))
+
+
+def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_elements(corpus(spark, sf_dir)).withColumn("page_id", F.col("snapshot_id"))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, PRODUCTS, "part")
+
+
+def product_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = products(spark, sf_dir).select("page_id", "html")
+    return html_to_dom(pages.repartition(spark.sparkContext.defaultParallelism, "page_id"))
+
+
+def product_nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return compile_elements(product_dom(spark, sf_dir), **options)
+
+
+def capture_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, CAPTURES, "part")

@@ -60,7 +60,7 @@ def compile_elements(
         styles = layouts.select("snapshot_id", "id", "cursor")
     el = tree.interactivity_signals(el, listeners, styles)
     el = tree.with_grouping(el)
-    el = tree.live_label_fallback(tree.resolve_label(el))
+    el = tree.live_label_fallback(tree.resolve_label(el, compat=ax is not None))
     el, visible, layout = _layout(el, layouts, viewport)
     if frames is not None:
         # One row per frame of a capture: tiny next to its nodes.

@@ -13,7 +13,7 @@ DOM_COLUMNS = (
     "attributes map<string,string>, node_value string, frame_id string, "
     "frame_path array<bigint>, shadow_path array<bigint>, pre int, post int, depth int, "
     f"ancestors array<{ANCESTOR}>, near_text array<struct<d:int,t:string>>, "
-    "labelledby string, label_text string"
+    "labelledby string, label_text string, compat_forms map<string,string>"
 )
 
 BBOX = "struct<x:double,y:double,w:double,h:double>"

@@ -38,8 +38,8 @@ def ax_nodes(df: DataFrame, column: str, key: str = "snapshot_id") -> DataFrame:
     props = F.map_from_entries(F.transform(
         F.filter(F.coalesce("n.properties", F.array().cast(
             "array<struct<name:string,value:struct<value:string>>>")),
-            lambda p: p.name.isNotNull()),
-        lambda p: F.struct(p.name, p.value.value)))
+            lambda p: p["name"].isNotNull()),
+        lambda p: F.struct(p["name"], p["value"]["value"])))
     return rows.select(
         "snapshot_id", F.col("n.backendDOMNodeId").alias("id"),
         F.col("n.role.value").alias("role"), F.col("n.name.value").alias("name"),

@@ -208,12 +208,7 @@ class _NodeBatch:
             names=["id", "tag", "role", "aria_label", "title", "html_id"],
         )
         ancestors = pa.ListArray.from_arrays(off, struct)
-        off, _ = listed(attrs, None)
-        maps = pa.MapArray.from_arrays(
-            off,
-            pa.array([k for m in attrs for k in m], pa.string()),
-            pa.array([v for m in attrs for v in m.values()], pa.string()),
-        )
+        maps = _maps(attrs)
         off, near = listed(self.near, [t for r in self.near for t in r])
         near_text = pa.ListArray.from_arrays(
             off,
@@ -231,7 +226,7 @@ class _NodeBatch:
             longs(self.shadow_path), pa.array(self.pre, pa.int32()),
             pa.array(self.post, pa.int32()), pa.array(self.depth, pa.int32()), ancestors,
             near_text, pa.array(self.labelledby, pa.string()),
-            pa.array(self.label_text, pa.string()),
+            pa.array(self.label_text, pa.string()), _maps([_compat_forms(m) for m in attrs]),
         ]
         out = pa.RecordBatch.from_arrays(
             [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema)],
@@ -241,6 +236,21 @@ class _NodeBatch:
         return out
 
 
+def _maps(rows: list[dict[str, str]]) -> pa.MapArray:
+    offsets = [0]
+    for m in rows:
+        offsets.append(offsets[-1] + len(m))
+    return pa.MapArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array([k for m in rows for k in m], pa.string()),
+        pa.array([v for m in rows for v in m.values()], pa.string()))
+
+
+def _compat_forms(attrs: dict[str, str]) -> dict[str, str]:
+    """NFKC forms of the few attribute values that are not in that form already."""
+    return {k: n for k, v in attrs.items()
+            if not v.isascii() and (n := unicodedata.normalize("NFKC", v)) != v}
+
+
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(text):
@@ -384,6 +394,7 @@ def _arrow_schema(key_type: pa.DataType) -> pa.Schema:
         ("ancestors", pa.list_(anc)),
         ("near_text", pa.list_(pa.struct([("d", pa.int32()), ("t", pa.string())]))),
         ("labelledby", pa.string()), ("label_text", pa.string()),
+        ("compat_forms", pa.map_(pa.string(), pa.string())),
     ])
 
 
