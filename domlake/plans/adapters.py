@@ -62,7 +62,7 @@ GROUP BY user_id, CAST(floor((day(ts) - 1) / 5) AS INT), event_type, k % 6
 """
 
 BOXES = """
-SELECT CAST(floor((p_partkey - 1) / 100) AS BIGINT) AS snapshot_id, p_partkey AS node_id,
+SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS snapshot_id, p_partkey AS node_id,
   p_name AS label,
   CASE p_partkey % 7 WHEN 0 THEN 'form' WHEN 1 THEN 'button' WHEN 2 THEN 'input'
     WHEN 3 THEN 'select' WHEN 4 THEN 'heading' WHEN 5 THEN 'link' ELSE 'textarea' END AS kind,
