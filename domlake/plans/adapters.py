@@ -1,11 +1,13 @@
 """Views that give the shared tables the shapes the operators work on.
 
-The SQL texts run unchanged on Spark and on other engines.  Captures in ``BOXES`` hold 100
+The SQL texts run unchanged on Spark and on other engines.  Captures in ``BOXES`` hold 400
 consecutive parts each, so their number grows with the data while a capture stays page-sized.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ GROUP BY user_id, CAST(floor((day(ts) - 1) / 5) AS INT), event_type, k % 6
 """
 
 BOXES = """
-SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS snapshot_id, p_partkey AS node_id,
+SELECT CAST(floor(p_partkey / 400) AS BIGINT) AS snapshot_id, p_partkey AS node_id,
   p_name AS label,
   CASE p_partkey % 7 WHEN 0 THEN 'form' WHEN 1 THEN 'button' WHEN 2 THEN 'input'
     WHEN 3 THEN 'select' WHEN 4 THEN 'heading' WHEN 5 THEN 'link' ELSE 'textarea' END AS kind,
@@ -244,6 +246,15 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, FIELDS, "orders")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a table once that a plan reads several times.  The checkpoint lies in the folder the
+    session names, so a lost executor does not lose it; a folder is only made where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="domlake-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rows of the page corpus."""
     return html_to_dom(read_pages(spark, f"{sf_dir}/pages.parquet"))

@@ -36,7 +36,7 @@ def _(spark, d):
     9 AS n FROM part""")
 def _(spark, d):
     # No layout here: membership by group and heading.  Nine controls share the form's heading.
-    nodes = a.product_nodes(spark, d)
+    nodes = a.materialize(a.product_nodes(spark, d))
     controls = nodes.filter(F.col("kind").isin(
         "input", "checkbox", "slider", "combobox", "button", "select"))
     boxless = controls.withColumn("layout", F.col("layout").withField("bbox", F.lit(None).cast(
@@ -139,7 +139,7 @@ DETECTED = BOX + f""", lb AS (SELECT *, CASE WHEN kind = 'button' AND node_id %
 @query("f4_implicit_forms", DETECTED + """SELECT snapshot_id, form_key, k AS field_count,
     round(conf, 6)::DOUBLE AS confidence FROM f WHERE NOT explicit""")
 def _(spark, d):
-    found, _ = forms.detect_forms(_with_submits(spark, d))
+    found, _ = forms.detect_forms(a.materialize(_with_submits(spark, d)))
     return found.filter("root IS NULL").select("snapshot_id", "form_key", "field_count",
                                                F.round("confidence", 6).alias("confidence"))
 
@@ -147,7 +147,7 @@ def _(spark, d):
 @query("f7_form_confidence", DETECTED + """SELECT snapshot_id, form_key,
     round(conf, 6)::DOUBLE AS confidence FROM f""")
 def _(spark, d):
-    found, _ = forms.detect_forms(_with_submits(spark, d))
+    found, _ = forms.detect_forms(a.materialize(_with_submits(spark, d)))
     return found.select("snapshot_id", "form_key", F.round("confidence", 6).alias("confidence"))
 
 
@@ -155,14 +155,14 @@ def _(spark, d):
     sha256(intent || '::' || CASE WHEN explicit THEN form_key ELSE 'cluster-' || pos END || '::' ||
     k), 1, 8) AS form_id FROM f""")
 def _(spark, d):
-    found, _ = forms.detect_forms(_with_submits(spark, d))
+    found, _ = forms.detect_forms(a.materialize(_with_submits(spark, d)))
     return found.select("snapshot_id", "intent", "field_count", "form_id")
 
 
 @query("f19_detect_forms", DETECTED + """SELECT snapshot_id, form_key, node_id FROM m WHERE node_id
     IS NOT NULL AND (snapshot_id, form_key) IN (SELECT (snapshot_id, form_key) FROM f)""")
 def _(spark, d):
-    _, members = forms.detect_forms(_with_submits(spark, d))
+    _, members = forms.detect_forms(a.materialize(_with_submits(spark, d)))
     return members.select("snapshot_id", "form_key",
                           F.col("node_id").cast("bigint").alias("node_id"))
 
@@ -213,8 +213,8 @@ def _(spark, d):
     return a.table(spark, d, "documents").select("doc_id", forms.infer_intent(text).alias("intent"))
 
 
-@query("f9_infer_purpose", """SELECT p_partkey AS page_id, kind, label, semantic_type, confidence
-    FROM (SELECT p_partkey, 'slider' AS kind, 'Quantity ' || p_size AS label,
+@query("f9_infer_purpose", """SELECT p_partkey AS page_id, kind, label, semantic_type,
+    confidence::DOUBLE AS confidence FROM (SELECT p_partkey, 'slider' AS kind, 'Quantity ' || p_size AS label,
       'quantity' AS semantic_type, 0.7 AS confidence FROM part
     UNION ALL SELECT p_partkey, 'input', 'Secret code', 'password', 0.95 FROM part
     UNION ALL SELECT p_partkey, 'checkbox', 'Gift wrap', 'toggle', 0.5 FROM part
@@ -230,7 +230,8 @@ def _(spark, d):
                     F.col("p.confidence").alias("confidence"))
 
 
-@query("f10_extract_constraints", """SELECT p_partkey AS page_id, label, required, confidence FROM (
+@query("f10_extract_constraints", """SELECT p_partkey AS page_id, label, required,
+    confidence::DOUBLE AS confidence FROM (
     SELECT p_partkey, 'Quantity ' || p_size AS label, p_size % 2 = 0 AS required,
       CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS confidence FROM part
     UNION ALL SELECT p_partkey, 'Gift wrap *', true, 0.8 FROM part)""")
@@ -328,7 +329,7 @@ def _(spark, d):
 
 
 def _product_fields(spark, d):
-    nodes = a.product_nodes(spark, d)
+    nodes = a.materialize(a.product_nodes(spark, d))
     members = nodes.filter(F.col("kind").isin("input", "checkbox", "slider", "combobox")
                            & F.startswith("where.group_id", F.lit("form-"))).select(
         "snapshot_id", F.lit("f").alias("form_key"), "node_id",

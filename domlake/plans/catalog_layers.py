@@ -225,15 +225,15 @@ def capture_digests(spark, d):
 
 
 # The digest of the capture view, written out.
-_LINE = f"""'    <' || CASE kind WHEN 'link' THEN 'link' WHEN 'button' THEN 'btn' WHEN 'checkbox' THEN
+LINE = f"""'    <' || CASE kind WHEN 'link' THEN 'link' WHEN 'button' THEN 'btn' WHEN 'checkbox' THEN
     'chk' WHEN 'alert' THEN 'alert' ELSE 'elt' END || ' id="' || eid || '"' || CASE WHEN kind =
     'input' THEN ' kind="input"' ELSE '' END || CASE WHEN enabled THEN '' ELSE ' enabled="false"'
     END || ' val="' || value || '">' || label || '</' || CASE kind WHEN 'link' THEN 'link' WHEN
     'button' THEN 'btn' WHEN 'checkbox' THEN 'chk' WHEN 'alert' THEN 'alert' ELSE 'elt' END || '>'
     || chr(10)"""
 DIGESTS = SHOWN + f""", blk AS (SELECT page_id, step, region, min(pos) AS head_pos,
-    '  <region name="' || region || '">' || chr(10) || string_agg({_LINE}, '' ORDER BY pos) ||
-    '  </region>' || chr(10) AS part FROM sh GROUP BY ALL), dig AS (SELECT page_id, step,
+    '  <region name="' || region || '">' || chr(10) || string_agg({LINE}, '' ORDER BY pos) ||
+    '  </region>' || chr(10) AS part FROM sh GROUP BY page_id, step, region), dig AS (SELECT page_id, step,
     '<state step="' || step || '" title="Page ' || page_id || '" url="https://x.example/' || page_id
     || '">' || chr(10) || '  <meta view="1280x720" scroll="0,0" layer="main" />' || chr(10) ||
     '  <baseline reason="first" />' || chr(10) || coalesce(r, '') || '</state>' AS digest FROM
