@@ -23,7 +23,9 @@ def _col(c) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    # Most text is in the form already, and checking that is much cheaper than rebuilding it.
+    return s.map(lambda v: v if v is None or unicodedata.is_normalized("NFKC", v)
+                 else unicodedata.normalize("NFKC", v))
 
 
 def nfkc(c) -> Column:

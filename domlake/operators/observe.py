@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import fuzzy_score, lookup, tokenize, trim_ws
+from ..functions.text import fuzzy_score, lookup, squeeze, tokenize, trim_ws
 from .scan import DAY, micros, ordered_scan, time_chunk, top_n
 
 
@@ -180,32 +180,28 @@ def candidate_kinds(tag, role) -> Column:
     return F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("generic")))
 
 
-def link_score(overlap: float = 0.5, fuzzy: bool = True) -> Column:
-    """Score of an observation (tag, role, text, is_dialog) against an element (kind, label, where)
-    that is one of its candidate kinds."""
+def link_closeness() -> Column:
+    """How well the words of an observation's text (``o``) occur in an element's label (``n``)."""
+    text, label = F.lower(trim_ws("o.text")), F.lower(trim_ws("n.label"))
+    return fuzzy_score(tokenize(squeeze(label), 10, 2), tokenize(squeeze(text), 10, 2))
+
+
+def link_score(close: Column, overlap: float = 0.5) -> Column:
+    """Score of an observation (tag, role, text, is_dialog) against an element (kind, label, region)
+    of one of its candidate kinds, given ``link_closeness``."""
     w = rules.LINK_SCORES
     role_kind = lookup(F.lower("o.role"), rules.OBS_ROLE_KIND)
-    text, label = F.lower(trim_ws("o.text")), F.lower(trim_ws("n.label"))
-    close = F.lit(0.0)
-    if fuzzy:
-        q = fuzzy_score(tokenize(_squeezed(label), 10, 2), tokenize(_squeezed(text), 10, 2))
-        close = F.when(q >= overlap, w["text"] * q).otherwise(0.0)
+    same = F.lower(trim_ws("o.text")) == F.lower(trim_ws("n.label"))
     worded = (F.length("o.text") > 0) & (F.length("n.label") > 0)
     score = F.lit(w["tag"]) + F.when(
         F.coalesce(role_kind == F.col("n.kind"), F.lit(False)), w["role"]).otherwise(0.0)
-    score = score + F.when(F.coalesce(worded, F.lit(False)), F.when(
-        text == label, w["text"]).otherwise(close)).otherwise(0.0)
+    score = score + F.when(F.coalesce(worded, F.lit(False)), F.when(same, w["text"]).when(
+        close >= overlap, w["text"] * close).otherwise(0.0)).otherwise(0.0)
     score = score + F.when(F.col("o.is_dialog") & (F.col("n.region") == "dialog"), w["dialog"]
                            ).otherwise(0.0)
     return F.least(score, F.lit(1.0))
 
 
-def _squeezed(c: Column) -> Column:
-    from ..functions.text import squeeze
-
-    return squeeze(c)
-
-
 def link_observations(obs: DataFrame, nodes: DataFrame, keys: list[str],
                       min_score: float = 0.5) -> DataFrame:
     """Best element for every appeared observation, if it scores above ``min_score``.
@@ -215,9 +211,7 @@ def link_observations(obs: DataFrame, nodes: DataFrame, keys: list[str],
     what = ["tag", "role", "text", "is_dialog"]
     said = obs.filter(F.col("change") == "appeared").withColumn("is_dialog",
                                                                F.col("signals.is_dialog"))
-    distinct = said.select(*keys, *what).distinct().withColumn(
-        "said_id", F.xxhash64(*keys, *[F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-                                       for c in what]))
+    distinct = said.select(*keys, *what).distinct()
     o = distinct.withColumn("kind", F.explode(candidate_kinds("tag", "role"))).alias("o")
     n = nodes.select(*keys, "kind", "label", F.col("where.region").alias("region"), "node_id",
                      "backend_node_id", "doc_order").alias("n")
@@ -226,7 +220,8 @@ def link_observations(obs: DataFrame, nodes: DataFrame, keys: list[str],
         test = test & (F.col(f"o.{k}") == F.col(f"n.{k}"))
     first_kind = F.array_position(candidate_kinds("o.tag", "o.role"), F.col("n.kind"))
     best = (
-        o.join(n, test).withColumn("score", link_score()).filter(F.col("score") > min_score)
+        o.join(n, test).withColumn("_close", link_closeness())
+        .withColumn("score", link_score(F.col("_close"))).filter(F.col("score") > min_score)
         .groupBy(*[F.col(f"o.{k}") for k in keys], *[F.col(f"o.{c}") for c in what])
         .agg(F.max_by(F.struct("n.node_id", "n.backend_node_id", "score"),
                       F.struct("score", -first_kind, -F.col("n.doc_order"))).alias("m"))

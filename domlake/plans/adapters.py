@@ -172,6 +172,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for text-heavy work: an input of fewer splits than cores is spread out first."""
+    docs, want = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= want else docs.repartition(want, "doc_id")
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(text, **{name: table(spark, sf_dir, name)})

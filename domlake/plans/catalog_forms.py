@@ -210,7 +210,7 @@ def _(spark, d):
     doc = F.col("doc_id")
     text = F.concat_ws(" ", F.get(words, (doc % 9).cast("int")), "text",
                        F.get(words, (F.floor(doc / 9) % 9).cast("int")))
-    return a.table(spark, d, "documents").select("doc_id", forms.infer_intent(text).alias("intent"))
+    return a.texts(spark, d).select("doc_id", forms.infer_intent(text).alias("intent"))
 
 
 @query("f9_infer_purpose", """SELECT p_partkey AS page_id, kind, label, semantic_type,

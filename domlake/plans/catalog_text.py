@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy as p
 from ..functions import text as t
-from .adapters import table
+from .adapters import table, texts
 from .catalog import query
 
 _SQ = r"trim(regexp_replace(regexp_replace(%s, '[\x{200B}-\x{200D}\x{FEFF}\x{034F}\x{2060}\x{180E}]', '', 'g'), '[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))"
@@ -13,7 +13,7 @@ _SQ = r"trim(regexp_replace(regexp_replace(%s, '[\x{200B}-\x{200D}\x{FEFF}\x{034
 @query("x1_normalize_text", f"SELECT doc_id, {_SQ % 'text'} AS norm FROM documents")
 def _(spark, d):
     # The texts are NFKC already, so the SQL side needs no Unicode step.
-    return table(spark, d, "documents").select("doc_id", t.normalize_text("text").alias("norm"))
+    return texts(spark, d).select("doc_id", t.normalize_text("text").alias("norm"))
 
 
 @query("x2_truncate", """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text
@@ -27,7 +27,7 @@ def _(spark, d):
     FROM documents""")
 def _(spark, d):
     words = t.tokenize(t.normalize_text("text", compat=False))
-    return table(spark, d, "documents").select("doc_id", F.array_join(words, "|").alias("tokens"))
+    return texts(spark, d).select("doc_id", F.array_join(words, "|").alias("tokens"))
 
 
 @query("x4_string_similarity", """SELECT p_partkey, round(1 - levenshtein(p_name, p_type)::DOUBLE
@@ -61,7 +61,7 @@ def _(spark, d):
     '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-', ''), '-$', ''), 1, 40), '-$', '') AS slug
     FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.slugify("text").alias("slug"))
+    return texts(spark, d).select("doc_id", t.slugify("text").alias("slug"))
 
 
 @query("x7_escape_xml", """SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&',
