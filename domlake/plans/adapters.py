@@ -261,13 +261,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The compile plan is the same for every query over a table, so it is put together once per
+    application.  Only the plan is kept, never its rows."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rows of the page corpus."""
     return html_to_dom(read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_elements(corpus(spark, sf_dir)).withColumn("page_id", F.col("snapshot_id"))
+    return _plan(spark, sf_dir, "corpus", lambda: compile_elements(
+        corpus(spark, sf_dir)).withColumn("page_id", F.col("snapshot_id")))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +292,8 @@ def product_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_to_dom(pages.repartition(spark.sparkContext.defaultParallelism, "page_id"))
 
 
-def product_nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return compile_elements(product_dom(spark, sf_dir), **options)
+def product_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir, "products", lambda: compile_elements(product_dom(spark, sf_dir)))
 
 
 def capture_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,9 @@ def tool_calls(messages: DataFrame, scope: str = "session_id", order: str = "lin
         F.max_by(text, F.struct(order, "pos")).alias("response"))
     return calls.select(
         scope, F.struct(order, "pos").alias("at"), F.col("b.name").alias("name"),
-        F.col("b.id").alias("call_id"), F.col("b.input").alias("input")).join(
+        F.col("b.id").alias("call_id"),
+        # Spacing in the log file is not part of the input.
+        F.coalesce(F.to_json(F.try_parse_json("b.input")), "b.input").alias("input")).join(
         results, [scope, "call_id"], "left")
 
 
