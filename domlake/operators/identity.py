@@ -154,7 +154,8 @@ def latest_snapshot(captures: DataFrame, ttl_seconds: int | None = None,
 def store_stats(latest: DataFrame, nodes: DataFrame) -> DataFrame:
     """Totals over the kept captures."""
     kept = nodes.join(latest.select("snapshot_id"), "snapshot_id", "left_semi")
-    return latest.agg(
-        F.count("*").alias("snapshot_count"), F.min("captured_at").alias("oldest"),
-        F.max("captured_at").alias("newest")).join(
-        F.broadcast(kept.agg(F.count("*").alias("total_nodes"))))
+    rows = latest.select("captured_at", F.lit(1).alias("c"), F.lit(0).alias("n")).unionByName(
+        kept.select(F.lit(0).alias("c"), F.lit(1).alias("n")), allowMissingColumns=True)
+    return rows.agg(
+        F.sum("c").alias("snapshot_count"), F.min("captured_at").alias("oldest"),
+        F.max("captured_at").alias("newest"), F.sum("n").alias("total_nodes"))
