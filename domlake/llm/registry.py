@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from domlake.llm import mixing, url_rules
+from domlake.llm import license_scan, mixing, toxicity, url_rules
 
 QUERIES = {
     "op4_url_rules": url_rules.op4_url_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_licenses": license_scan.op8_licenses,
     "op10_mix": mixing.op10_mix,
 }
 ORACLES = {
