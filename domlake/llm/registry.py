@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from domlake.llm import license_scan, mixing, toxicity, url_rules
+from domlake.llm import kneser_ney, language_id, license_scan, mixing, toxicity, url_rules
 
 QUERIES = {
     "op4_url_rules": url_rules.op4_url_rules,
+    "op3_language_id": language_id.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_lm_scores": kneser_ney.op7_lm_scores,
     "op8_licenses": license_scan.op8_licenses,
     "op10_mix": mixing.op10_mix,
 }
