@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domlake.llm import kneser_ney, language_id, license_scan, mixing, toxicity, url_rules
+from domlake.llm import kneser_ney, language_id, license_scan, mixing, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op4_url_rules": url_rules.op4_url_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_lm_scores": kneser_ney.op7_lm_scores,
     "op8_licenses": license_scan.op8_licenses,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mix": mixing.op10_mix,
 }
 ORACLES = {
