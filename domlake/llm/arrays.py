@@ -69,3 +69,15 @@ def find(folder: str, files: dict[int, str], bits: int, keys: np.ndarray,
         out[order[a:z][hit]] = values[i[hit]]
         had[order[a:z][hit]] = True
     return out, had
+
+
+def flat(folder: str, name: str) -> np.ndarray:
+    """All of a file that was saved without values."""
+    at = f"{folder}/{name} flat"
+    if at not in _OPEN:
+        keys, _ = mapped(folder, name)
+        whole = keys.base if keys.base is not None else keys
+        while getattr(whole, "base", None) is not None and isinstance(whole.base, np.ndarray):
+            whole = whole.base
+        _OPEN[at] = whole.view("<u8"), whole[:0]
+    return _OPEN[at][0]

@@ -207,8 +207,8 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k words that start at each word; the last k - 1 have none."""
     n = max(0, len(hashes) - k + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += hashes[i: i + n] * np.uint64((2 * i + 1) * _BASE % (1 << 64) | 1)
+    for i, weight in enumerate(mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)):
+        out += hashes[i: i + n] * weight
     return mix(out)
 
 

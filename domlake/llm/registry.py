@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from domlake.llm import kneser_ney, language_id, license_scan, mixing, suffix_dedup, toxicity, url_rules
+from domlake.llm import jaccard_join, kneser_ney, language_id, license_scan, mixing, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op4_url_rules": url_rules.op4_url_rules,
     "op3_language_id": language_id.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
