@@ -28,6 +28,8 @@ WINDOW, ANCHOR = 200, 32
 HELD, HELD_BYTES = 1 << 20, 1 << 23
 #: An anchor with more contexts than this is dealt by finer keys: the bytes that STEP windows in a row share.
 CROWDED, STEP = 64, 25
+#: Each range of hashes has two to this many shards; a shard's arrays take some 150 times its bytes.
+SHARDS = 4
 #: Windows of one text that are worked on at once.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -339,7 +341,7 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
     def emit(rows):
         by: dict[int, list] = {}
         for r in rows:
-            by.setdefault(r[0] >> (64 - bits), []).append(r)
+            by.setdefault(r[0] >> (64 - bits - SHARDS), []).append(r)
         out = [(b, np.array([r[1] for r in x], "<u8").tobytes(), np.array([[r[2], len(r[3]), r[4]] for r in x], "<u4").tobytes(),
                 b"".join(r[3] for r in x)) for b, x in by.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))],
