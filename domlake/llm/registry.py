@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from domlake.llm import hnsw, jaccard_join, kneser_ney, language_id, license_scan, mixing, suffix_dedup, toxicity, url_rules
+from domlake.llm import decontaminate, hnsw, jaccard_join, kneser_ney, language_id, license_scan, mixing, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op4_url_rules": url_rules.op4_url_rules,
     "op2_embedding_dedup": hnsw.op2_embedding_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_lm_scores": kneser_ney.op7_lm_scores,
     "op8_licenses": license_scan.op8_licenses,
