@@ -77,7 +77,7 @@ class Automaton:
             return frozenset(states.items())
 
         letters = sorted({c for t in terms for c in t})
-        start = closed({0: 0}) if terms else frozenset()
+        start = closed({0: 0})
         index, todo, table, accept = {frozenset(): 0, start: 1}, [start], {}, {}
         while todo:
             state = todo.pop()
