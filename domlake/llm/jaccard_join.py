@@ -2,7 +2,8 @@
 
 A document is its set of word shingles. Shingles have one order for all documents: those that many documents
 hold come last, the rest by hash. Two sets of the wanted similarity share a shingle of their prefixes, the
-first few in that order. Documents with the same prefix and size are one group in the index from shingles
+first few in that order. A document whose leading shingles are too seldom met elsewhere links with no other text
+and stays out of the index. Documents with the same prefix and size are one group in the index from shingles
 to groups; groups that share a prefix shingle and are of fitting sizes are candidates, expanded to their
 members and verified on whole sets.
 
@@ -52,6 +53,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many of the first 3/2 prefix_size shingles by hash a set of n has in common with any set it links
+    to, at the least: sets that share the part wanted of n share one of their prefixes, and one more for
+    each shingle that both prefixes are drawn out by."""
+    return prefix_size(-(-percent * n // 100), percent) // 2 + 1
+
+
 def set_hash(s: np.ndarray) -> np.uint64:
     return common.mix(np.array([common.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0]
 
@@ -75,8 +83,9 @@ class Index:
         return np.searchsorted((hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
 
 
-def count_often(docs: DataFrame, index: Index) -> None:
-    """Table "often": shingles in many documents' prefixes and half as much again, prefixes by hash alone."""
+def count_shared(docs: DataFrame, index: Index) -> None:
+    """Table "shared": shingles that are in two and more documents' prefixes and half as much again, by hash
+    alone, with how many."""
     bits, folder, k, percent, cuts = index.bits, index.folder, index.k, index.percent, index.cuts
 
     def emit(parts):
@@ -106,18 +115,19 @@ def count_often(docs: DataFrame, index: Index) -> None:
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
         total = np.add.reduceat(n[order], first)
-        often = total > OFTEN
-        arrays.save(folder, f"often-{bucket}", keys[order][first][often], total[often].astype(float))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([int(often.sum())], pa.int64())})
+        shared = total > 1
+        arrays.save(folder, f"shared-{bucket}", keys[order][first][shared], total[shared].astype(float))
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([int(shared.sum())], pa.int64())})
 
     rows = (docs.select("text").mapInArrow(read, "bucket int, keys binary, n binary")
             .groupBy("bucket").applyInArrow(merge, "bucket int, n long").collect())  # a row for each range of hashes
-    index.files["often"] = {r["bucket"]: f"often-{r['bucket']}" for r in rows if r["n"]}
+    index.files["shared"] = {r["bucket"]: f"shared-{r['bucket']}" for r in rows if r["n"]}
 
 
 def signatures(docs: DataFrame, index: Index) -> DataFrame:
-    """kind 0: doc_id, n, set (hash of the set), grp (hash of prefix and size); kind 1: index entries, packed by
-    range of shingle hashes (entries of often-met shingles also by group)."""
+    """Rows of documents: doc_id, n, set (hash of the set), grp (hash of prefix and size; null if the document
+    shares too few shingles to link with another text); and index entries, packed by range of shingle
+    hashes (entries of often-met shingles also by group)."""
     bits, k, percent = index.bits, index.k, index.percent
 
     def emit(parts):
@@ -149,21 +159,21 @@ def signatures(docs: DataFrame, index: Index) -> DataFrame:
         for b in batches:
             for t in common.texts(b.column("text")):
                 sets = shingle_sets(t, k)
-                all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                _, often = index.find("often", all_)
-                at, ns, hashes, grps = 0, [], [], []
-                for s in sets:
-                    late = often[at: at + len(s)]
-                    at += len(s)
+                pools = [s[: 3 * prefix_size(len(s), percent) // 2] for s in sets]
+                count, _ = index.find("shared", np.concatenate(pools))
+                edge = np.concatenate([[0], np.cumsum([len(p) for p in pools])])
+                shared = np.concatenate([[0], np.cumsum(count > 1)])[edge]
+                ns, hashes, grps = [], [], []
+                for s, c in zip(sets, np.diff(shared).tolist(), strict=True):
                     ns.append(len(s))
-                    if not len(s):
-                        hashes.append(None)
+                    hashes.append(int(set_hash(s).astype(np.int64)) if len(s) else None)
+                    if not len(s) or c < least_shared(len(s), percent):
                         grps.append(None)
                         continue
+                    late = index.find("shared", s)[0] > OFTEN
                     size_ = prefix_size(len(s), percent)
                     order = np.concatenate([np.flatnonzero(~late)[:size_], np.flatnonzero(late)])[:size_]
                     grp = set_hash(np.append(s[order], np.uint64(len(s))))
-                    hashes.append(int(set_hash(s).astype(np.int64)))
                     grps.append(int(grp.astype(np.int64)))
                     parts.append((s[order], np.full(size_, grp), np.full(size_, len(s)), late[order]))
                     size += size_
@@ -299,11 +309,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingles are compared by 64-bit hashes. Other columns are not read; no rows give no rows."""
     spark = docs.sparkSession
     index = Index(docs, k, percent)
-    count_often(docs, index)
+    count_shared(docs, index)
     signed = common.staged(signatures(docs, index))
     rows = signed.where("bucket is null").select("doc_id", "n", "set", "grp")
     lists = postings(signed.where("bucket is not null").select("bucket", "tokens", "grps", "sizes", "late"), percent)
-    members = rows.where("set is not null").select("grp", "set", "n").distinct()
+    members = rows.where("grp is not null").select("grp", "set", "n").distinct()
     twins = members.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select(F.col("grp").alias("list"), "grp")
     open_ = common.staged(lists.unionByName(twins).join(members, "grp").select("list", "set", "n").distinct())
     save_sets(docs, index, open_)
