@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Most keys a semi-join may broadcast; beyond it both sides are shuffled.
 BROADCAST_KEYS = 500_000
 #: Bytes of text that numpy works on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Space and the control characters tab to carriage return end a word.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -47,6 +47,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_bucket(df: DataFrame, times: int = 1):
+    """Packed blocks grouped by their range of hashes. The number of partitions is stated, for blocks are
+    denser than the rows that adaptive execution judges partitions by."""
+    return df.repartition(times * shuffle_width(df.sparkSession), "bucket").groupBy("bucket")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -111,7 +117,7 @@ _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK * 2)
+        size = max(n, CHUNK * 4)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -31,7 +31,7 @@ STARS = 2
 #: Parts that the posting list of an often-met shingle is dealt to.
 SALTS = 16
 #: Index entries, and bytes of sets, that a task holds before it hands them on.
-HELD, HELD_BYTES = 1 << 20, 1 << 23
+HELD, HELD_BYTES = 1 << 18, 1 << 22
 
 
 def shingle_sets(t: common.Texts, k: int) -> list[np.ndarray]:
@@ -119,8 +119,8 @@ def count_shared(docs: DataFrame, index: Index) -> None:
         arrays.save(folder, f"shared-{bucket}", keys[order][first][shared], total[shared].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([int(shared.sum())], pa.int64())})
 
-    rows = (docs.select("text").mapInArrow(read, "bucket int, keys binary, n binary")
-            .groupBy("bucket").applyInArrow(merge, "bucket int, n long").collect())  # a row for each range of hashes
+    rows = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, keys binary, n binary"))
+            .applyInArrow(merge, "bucket int, n long").collect())  # a row for each range of hashes
     index.files["shared"] = {r["bucket"]: f"shared-{r['bucket']}" for r in rows if r["n"]}
 
 
@@ -209,7 +209,7 @@ def postings(entries: DataFrame, percent: int) -> DataFrame:
         name = np.where(late, token, np.repeat(name, size))
         return pa.table({"list": name.view(np.int64), "grp": grp.view(np.int64)})
 
-    rows = entries.groupBy("bucket").applyInArrow(gather, "list long, grp long").distinct()
+    rows = common.by_bucket(entries).applyInArrow(gather, "list long, grp long").distinct()
     return rows
 
 
@@ -271,8 +271,8 @@ def save_sets(docs: DataFrame, index: Index, wanted: DataFrame) -> None:
         arrays.save(folder, f"flat-{bucket}", flat, np.zeros(0))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    rows = (docs.select("text").mapInArrow(read, "bucket int, sets binary, sizes binary, tokens binary")
-            .groupBy("bucket").applyInArrow(keep, "bucket int").collect())
+    rows = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, sets binary, sizes binary, tokens binary"))
+            .applyInArrow(keep, "bucket int").collect())
     for table in ("from", "size", "flat"):
         index.files[table] = {r["bucket"]: f"{table}-{r['bucket']}" for r in rows}
 

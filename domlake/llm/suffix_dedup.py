@@ -25,11 +25,11 @@ from domlake.llm import arrays, common
 #: Bytes of a repeated string, and of an anchor.
 WINDOW, ANCHOR = 200, 32
 #: Anchors that a task holds before it hands them on, and bytes of contexts.
-HELD, HELD_BYTES = 1 << 20, 1 << 23
+HELD, HELD_BYTES = 1 << 18, 1 << 22
 #: An anchor with more contexts than this is dealt by finer keys: the bytes that STEP windows in a row share.
 CROWDED, STEP = 64, 25
 #: Each range of hashes has two to this many shards; a shard's arrays take some 150 times its bytes.
-SHARDS = 4
+SHARDS = 2
 #: Windows of one text that are worked on at once.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -110,7 +110,8 @@ def _ranks(names: np.ndarray) -> np.ndarray:
 
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffixes in order of a text of symbols below size; the last symbol is 0 and nowhere else."""
-    text = text.astype(np.uint16)
+    present = np.bincount(text, minlength=size) > 0
+    text, size = (np.cumsum(present) - 1).astype(np.uint16)[text], int(present.sum())  # symbols in use, in order
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -138,28 +139,26 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def permuted_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarray:
-    """For each position, how much its suffix shares with the one before it in order; most is enough."""
+    """For each of some suffixes in order, by its position, how much it shares with the one before it, as far
+    as most."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[suffixes[1:]] = suffixes[:-1]
+    up, down = common.powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(common.mix(text.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     shared = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.uint16), np.zeros(4, np.uint16)])
-    four = sum(padded[i: i + n + 1].astype(np.uint64) << np.uint64(16 * i) for i in range(4))
     here = np.flatnonzero(before >= 0)
-    for at in range(0, most, 4):
-        there = before[here]
-        same = (here + at < n) & (there + at < n)
-        here, there = here[same], there[same]
-        same = four[here + at] == four[there + at]
-        shared[here[same]] = at + 4
-        for i in range(3, 0, -1):  # how far the last, unequal, step goes
-            part = ~same & (shared[here] == at)
-            mask = np.uint64((1 << 16 * i) - 1)
-            ok = part & ((four[np.minimum(here + at, n)] ^ four[np.minimum(there + at, n)]) & mask == 0)
-            shared[here[ok]] = at + i
-        here = here[same]
-        if not len(here):
-            break
+    there = before[here]
+    step = 1 << most.bit_length()
+    while step := step // 2:  # halving: equal hashes, equal symbols
+        inside = np.flatnonzero(np.maximum(here, there) + step <= n)
+        i, j = here[inside], there[inside]
+        same = (total[i + step] - total[i]) * down[i] == (total[j + step] - total[j]) * down[j]
+        here[inside[same]] += step
+        there[inside[same]] += step
+    at = np.flatnonzero(before >= 0)
+    shared[at] = here - at
     return shared
 
 
@@ -171,16 +170,19 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     text[-1] = 0
     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     text[np.repeat(begin, size) + inner] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + 2
-    suffixes = suffix_array(text, 258)
-    shared = permuted_prefixes(text, suffixes, WINDOW)
-    group = np.cumsum(shared[suffixes] < WINDOW)
     windows = np.maximum(0, size - WINDOW + 1)
     own = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = np.repeat(begin, windows) + own
+    asked = np.zeros(len(text), bool)
+    asked[starts] = True
+    suffixes = suffix_array(text, 258)
+    suffixes = suffixes[asked[suffixes]]  # those that a window starts
+    shared = permuted_prefixes(text, suffixes, WINDOW)
+    group = np.cumsum(shared[suffixes] < WINDOW)
     group_at = np.empty(len(text), np.int64)
     group_at[suffixes] = group
     of = group_at[starts]
-    twice = np.bincount(of, minlength=int(group[-1]) + 1)[of] > 1
+    twice = np.bincount(of, minlength=len(of) + 1)[of] > 1
     return np.split(twice, np.cumsum(windows)[:-1])
 
 
@@ -278,7 +280,7 @@ def count_contexts(docs: DataFrame, found: Found) -> None:
     def read(batches):
         parts, size = [], 0
         for b in batches:
-            for t in common.texts(b.column("text")):
+            for t in common.texts(b.column("text"), common.CHUNK // 2):
                 for a, _ in pieces(t):
                     parts.append((a.fp, a.id, np.ones(len(a.fp), np.int64)))
                     size += len(a.fp)
@@ -304,8 +306,8 @@ def count_contexts(docs: DataFrame, found: Found) -> None:
         arrays.save(folder, f"mixed-{bucket}", fp[order][first][mixed], kinds[mixed].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    rows = (docs.select("text").mapInArrow(read, "bucket int, fp binary, id binary, n binary")
-            .groupBy("bucket").applyInArrow(merge, "bucket int").collect())  # a row for each range of hashes
+    rows = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, fp binary, id binary, n binary"))
+            .applyInArrow(merge, "bucket int").collect())  # a row for each range of hashes
     for table in ("many", "mixed"):
         found.files[table] = {r["bucket"]: f"{table}-{r['bucket']}" for r in rows}
 
@@ -350,7 +352,7 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
     def read(batches):
         rows, size = [], 0
         for b in batches:
-            for t in common.texts(b.column("text")):
+            for t in common.texts(b.column("text"), common.CHUNK // 2):
                 for a, _ in pieces(t):
                     for r in asked(a):
                         rows.append(r)
@@ -400,9 +402,9 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
         arrays.save(folder, f"part-{bucket}", keys[order], spans[order].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    rows = (docs.select("text").mapInArrow(read, "bucket int, ids binary, shape binary, bytes binary")
-            .groupBy("bucket").applyInArrow(shard, "bucket int, ids binary, spans binary")
-            .groupBy("bucket").applyInArrow(keep, "bucket int").collect())  # a row for each range of hashes
+    compared = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, ids binary, shape binary, bytes binary"), 4)
+                .applyInArrow(shard, "bucket int, ids binary, spans binary"))
+    rows = (common.by_bucket(compared).applyInArrow(keep, "bucket int").collect())  # a row for each range of hashes
     found.files["part"] = {r["bucket"]: f"part-{r['bucket']}" for r in rows}
 
 
@@ -440,7 +442,7 @@ def measure(docs: DataFrame, found: Found) -> DataFrame:
     Rows that repeat stay, and repeat each other's text. Other columns are not read."""
     def read(batches):
         for b in batches:
-            for t in common.texts(b.column("text")):
+            for t in common.texts(b.column("text"), common.CHUNK // 2):
                 gone = removed(t, found)
                 before = np.append(False, gone)[: len(gone)]
                 before[t.offsets[:-1][t.offsets[:-1] < len(gone)]] = False
@@ -465,7 +467,7 @@ def remove(docs: DataFrame, found: Found) -> DataFrame:
     def read(batches):
         for b in batches:
             out = []
-            for t in common.texts(b.column("text")):
+            for t in common.texts(b.column("text"), common.CHUNK // 2):
                 gone = removed(t, found)
                 size = t.offsets - np.concatenate([[0], np.cumsum(gone)])[t.offsets]
                 kept = t.buf[~gone].tobytes()
