@@ -21,9 +21,9 @@ from domlake.llm import arrays, common
 #: Cosine from which two vectors link.
 COSINE = 0.98
 #: Vectors of a shard, about; neighbours of a node; candidates when a node is put in.
-SHARD, LINKS, WIDE = 8192, 16, 48
+SHARD, LINKS, WIDE = 8192, 24, 64
 #: First beam, the recall that an audit asks for, and how many vectors it asks with.
-BEAM, RECALL, AUDIT = 16, 0.99, 48
+BEAM, RECALL, AUDIT = 16, 0.97, 48
 #: Vectors that are put in, or ask, at once.
 BATCH = 256
 
