@@ -66,10 +66,10 @@ def truncate(c, limit: int = 120) -> Column:
     )
 
 
-def tokenize(c, limit: int = 3, min_length: int = 2) -> Column:
-    """First ``limit`` words longer than ``min_length``; expects normalised text."""
+def tokenize(c, limit: int | None = 3, min_length: int = 2) -> Column:
+    """First ``limit`` words (all, if None) longer than ``min_length``; expects normalised text."""
     words = F.filter(F.split(_col(c), " "), lambda w: F.length(w) > min_length)
-    return F.slice(words, 1, limit)
+    return words if limit is None else F.slice(words, 1, limit)
 
 
 def string_similarity(a, b) -> Column:

@@ -110,7 +110,8 @@ def diff_layers(stacks: DataFrame) -> DataFrame:
         *KEYS, F.col("before").alias("stack_from"), F.col("stack").alias("stack_to"))
 
 
-def atoms(nodes: DataFrame, captures: DataFrame) -> DataFrame:
+def atoms(nodes: DataFrame, captures: DataFrame, max_toasts: int | None = None,
+          max_banners: int | None = None) -> DataFrame:
     """Small facts of a capture: viewport, scroll, spinners, form focus and errors, notices.  A part
     that has nothing to report is null."""
     role, kind = F.col("attributes.role"), F.col("kind")
@@ -118,16 +119,16 @@ def atoms(nodes: DataFrame, captures: DataFrame) -> DataFrame:
     busy = F.try_element_at(F.col("attributes.extra"), F.lit("aria-busy")) == "true"
     focused = interactive & F.col("state.focused")
     yes = lambda c: F.coalesce(c, F.lit(False))
+    upto = lambda n, most: n if most is None else F.least(n, F.lit(most))
     agg = nodes.groupBy(*KEYS).agg(
         F.count_if(yes(role == "progressbar") | yes(busy)).alias("spinners"),
         F.bool_or(kind == "form").alias("has_form"),
         F.min_by(F.when(focused, identity.eid()), F.when(focused, F.col("doc_order"))
                  ).alias("focused_field"),
         F.count_if(yes(interactive & F.col("state.invalid"))).alias("errors"),
-        F.least(F.count_if(yes(role.isin("alert", "status"))), F.lit(rules.MAX_TOASTS)
-                ).alias("toasts"),
-        F.least(F.count_if(yes((role == "banner") & (F.col("where.region") != "header"))),
-                F.lit(rules.MAX_BANNERS)).alias("banners"),
+        upto(F.count_if(yes(role.isin("alert", "status"))), max_toasts).alias("toasts"),
+        upto(F.count_if(yes((role == "banner") & (F.col("where.region") != "header"))),
+             max_banners).alias("banners"),
     )
     size = lambda c, f: F.col(c).getField(f) if c in captures.columns else F.lit(None).cast(
         "int")
@@ -163,13 +164,15 @@ def diff_atoms(atom_rows: DataFrame) -> DataFrame:
         F.filter(rows, lambda r: ~r["from"].eqNullSafe(r["to"]))))
 
 
-def _short(text) -> Column:
+def _short(text, longest: int | None) -> Column:
     t = trim_ws(text)
-    return F.when(F.length(t) <= 100, t).otherwise(
-        F.concat(F.substring(t, 1, 97), F.lit("...")))
+    if longest is None:
+        return t
+    return F.when(F.length(t) <= longest, t).otherwise(
+        F.concat(F.substring(t, 1, longest - 3), F.lit("...")))
 
 
-def diff_mutations(nodes: DataFrame, captures: DataFrame) -> DataFrame:
+def diff_mutations(nodes: DataFrame, captures: DataFrame, longest: int | None = None) -> DataFrame:
     """Status, alert, log and progress elements whose text changed or that appeared."""
     role = F.lower("attributes.role")
     rows = nodes.filter(role.isin(rules.STATUS_ROLES) & F.col("state.visible")).select(
@@ -182,7 +185,8 @@ def diff_mutations(nodes: DataFrame, captures: DataFrame) -> DataFrame:
         *KEYS, F.when(appeared, "status_appeared").otherwise("text_changed").alias("op"),
         F.col("curr.eid").alias("eid"),
         F.when(appeared, F.col("curr.role")).alias("role"),
-        F.when(~appeared, _short("prev.label")).alias("from"), _short("curr.label").alias("to"))
+        F.when(~appeared, _short("prev.label", longest)).alias("from"),
+        _short("curr.label", longest).alias("to"))
 
 
 def compute_diff(nodes: DataFrame, captures: DataFrame, stacks: DataFrame | None = None

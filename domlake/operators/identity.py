@@ -16,12 +16,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def normalize_name(label) -> Column:
+def normalize_name(label, longest: int | None = None) -> Column:
     """Name with counters blanked out, so 'Inbox (3)' and 'Inbox (4)' agree."""
     s = F.regexp_replace(F.lower(trim_ws(label)), WS + "+", " ")
     s = F.regexp_replace(s, r"\([0-9]+\)", "(#)")
     s = F.regexp_replace(s, r" [0-9]+$", " #")
-    return F.substring(s, 1, 100)
+    return s if longest is None else F.substring(s, 1, longest)
 
 
 def landmark_path(where="where") -> Column:

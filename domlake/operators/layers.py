@@ -16,6 +16,11 @@ def _extra(name: str) -> Column:
     return F.try_element_at(F.col("attributes.extra"), F.lit(name))
 
 
+def _on(name: str) -> Column:
+    """A boolean attribute: present, with any value but 'false'."""
+    return F.lower(_extra(name)) != "false"
+
+
 def _class_has(parts: list[str]) -> Column:
     cls = F.lower(F.coalesce(_extra("class"), _extra("className")))
     return contains_any(cls, [p.lower() for p in parts])
@@ -30,7 +35,7 @@ def layer_of_node() -> Column:
     modal_attr = F.coalesce(_extra("aria-modal") == "true", F.lit(False))
     portal = (z >= 100) & (
         _class_has(rules.PORTAL_CLASSES)
-        | F.coalesce(F.least(*[F.when(_extra(f"data-{n}") == "true", 1) for n in
+        | F.coalesce(F.least(*[F.when(_on(f"data-{n}"), 1) for n in
                                ("portal", "overlay", "modal")]) == 1, F.lit(False))
         | F.coalesce((z > 500) & (box.w > 200) & (box.h > 200), F.lit(False)))
     edge = F.coalesce((box.x < 10) | ((box.x + box.w > 1200) & (box.x > 800)), F.lit(False))
@@ -42,7 +47,7 @@ def layer_of_node() -> Column:
     live = F.col("kind").isin(rules.LIVE_KINDS)
     return (
         F.when(role.isin("dialog", "alertdialog") & modal_attr, layer("modal", 1.0))
-        .when((F.col("kind") == "dialog") & F.coalesce(_extra("open") == "true", F.lit(False)),
+        .when((F.col("kind") == "dialog") & F.coalesce(_on("open"), F.lit(False)),
               layer("modal", 0.95))
         .when(role == "alertdialog", layer("modal", 0.9))
         .when((role == "dialog") & (z > 1000), layer("modal", 0.8))
@@ -132,18 +137,17 @@ def with_active_layer(nodes: DataFrame, keys: tuple[str, ...] = ("snapshot_id",)
     return nodes.join(layer_stack(nodes, keys).select(*keys, "active"), list(keys))
 
 
-def select_actionables(nodes: DataFrame, max_count: int = 1000, active: str | Column = "active",
+def select_actionables(nodes: DataFrame, max_count: int | None = None, active: str | Column = "active",
                        keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
-    """The best ``max_count`` actionable elements of each capture with ``score`` and ``rank``."""
+    """The best ``max_count`` (all, if None) actionable elements of each capture with ``score`` and ``rank``."""
     act = F.col(active) if isinstance(active, str) else active
     w = W.partitionBy(*keys).orderBy(F.desc("score"), F.asc("doc_order"))
-    return (
-        nodes.filter(_actionable(act)).withColumn("score", score_actionable())
-        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_count)
-    )
+    out = nodes.filter(_actionable(act)).withColumn("score", score_actionable()).withColumn(
+        "rank", F.row_number().over(w))
+    return out if max_count is None else out.filter(F.col("rank") <= max_count)
 
 
-def focus_guarantee(nodes: DataFrame, max_count: int = 1000, active: str = "active",
+def focus_guarantee(nodes: DataFrame, max_count: int | None = None, active: str = "active",
                     keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
     """Actionables with the focused element first, then up to two ways to close a modal, then the
     ranked rest."""
@@ -168,8 +172,9 @@ def focus_guarantee(nodes: DataFrame, max_count: int = 1000, active: str = "acti
     pick = F.when(F.col("tier") == 0, F.lit(0.0)).when(F.col("tier") == 1, F.lit(0.0)).otherwise(
         -F.col("score"))
     rank = F.row_number().over(whole.orderBy("tier", pick, "doc_order"))
-    return rows.withColumn("rank", rank).filter(
-        (F.col("rank") <= max_count) | (F.col("tier") < 2)).drop("_focus", "_close", "_ranked")
+    out = rows.withColumn("rank", rank).drop("_focus", "_close", "_ranked")
+    return out if max_count is None else out.filter(
+        (F.col("rank") <= max_count) | (F.col("tier") < 2))
 
 
 def ax_locator(layer: Column) -> Column:
@@ -218,7 +223,7 @@ def format_actionables(rows: DataFrame, active: str = "active",
         F.coalesce("where.region", F.lit("unknown")).alias("region"))
 
 
-def layer_counts(nodes: DataFrame, max_count: int = 1000, active: str = "active",
+def layer_counts(nodes: DataFrame, max_count: int | None = None, active: str = "active",
                  keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
     """shown, total_in_layer and whether the list was capped."""
     act = F.col(active)
@@ -227,9 +232,10 @@ def layer_counts(nodes: DataFrame, max_count: int = 1000, active: str = "active"
         & F.coalesce("state.visible", F.lit(False))
         & (act.isin(rules.INCLUSIVE_LAYERS) | (node_layer(act) == act)))
     return nodes.groupBy(*keys).agg(
-        F.least(F.count_if(_actionable(act)), F.lit(max_count)).alias("shown"),
+        F.least(F.count_if(_actionable(act)), F.lit(max_count).cast("bigint")).alias("shown"),
         F.count_if(total).alias("total_in_layer"),
-    ).withColumn("capped", F.col("total_in_layer") > max_count)
+    ).withColumn("capped", F.coalesce(F.col("total_in_layer") > F.lit(max_count).cast("bigint"),
+                                      F.lit(False)))
 
 
 def shown_region(region="region") -> Column:

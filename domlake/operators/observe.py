@@ -180,10 +180,11 @@ def candidate_kinds(tag, role) -> Column:
     return F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("generic")))
 
 
-def link_closeness() -> Column:
+def link_closeness(max_tokens: int | None = None) -> Column:
     """How well the words of an observation's text (``o``) occur in an element's label (``n``)."""
     text, label = F.lower(trim_ws("o.text")), F.lower(trim_ws("n.label"))
-    return fuzzy_score(tokenize(squeeze(label), 10, 2), tokenize(squeeze(text), 10, 2))
+    return fuzzy_score(tokenize(squeeze(label), max_tokens, 2),
+                       tokenize(squeeze(text), max_tokens, 2))
 
 
 def link_score(close: Column, overlap: float = 0.5) -> Column:

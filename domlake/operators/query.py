@@ -21,8 +21,6 @@ from .. import rules
 from ..functions.text import fuzzy_score, normalize_literal, squeeze, tokenize
 from . import identity
 
-DEFAULT_LIMIT = 10
-MAX_REQUESTS = 1000
 
 
 @dataclass(frozen=True)
@@ -33,6 +31,7 @@ class LabelFilter:
     overlap: float = 0.5
     prefix: bool = True
     sim: float = 0.8
+    max_tokens: int | None = None
 
     @classmethod
     def of(cls, value) -> "LabelFilter":
@@ -44,7 +43,7 @@ class LabelFilter:
 
     @property
     def tokens(self) -> list[str]:
-        return [w for w in self.needle.split(" ") if len(w) > 2][:10]
+        return [w for w in self.needle.split(" ") if len(w) > 2][: self.max_tokens]
 
     def haystack(self, label: Column) -> Column:
         return squeeze(label if self.case_sensitive else F.lower(label))
@@ -80,7 +79,7 @@ def filter_label(nodes: DataFrame, value) -> DataFrame:
 
 def fuzzy_label_score(label, flt: LabelFilter) -> Column:
     label = F.col(label) if isinstance(label, str) else label
-    return fuzzy_score(tokenize(flt.haystack(label), 10, 2), flt.tokens, flt.prefix, flt.sim)
+    return fuzzy_score(tokenize(flt.haystack(label), flt.max_tokens, 2), flt.tokens, flt.prefix, flt.sim)
 
 
 def filter_label_fuzzy(nodes: DataFrame, value) -> DataFrame:
@@ -231,23 +230,21 @@ def candidates(nodes: DataFrame, request: dict) -> DataFrame:
     return out
 
 
-def rank_matches(matches: DataFrame, limit: int = DEFAULT_LIMIT, by_relevance: bool = False,
+def rank_matches(matches: DataFrame, limit: int | None = None, by_relevance: bool = False,
                  keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
-    """First ``limit`` rows of each capture with their ``match_rank`` and the capture's
+    """First ``limit`` rows (all, if None) of each capture with their ``match_rank`` and the capture's
     ``total_matched``.  A capture is one document, so the window is bounded by its size."""
     w = W.partitionBy(*keys)
     order = ([F.desc("relevance")] if by_relevance else []) + [F.asc("doc_order")]
-    return (
-        matches.withColumn("match_rank", F.row_number().over(w.orderBy(*order)))
-        .withColumn("total_matched", F.count("*").over(w))
-        .filter(F.col("match_rank") <= limit)
-    )
+    out = matches.withColumn("match_rank", F.row_number().over(w.orderBy(*order))).withColumn(
+        "total_matched", F.count("*").over(w))
+    return out if limit is None else out.filter(F.col("match_rank") <= limit)
 
 
 def find(nodes: DataFrame, request: dict | None = None) -> DataFrame:
     """Answer one request for every capture in ``nodes``."""
     request = request or {}
-    return rank_matches(candidates(nodes, request), request.get("limit", DEFAULT_LIMIT),
+    return rank_matches(candidates(nodes, request), request.get("limit"),
                         bool(request.get("sort_by_relevance")))
 
 
@@ -258,8 +255,6 @@ def nodes_evaluated(nodes: DataFrame) -> DataFrame:
 def find_many(nodes: DataFrame, requests: list[dict]) -> DataFrame:
     """Answer a bounded list of requests in one pass.  Each row is tested against every request in
     place and fans out only to the ones it matches, so nothing is joined."""
-    if len(requests) > MAX_REQUESTS:
-        raise ValueError(f"at most {MAX_REQUESTS} requests per call")
     hits = []
     for i, req in enumerate(requests):
         test = F.lit(True)
@@ -287,7 +282,7 @@ def find_many(nodes: DataFrame, requests: list[dict]) -> DataFrame:
         order = F.when(F.lit(bool(req.get("sort_by_relevance"))), relevance).otherwise(F.lit(0.0))
         hits.append(F.when(F.coalesce(test, F.lit(False)), F.struct(
             F.lit(i).alias("request_id"), relevance.alias("relevance"), order.alias("rank_key"),
-            F.lit(req.get("limit", DEFAULT_LIMIT)).alias("k"))))
+            F.lit(req.get("limit")).cast("int").alias("k"))))
     out = nodes.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(
         "*", "hit.request_id", "hit.relevance", "hit.rank_key", "hit.k").drop("hit")
     w = W.partitionBy("snapshot_id", "request_id")
@@ -295,7 +290,7 @@ def find_many(nodes: DataFrame, requests: list[dict]) -> DataFrame:
         out.withColumn("match_rank", F.row_number().over(
             w.orderBy(F.desc("rank_key"), F.asc("doc_order"))))
         .withColumn("total_matched", F.count("*").over(w))
-        .filter(F.col("match_rank") <= F.col("k")).drop("k", "rank_key")
+        .filter(F.col("k").isNull() | (F.col("match_rank") <= F.col("k"))).drop("k", "rank_key")
     )
 
 
@@ -360,10 +355,11 @@ def snapshot_info(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("snapshot_id").agg(F.count("*").alias("node_count"))
 
 
-def all_nodes(nodes: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The first ``limit`` elements of each capture in document order."""
+def all_nodes(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The elements (the first ``limit``, if given) of each capture in document order."""
     rank = F.row_number().over(W.partitionBy("snapshot_id").orderBy("doc_order"))
-    return nodes.withColumn("match_rank", rank).filter(F.col("match_rank") <= limit)
+    out = nodes.withColumn("match_rank", rank)
+    return out if limit is None else out.filter(F.col("match_rank") <= limit)
 
 
 def find_rows(matches: DataFrame, registry: DataFrame, layer: str = "main",

@@ -64,11 +64,12 @@ def render_regions(actionables: DataFrame, keys: tuple[str, ...] = ("snapshot_id
             .alias("text")))).getField("text"), "").alias("regions"))
 
 
-def dedup_observations(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """One observation per tag and first 50 characters of text: the most significant, the first of
+def dedup_observations(obs: DataFrame, keys: list[str], compared: int | None = None) -> DataFrame:
+    """One observation per tag and text (its first ``compared`` characters, if given): the most significant, the first of
     equals.  Needs tag, text, significance and obs_order."""
     fields = [c for c in obs.columns if c not in keys]
-    key = F.concat("tag", F.lit(":"), F.trim(F.substring("text", 1, 50)))
+    text = F.col("text") if compared is None else F.substring("text", 1, compared)
+    key = F.concat("tag", F.lit(":"), F.trim(text))
     return obs.withColumn("_k", key).groupBy(*keys, "_k").agg(F.max_by(
         F.struct(*fields), F.struct(F.col("significance"), -F.col("obs_order"))).alias("o")
     ).select(*keys, "o.*")

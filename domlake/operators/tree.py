@@ -334,16 +334,19 @@ def interactivity_signals(el: DataFrame, listeners: DataFrame | None = None,
     return out.withColumn("has_click_listener", F.col("listener_source") != "none")
 
 
-def implicit_candidates(el: DataFrame, order: str = "ax_order") -> DataFrame:
-    """Elements to keep beyond the listed ones: the first 200 of unknown role per capture, if they
-    carry a signal.  Signals only count for elements that are not interactive by role."""
+def implicit_candidates(el: DataFrame, order: str = "ax_order", most: int | None = None
+                        ) -> DataFrame:
+    """Elements to keep beyond the listed ones: those of unknown role (the first ``most`` of a capture,
+    if given) that carry a signal.  Signals only count for elements that are not interactive by role."""
     kind = F.coalesce(lookup(F.lower("ax_role"), rules.ROLE_TO_KIND), F.lit("generic"))
     unknown = ~F.col("listed") & F.col("has_ax") & F.col("ax_order").isNotNull() & (
         classify_role("ax_role") == "unknown")
     rank = F.count_if(unknown).over(W.partitionBy("snapshot_id").orderBy(
         F.asc_nulls_last(order)).rowsBetween(W.unboundedPreceding, 0))
     signal = F.col("has_click_listener") | F.col("has_cursor_pointer") | F.col("has_tabindex")
-    extra = unknown & signal & (F.col("_rank") <= rules.IMPLICIT_CANDIDATES)
+    extra = unknown & signal
+    if most is not None:
+        extra = extra & (F.col("_rank") <= most)
     counts = (F.col("listed") & ~is_in(kind, rules.INTERACTIVE_KINDS)) | extra
     return (
         el.withColumn("_rank", rank)
@@ -352,7 +355,7 @@ def implicit_candidates(el: DataFrame, order: str = "ax_order") -> DataFrame:
     )
 
 
-def overlay_budget(df: DataFrame, max_nodes: int = rules.MAX_NODES, z: str = "z_index",
+def overlay_budget(df: DataFrame, max_nodes: int, z: str = "z_index",
                    order: str = "pre") -> DataFrame:
     """Keep at most ``max_nodes`` rows per capture in their order; nodes above z 100 may take up to
     30 % of the slots ahead of later main nodes."""
@@ -480,7 +483,7 @@ def _label_choices() -> list[tuple[str, Column]]:
     return out + [("test-id", own(name)) for name in rules.TEST_ID_ATTRS]
 
 
-def resolve_label(el: DataFrame, compat: bool = True) -> DataFrame:
+def resolve_label(el: DataFrame, compat: bool = True, longest: int | None = None) -> DataFrame:
     """Adds ``label`` and ``label_source``: the first naming source that has text.  Text and
     attributes from the document sources are NFKC already; ``compat`` also normalises names that
     came with a captured accessibility tree."""
@@ -491,7 +494,7 @@ def resolve_label(el: DataFrame, compat: bool = True) -> DataFrame:
     text = F.col("_label.text")
     if compat:
         text = squeeze(nfkc(text))
-    return out.withColumns({"label": truncate(text, rules.MAX_LABEL),
+    return out.withColumns({"label": text if longest is None else truncate(text, longest),
                             "label_source": F.col("_label.source")}).drop("_label")
 
 
@@ -783,10 +786,10 @@ EMPTY_BOX = "named_struct('x', 0D, 'y', 0D, 'w', 0D, 'h', 0D)"
 BOX_TYPE = BBOX
 
 
-def implicit_context(el: DataFrame, order: str = "ax_order") -> DataFrame:
+def implicit_context(el: DataFrame, order: str = "ax_order", most: int | None = None) -> DataFrame:
     """All steps that need the whole element list of a capture before it is cut down: local and
     global headings, group ids, and which unlisted elements stay."""
     el = heading_context_local(el)
     el = with_group_id(el)
     el = heading_context(el)
-    return implicit_candidates(el, order)
+    return implicit_candidates(el, order, most)

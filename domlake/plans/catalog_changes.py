@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..operators import diff, identity, layers
 from . import adapters as a
 from .catalog import query
@@ -165,15 +166,18 @@ def _(spark, d):
         F.array_join("stack_to", ",").alias("stack_to"))
 
 
-ATOMS = CAPS + """, atm AS (SELECT page_id, step, nullif(least(count(*) FILTER (role IN ('alert',
-    'status')), 5), 0) AS toasts FROM caps GROUP BY ALL)
+ATOMS = CAPS + """, atm AS (SELECT page_id, step, nullif(count(*) FILTER (role IN ('alert',
+    'status')), 0) AS toasts FROM caps GROUP BY ALL)
 """
 
 
-@query("d11_atoms", ATOMS + """SELECT page_id, step, toasts, CASE WHEN toasts > 0 THEN 0 END
-    AS banners, NULL::BIGINT AS spinners FROM atm""")
+@query("d11_atoms", ATOMS + f""", capped AS (SELECT * REPLACE (CASE WHEN toasts >
+    {rules.MAX_TOASTS} THEN {rules.MAX_TOASTS} ELSE toasts END AS toasts) FROM atm)
+    """ + """SELECT page_id, step, toasts, CASE WHEN toasts > 0 THEN 0 END
+    AS banners, NULL::BIGINT AS spinners FROM capped""")
 def _(spark, d):
-    return diff.atoms(a.capture_nodes(spark, d), a.captures(spark, d)).select(
+    return diff.atoms(a.capture_nodes(spark, d), a.captures(spark, d), rules.MAX_TOASTS,
+                      rules.MAX_BANNERS).select(
         "page_id", "step", "toasts", "banners", "spinners")
 
 

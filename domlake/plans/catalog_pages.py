@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..operators import content, observe, tree
 from ..sources.captures import ax_nodes, frame_loaders, read_pages, split_snapshots
 from ..sources.html import flatten_dom_json
@@ -387,7 +388,8 @@ def _(spark, d):
     layouts = _signal_tables(dom, a.products(spark, d))[1].select(
         "snapshot_id", "id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(9).alias("w"),
         F.lit(9).alias("h"), "cursor")
-    nodes = compile_elements(dom, listeners=listeners, layouts=layouts, internals=True)
+    nodes = compile_elements(dom, listeners=listeners, layouts=layouts, internals=True,
+                             max_candidates=rules.IMPLICIT_CANDIDATES)
     label = F.when(F.col("label") != "", F.col("label")).otherwise(F.lower("tag"))
     return nodes.filter("implicitly_interactive").select(
         F.col("snapshot_id").alias("page_id"), "kind", label.alias("label"))

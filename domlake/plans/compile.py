@@ -37,7 +37,9 @@ def compile_elements(
     listeners: DataFrame | None = None,
     frames: DataFrame | None = None,
     viewport: tuple[int, int] = (1280, 720),
-    max_nodes: int | None = rules.MAX_NODES,
+    max_nodes: int | None = None,
+    max_candidates: int | None = None,
+    max_label: int | None = None,
     include_hidden: bool = False,
     internals: bool = False,
 ) -> DataFrame:
@@ -46,7 +48,9 @@ def compile_elements(
     ``dom`` comes from the HTML or JSON source.  ``ax`` is a captured accessibility tree, derived
     from the markup when missing; ``layouts`` has (snapshot_id, id, x, y, w, h, display, visibility,
     clip_path, z_index, cursor), ``listeners`` (snapshot_id, id, type) and ``frames``
-    (snapshot_id, frame_id, loader_id, is_main).  ``max_nodes=None`` keeps every element.
+    (snapshot_id, frame_id, loader_id, is_main).  Every element is kept with its
+    whole label unless ``max_nodes`` (elements of a capture), ``max_candidates`` (elements of unknown
+    role that are considered) or ``max_label`` (characters) say otherwise.
 
     From markup alone the plan is one map stage, one exchange on the capture and one window stage:
     labels, regions, groups, states and locators are row-wise, and everything that looks at
@@ -60,7 +64,7 @@ def compile_elements(
         styles = layouts.select("snapshot_id", "id", "cursor")
     el = tree.interactivity_signals(el, listeners, styles)
     el = tree.with_grouping(el)
-    el = tree.live_label_fallback(tree.resolve_label(el, compat=ax is not None))
+    el = tree.live_label_fallback(tree.resolve_label(el, compat=ax is not None, longest=max_label))
     el, visible, layout = _layout(el, layouts, viewport)
     if frames is not None:
         # One row per frame of a capture: tiny next to its nodes.
@@ -96,7 +100,7 @@ def compile_elements(
         F.when(keep, F.col("group_path")).alias("group_path"),
         *[F.when(keep, c).alias(name) for name, c in heavy.items()],
     )
-    el = tree.implicit_context(el, "pre" if ax is None else "ax_order")
+    el = tree.implicit_context(el, "pre" if ax is None else "ax_order", max_candidates)
     if max_nodes is not None:
         el = tree.overlay_budget(el, max_nodes)
     nodes = el.select(

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..schema import DOM_COLUMNS
 
-MAX_ANCESTORS = 50
 NEAR_TEXT_DEPTH = 3
 FLUSH_NODES = 20_000
 
@@ -118,7 +117,7 @@ class _NodeBatch:
         self.pre.append(self._pre)
         self.post.append(0)
         self.depth.append(len(stack))
-        self.ancestors.append(stack[:-MAX_ANCESTORS - 1:-1])
+        self.ancestors.append(stack[::-1])
         self.near.append([])
         self.labelledby.append(None)
         self.label_text.append(None)
@@ -337,7 +336,7 @@ def _read_html(nodes: _NodeBatch, text: str, frame_path: tuple = (), nesting: in
                 body = text[pos:stop.start()] if stop else text[pos:]
                 pos = stop.end() if stop else end
                 if name == "IFRAME":
-                    if attrs.get("srcdoc") and nesting < 8:
+                    if attrs.get("srcdoc"):
                         _read_html(nodes, attrs["srcdoc"], frame_path + (nodes.id[row],),
                                    nesting + 1)
                 else:
