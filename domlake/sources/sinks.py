@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.identity import latest_snapshot
@@ -27,23 +27,83 @@ def write_digest_text(digests: DataFrame, path: str, mode: str = "append") -> No
     digests.select(F.col("digest").alias("value")).write.mode(mode).text(path)
 
 
+def _manifests(spark: SparkSession, path: str) -> dict[int, str]:
+    """Manifests of a latest-capture table by version; a manifest counts once it is complete."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    found = {}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(
+                f"{path}/manifest/{name}/_SUCCESS")):
+            found[int(name[2:])] = f"{path}/manifest/{name}"
+    return found
+
+
+def _buckets(spark: SparkSession, manifest: str) -> dict[int, int]:
+    """bucket -> the version whose files hold it; one row for each bucket in use."""
+    rows = spark.read.schema("bucket int, version long").json(manifest).collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
 def merge_latest(batch: DataFrame, path: str, version: int, buckets: int = 64) -> None:
-    """Fold a batch of captures into the newest-per-page table kept as versioned directories.
-
-    Version ``n`` is computed from ``n - 1`` and the batch and written to its own directory, so a
-    retried batch simply writes the same directory again and readers never see a partial state."""
-    spark = batch.sparkSession
-    names = batch.columns
-    current = batch
-    try:
-        before = spark.read.parquet(f"{path}/v={version - 1}").select(*names)
-        current = before.unionByName(batch)
-    except Exception as err:  # noqa: BLE001
-        if version > 0 and "PATH_NOT_FOUND" not in str(err):
-            raise
-    latest = latest_snapshot(current).select(*names)
-    latest.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets))).write.mode(
-        "overwrite").partitionBy("bucket").parquet(f"{path}/v={version}")
+    """Fold a batch of captures into the newest-per-page table kept as versions of page buckets.
+
+    Version n rewrites only the buckets that the batch touches, under ``data/v=n``, and then writes a
+    manifest that names the version of every bucket; readers follow the manifest and never see a
+    partial state. A retried batch replaces its own version. An empty batch changes no bucket. A
+    missing predecessor is an error unless the table is new, so a batch is never silently dropped."""
+    spark, names = batch.sparkSession, batch.columns
+    done = {v: m for v, m in _manifests(spark, path).items() if v < version}
+    before = max(done, default=None)
+    if before is None and version > 0 and _manifests(spark, path):
+        raise ValueError(f"{path}: versions up to {version - 1} are gone")
+    if before is not None and before != version - 1:
+        raise ValueError(f"{path}: version {version - 1} is missing, the newest before is {before}")
+    held = {} if before is None else _buckets(spark, done[before])
+    placed = batch.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
+    if touched:
+        current = batch
+        old = [f"{path}/data/v={held[b]}/bucket={b}" for b in touched if b in held]
+        if old:
+            current = spark.read.schema(batch.schema).parquet(*old).select(*names).unionByName(batch)
+        latest_snapshot(current).select(*names).withColumn(
+            "bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")).repartition(
+            "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={version}")
+    held.update(dict.fromkeys(touched, version))
+    spark.createDataFrame(sorted(held.items()), "bucket int, version long").coalesce(1).write.mode(
+        "overwrite").json(f"{path}/manifest/v={version}")
+
+
+def read_latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest complete version of a latest-capture table."""
+    manifests = _manifests(spark, path)
+    held = _buckets(spark, manifests[max(manifests)]) if manifests else {}
+    if not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(
+        *(f"{path}/data/v={v}/bucket={b}" for b, v in sorted(held.items())))
+
+
+def vacuum_latest(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove what no manifest of the newest ``keep`` names; returns the folders removed."""
+    manifests = _manifests(spark, path)
+    newest = sorted(manifests)[-keep:]
+    needed = {(b, v) for n in newest for b, v in _buckets(spark, manifests[n]).items()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [manifests[v] for v in manifests if v not in newest]
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/v=*/bucket=*")):
+        at = status.getPath()
+        v, b = int(at.getParent().getName()[2:]), int(at.getName().split("=")[1])
+        if (b, v) not in needed and v <= max(newest, default=-1):
+            gone.append(at.toString())
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), True)
+    return gone
 
 
 def latest_sink(captures: DataFrame, path: str, checkpoint: str):

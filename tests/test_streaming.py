@@ -1,9 +1,4 @@
-"""Replaying a log as a stream gives what the batch operators give.
-
-Each replay takes about a minute in local mode; two run by default, all with DOMLAKE_ALL=1.
-"""
-
-import os
+"""Replaying a log as a stream gives what the batch operators give."""
 
 import pytest
 from pyspark.sql import Window
@@ -16,9 +11,6 @@ from domlake.sources.feeds import stream_files
 from domlake.streaming import feeds, stateful
 
 
-slow = pytest.mark.skipif(not os.environ.get("DOMLAKE_ALL"), reason="set DOMLAKE_ALL=1")
-
-
 def files(df, path, column, parts=3):
     """Write a table as a few files in the order of a column, one per micro-batch."""
     ranked = df.withColumn("_p", F.ntile(parts).over(
@@ -69,7 +61,6 @@ def test_newest_matches_ring_buffer(spark, data, tmp_path):
     assert want.exceptAll(got).count() == 0
 
 
-@slow
 def test_debounce_matches_batch(spark, data, tmp_path):
     stateful.use_rocksdb(spark)
     m = a.mutations(spark, data).withColumn("role", F.coalesce("role", F.lit("")))
@@ -84,7 +75,6 @@ def test_debounce_matches_batch(spark, data, tmp_path):
         want, "page_id", "role", "mut_id", "captured")
 
 
-@slow
 def test_latest_captures(spark, data, tmp_path):
     stateful.use_rocksdb(spark)
     caps = a.captures(spark, data).select("page_id", "step", "snapshot_id", "captured_at")
@@ -96,7 +86,6 @@ def test_latest_captures(spark, data, tmp_path):
     assert rows(got, "page_id", "step") == rows(want, "page_id", "step")
 
 
-@slow
 def test_latest_sink_keeps_one_row_per_page(spark, data, tmp_path):
     caps = a.captures(spark, data).select("page_id", "step", "snapshot_id", "captured_at")
     path = files(caps, str(tmp_path / "caps"), "step")
@@ -104,12 +93,11 @@ def test_latest_sink_keeps_one_row_per_page(spark, data, tmp_path):
                           str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     assert q.exception() is None
-    table = spark.read.parquet(str(tmp_path / "out" / "v=2"))
+    table = sinks.read_latest(spark, str(tmp_path / "out"), caps.schema)
     want = identity.latest_snapshot(caps).select("page_id", "step")
     assert rows(table, "page_id", "step") == rows(want, "page_id", "step")
 
 
-@slow
 def test_call_stats_and_bursts(spark, data, tmp_path):
     calls = a.net_calls(spark, data)
     path = files(calls, str(tmp_path / "calls"), "call_id")
@@ -131,7 +119,6 @@ def test_call_stats_and_bursts(spark, data, tmp_path):
     assert closed.exceptAll(batch).count() == 0
 
 
-@slow
 def test_assemble_calls_drops_late_completions(spark, data, tmp_path):
     ev = network.with_navigation_id(a.net_events(spark, data)).withColumn(
         "ts", F.col("ts").cast("timestamp"))
@@ -147,3 +134,42 @@ def test_assemble_calls_drops_late_completions(spark, data, tmp_path):
     want = network.assemble_calls(a.net_events(spark, data)).filter(
         "duration_ms IS NOT NULL").select("page_id", F.col("call_id").alias("request_id"))
     assert rows(done, "page_id", "request_id") == rows(want, "page_id", "request_id")
+
+
+CAPTURE = "page_id long, step int, snapshot_id string, captured_at timestamp"
+
+
+def capture(spark, *pairs):
+    return spark.createDataFrame([(p, s, f"{p}-{s}", None) for p, s in pairs], CAPTURE).withColumn(
+        "captured_at", F.timestamp_seconds(F.col("step") * 60))
+
+
+def test_latest_table_versions(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    now = lambda: rows(sinks.read_latest(spark, path, capture(spark).schema), "page_id", "step")
+    sinks.merge_latest(capture(spark), path, 0, 8)  # an empty first batch
+    assert now() == []
+    sinks.merge_latest(capture(spark, *((p, 1) for p in range(30))), path, 1, 8)
+    untouched = sorted(f.name for f in (tmp_path / "latest" / "data" / "v=1").rglob("*.parquet"))
+    sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2, 8)
+    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
+    assert len(list((tmp_path / "latest" / "data" / "v=2").glob("bucket=*"))) == 1
+    assert untouched == sorted(f.name for f in (tmp_path / "latest" / "data" / "v=1").rglob("*.parquet"))
+    sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2, 8)  # retried
+    sinks.merge_latest(capture(spark, (3, 2)), path, 3, 8)  # older than what is there
+    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
+    with pytest.raises(ValueError):
+        sinks.merge_latest(capture(spark, (1, 9)), path, 5, 8)  # version 4 was never written
+    assert sinks.vacuum_latest(spark, path, 1)
+    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
+
+
+def test_append_sink_keeps_every_row(spark, data, tmp_path):
+    calls = a.net_calls(spark, data).select("page_id", "call_id", "url")
+    path = files(calls, str(tmp_path / "calls"), "call_id")
+    q = sinks.append_stream(stream_files(spark, path, calls.schema), str(tmp_path / "out"),
+                            str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    got = spark.read.schema(calls.schema).parquet(str(tmp_path / "out"))
+    assert rows(got, "page_id", "call_id", "url") == rows(calls, "page_id", "call_id", "url")
