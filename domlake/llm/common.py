@@ -3,6 +3,7 @@ views of the words of Arrow text batches."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -117,7 +118,7 @@ _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK * 4)
+        size = 1 << max(16, (n - 1).bit_length())
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -125,6 +126,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def released(task):
+    """A task function for batches that gives memory back when it ends: workers wait, idle, for other tasks."""
+    def run(batches):
+        yield from task(batches)
+        give_back()
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def lower_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32

@@ -29,7 +29,7 @@ HELD, HELD_BYTES = 1 << 18, 1 << 22
 #: An anchor with more contexts than this is dealt by finer keys: the bytes that STEP windows in a row share.
 CROWDED, STEP = 64, 25
 #: Each range of hashes has two to this many shards; a shard's arrays take some 150 times its bytes.
-SHARDS = 2
+SHARDS = 4
 #: Windows of one text that are worked on at once.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -56,7 +56,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -
     count = np.bincount(text, minlength=size)
     end = np.cumsum(count)
     head = end - count
-    suffixes = np.full(len(text), -1, np.int64)
+    suffixes = np.full(len(text), -1, np.int32)
     tail = end.copy()
     order, at = _place(text[lms[::-1]], tail, True)
     suffixes[at] = lms[::-1][order]
@@ -116,13 +116,13 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     differs = np.append(text[:-1] != text[1:], True)
-    next_ = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
+    next_ = np.minimum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
     smaller = text[next_] < np.append(text, 0)[next_ + 1]
     smaller[-1] = True
     lms = np.flatnonzero(smaller & ~np.append(True, smaller[:-1]))
     stop = np.append(lms[1:], n - 1) + 1
     first = _induce(text, smaller, lms, size)
-    place = np.full(n, -1, np.int64)
+    place = np.full(n, -1, np.int32)
     place[lms] = np.arange(len(lms))
     order = place[first]
     order = order[order >= 0]
@@ -306,7 +306,7 @@ def count_contexts(docs: DataFrame, found: Found) -> None:
         arrays.save(folder, f"mixed-{bucket}", fp[order][first][mixed], kinds[mixed].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    rows = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, fp binary, id binary, n binary"))
+    rows = (common.by_bucket(docs.select("text").mapInArrow(common.released(read), "bucket int, fp binary, id binary, n binary"))
             .applyInArrow(merge, "bucket int").collect())  # a row for each range of hashes
     for table in ("many", "mixed"):
         found.files[table] = {r["bucket"]: f"{table}-{r['bucket']}" for r in rows}
@@ -381,6 +381,7 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
                 twice = np.ones(len(twice), bool)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
             out += [(id_, (first + int(a)) << 24 | (first + int(z) - 1)) for id_, first in own for a, z in zip(edge[::2], edge[1::2], strict=True)]
+        common.give_back()
         ids = np.array([x[0] for x in out], np.uint64)
         order = np.argsort(ids, kind="stable")
         cut = np.searchsorted((ids[order] >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
@@ -402,7 +403,7 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
         arrays.save(folder, f"part-{bucket}", keys[order], spans[order].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    compared = (common.by_bucket(docs.select("text").mapInArrow(read, "bucket int, ids binary, shape binary, bytes binary"), 4)
+    compared = (common.by_bucket(docs.select("text").mapInArrow(common.released(read), "bucket int, ids binary, shape binary, bytes binary"), 4)
                 .applyInArrow(shard, "bucket int, ids binary, spans binary"))
     rows = (common.by_bucket(compared).applyInArrow(keep, "bucket int").collect())  # a row for each range of hashes
     found.files["part"] = {r["bucket"]: f"part-{r['bucket']}" for r in rows}
@@ -457,7 +458,7 @@ def measure(docs: DataFrame, found: Found) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        read, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        common.released(read), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, found: Found) -> DataFrame:
@@ -476,7 +477,7 @@ def remove(docs: DataFrame, found: Found) -> DataFrame:
             texts = pa.array([None if x else y for x, y in zip(null, out, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return docs.mapInArrow(read, docs.schema)
+    return docs.mapInArrow(common.released(read), docs.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
