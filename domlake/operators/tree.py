@@ -168,6 +168,7 @@ def derived_role(role: Column, tag: Column, attributes: Column | None = None) ->
 
 def with_derived_ax(dom: DataFrame) -> DataFrame:
     """Give every element the role, name and properties a browser would report, from HTML alone.
+    Nodes that a browser leaves out, in hidden elements and inert templates, are not in the result.
     Names come from aria-label, alt or the text of elements that are named by their content."""
     tag = F.upper("node_name")
     is_element = F.col("node_type") == 1
@@ -204,8 +205,15 @@ def with_derived_ax(dom: DataFrame) -> DataFrame:
         derived_role(a.role, F.upper(a.tag)).alias("ax_role"),
         a.aria_label.alias("ax_name"), a.aria_label.alias("aria_label"),
         a.title.alias("title"), a.html_id.alias("html_id")))
+    style = F.lower(F.coalesce(attr("style"), F.lit("")))
+    hidden = (
+        (tag == "TEMPLATE") | has_attr("hidden")
+        | (F.lower(F.coalesce(attr("aria-hidden"), F.lit(""))) == "true")
+        | style.rlike(r"(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)\b")
+        | F.coalesce(F.exists("ancestors", lambda a: F.coalesce(a.hidden, F.lit(False))), F.lit(False)))
     return (
-        dom.withColumns({"tag": tag, "ax_role": role, "anc": anc, "ax_order": F.col("pre"),
+        dom.filter(~F.coalesce(hidden, F.lit(False)))
+        .withColumns({"tag": tag, "ax_role": role, "anc": anc, "ax_order": F.col("pre"),
                          "has_ax": is_element})
         .withColumns({"ax_name": name, "ax_props": props})
     )

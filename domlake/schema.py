@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANCESTOR = (
-    "struct<id:bigint,tag:string,role:string,aria_label:string,title:string,html_id:string>"
+    "struct<id:bigint,tag:string,role:string,aria_label:string,title:string,html_id:string,"
+    "hidden:boolean>"
 )
 DOM_COLUMNS = (
     "id bigint, parent_id bigint, node_name string, node_type int, "

@@ -35,7 +35,8 @@ _ATTR = re.compile(
 _VOID = frozenset(
     "AREA BASE BR COL EMBED HR IMG INPUT LINK META PARAM SOURCE TRACK WBR".split()
 )
-_RAW = frozenset("SCRIPT STYLE XMP IFRAME NOEMBED NOFRAMES".split())
+# Scripts run in the captured pages, so what is in NOSCRIPT is text to the parser.
+_RAW = frozenset("SCRIPT STYLE XMP IFRAME NOEMBED NOFRAMES NOSCRIPT".split())
 _RCDATA = frozenset("TITLE TEXTAREA".split())
 _RAW_END = {
     name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in sorted(_RAW | _RCDATA)
@@ -203,8 +204,9 @@ class _NodeBatch:
                 pa.array([m.get("aria-label") for m in look], pa.string()),
                 pa.array([m.get("title") for m in look], pa.string()),
                 pa.array([m.get("id") for m in look], pa.string()),
+                pa.array([hides(names[a], attrs[a]) for a in anc], pa.bool_()),
             ],
-            names=["id", "tag", "role", "aria_label", "title", "html_id"],
+            names=["id", "tag", "role", "aria_label", "title", "html_id", "hidden"],
         )
         ancestors = pa.ListArray.from_arrays(off, struct)
         maps = _maps(attrs)
@@ -235,6 +237,16 @@ class _NodeBatch:
         return out
 
 
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
+
+def hides(name: str, attrs: dict[str, str]) -> bool:
+    """Whether an element keeps itself and what is in it out of the accessibility tree."""
+    return (name.upper() == "TEMPLATE" or "hidden" in attrs
+            or attrs.get("aria-hidden", "").lower() == "true"
+            or bool(_UNSHOWN.search(attrs.get("style", ""))))
+
+
 def _maps(rows: list[dict[str, str]]) -> pa.MapArray:
     offsets = [0]
     for m in rows:
@@ -382,7 +394,8 @@ def _read_json(nodes: _NodeBatch, doc: dict) -> None:
 
 def _arrow_schema(key_type: pa.DataType) -> pa.Schema:
     anc = pa.struct([("id", pa.int64())] + [
-        (n, pa.string()) for n in ("tag", "role", "aria_label", "title", "html_id")])
+        (n, pa.string()) for n in ("tag", "role", "aria_label", "title", "html_id")]
+        + [("hidden", pa.bool_())])
     longs = pa.list_(pa.int64())
     return pa.schema([
         ("snapshot_id", key_type), ("id", pa.int64()), ("parent_id", pa.int64()),

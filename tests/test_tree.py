@@ -83,3 +83,23 @@ def test_group_takes_heading_of_unnamed_list(spark):
         "label", F.col("where.group_id").alias("g"),
         F.col("where.heading_context").alias("h")).collect()}
     assert got == {"y": ("list-my-links", "My Links"), "w": ("navigation-top-bar", "My Links")}
+
+
+def test_hidden_content_and_deep_trees(spark):
+    from domlake.plans.compile import compile_elements
+    from domlake.sources.html import html_to_dom
+    deep = "<nav>" + "<div>" * 70 + "<a href='/x'>Deep link</a>" + "</div>" * 70 + "</nav>"
+    many = "".join(f"<button>b{i}</button>" for i in range(2500)) + "<div tabindex=0>t</div>" * 400
+    page = (f"<body>{deep}{many}<div hidden><button>no1</button></div><p aria-hidden=true><button>no2</button></p>"
+            "<div style='color:red; display: none'><span><button>no3</button></span></div>"
+            "<template><button>no4</button></template><noscript><button>no5</button></noscript>"
+            "<button style='display:block'>yes</button><h2>" + "long " * 60 + "end</h2></body>")
+    dom = html_to_dom(spark.createDataFrame([(1, "http://x.org/", page)], "page_id long, url string, html string"))
+    nodes = compile_elements(dom).cache()
+    buttons = [r.label for r in nodes.filter("kind = 'button'").collect()]
+    assert len(buttons) == 2501 and "yes" in buttons and not [b for b in buttons if b.startswith("no")]
+    assert nodes.filter("kind = 'link' AND label = 'Deep link'").first()["where"].region == "nav"
+    assert nodes.filter("implicitly_interactive").count() >= 400
+    assert nodes.filter("kind = 'heading'").first().label.endswith("end")
+    assert compile_elements(dom, max_nodes=100).count() == 100
+    assert dom.filter("node_name = 'TEMPLATE'").count() == 1
