@@ -30,6 +30,9 @@ OFTEN = 64
 STARS = 2
 #: Parts that the posting list of an often-met shingle is dealt to.
 SALTS = 16
+#: Bits of a set's bitmap, in words of 64.
+BITS = 512
+_WORDS = [f"b{i}" for i in range(BITS // 64)]
 #: Index entries, and bytes of sets, that a task holds before it hands them on.
 HELD, HELD_BYTES = 1 << 18, 1 << 22
 
@@ -64,6 +67,11 @@ def set_hash(s: np.ndarray) -> np.uint64:
     return common.mix(np.array([common.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _binary(*columns) -> list[pa.Array]:
     return [pa.array(c, pa.binary()) for c in columns]
 
@@ -140,19 +148,17 @@ def signatures(docs: DataFrame, index: Index) -> DataFrame:
         token, grp, n, late, route = token[order], grp[order], n[order], late[order], route[order].astype(np.int64)
         cut = np.searchsorted(route, np.arange((1 << bits) + 1))
         rows = [(i, a, z) for i, (a, z) in enumerate(zip(cut, cut[1:], strict=False)) if z > a]
-        return _rows(0, None, None, None, None) if not rows else pa.RecordBatch.from_arrays(
-            [pa.nulls(len(rows), id_type), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()),
-             pa.array([r[0] for r in rows], pa.int32()),
+        return pa.RecordBatch.from_arrays(
+            [*(pa.nulls(len(rows), pa.int64()) for _ in range(4 + len(_WORDS))), pa.array([r[0] for r in rows], pa.int32()),
              *_binary([token[a:z].tobytes() for _, a, z in rows], [grp[a:z].tobytes() for _, a, z in rows],
                       [n[a:z].astype("<u4").tobytes() for _, a, z in rows], [late[a:z].tobytes() for _, a, z in rows])], names=names)
 
-    id_type = pa.int64()
-    names = ["doc_id", "n", "set", "grp", "bucket", "tokens", "grps", "sizes", "late"]
+    names = ["doc_id", "n", "set", "grp", *_WORDS, "bucket", "tokens", "grps", "sizes", "late"]
 
-    def _rows(m, ids, n, sets, grps):
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(0, id_type) if ids is None else ids, pa.array([] if n is None else n, pa.int64()), pa.array([] if sets is None else sets, pa.int64()),
-             pa.array([] if grps is None else grps, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(4))], names=names)
+    def _rows(ids, *columns):
+        m = len(ids)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns), pa.nulls(m, pa.int32()),
+                                           *(pa.nulls(m, pa.binary()) for _ in range(4))], names=names)
 
     def read(batches):
         parts, size = [], 0
@@ -163,13 +169,15 @@ def signatures(docs: DataFrame, index: Index) -> DataFrame:
                 count, _ = index.find("shared", np.concatenate(pools))
                 edge = np.concatenate([[0], np.cumsum([len(p) for p in pools])])
                 shared = np.concatenate([[0], np.cumsum(count > 1)])[edge]
-                ns, hashes, grps = [], [], []
+                ns, hashes, grps, maps = [], [], [], []
                 for s, c in zip(sets, np.diff(shared).tolist(), strict=True):
                     ns.append(len(s))
                     hashes.append(int(set_hash(s).astype(np.int64)) if len(s) else None)
                     if not len(s) or c < least_shared(len(s), percent):
                         grps.append(None)
+                        maps.append(None)
                         continue
+                    maps.append(bitmap(s).tolist())
                     late = index.find("shared", s)[0] > OFTEN
                     size_ = prefix_size(len(s), percent)
                     order = np.concatenate([np.flatnonzero(~late)[:size_], np.flatnonzero(late)])[:size_]
@@ -177,7 +185,8 @@ def signatures(docs: DataFrame, index: Index) -> DataFrame:
                     grps.append(int(grp.astype(np.int64)))
                     parts.append((s[order], np.full(size_, grp), np.full(size_, len(s)), late[order]))
                     size += size_
-                yield _rows(t.rows, b.column("doc_id").slice(t.first, t.rows), ns, hashes, grps)
+                yield _rows(b.column("doc_id").slice(t.first, t.rows), ns, hashes, grps,
+                            *([m and m[i] for m in maps] for i in range(len(_WORDS))))
                 if size > HELD:
                     yield emit(parts)
                     parts, size = [], 0
@@ -185,7 +194,7 @@ def signatures(docs: DataFrame, index: Index) -> DataFrame:
             yield emit(parts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        read, "doc_id long, n long, set long, grp long, bucket int, tokens binary, grps binary, sizes binary, late binary")
+        common.released(read), f"doc_id long, n long, set long, grp long, {', '.join(f'{w} long' for w in _WORDS)}, bucket int, tokens binary, grps binary, sizes binary, late binary")
 
 
 def postings(entries: DataFrame, percent: int) -> DataFrame:
@@ -311,29 +320,32 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     index = Index(docs, k, percent)
     count_shared(docs, index)
     signed = common.staged(signatures(docs, index))
-    rows = signed.where("bucket is null").select("doc_id", "n", "set", "grp")
+    rows = signed.where("bucket is null").select("doc_id", "n", "set", "grp", *_WORDS)
     lists = postings(signed.where("bucket is not null").select("bucket", "tokens", "grps", "sizes", "late"), percent)
-    members = rows.where("grp is not null").select("grp", "set", "n").distinct()
+    members = rows.where("grp is not null").select("grp", "set", "n", *_WORDS).distinct()
     twins = members.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select(F.col("grp").alias("list"), "grp")
-    open_ = common.staged(lists.unionByName(twins).join(members, "grp").select("list", "set", "n").distinct())
+    open_ = common.staged(lists.unionByName(twins).join(members, "grp").select("list", "set", "n", *_WORDS).distinct())
     save_sets(docs, index, open_)
     links, part = spark.createDataFrame([], "a long, b long"), None
     for turn in range(STARS + 1):
         now = open_.withColumn("part", F.col("set")) if part is None else (
-            open_.join(part, open_["set"] == part["id"], "left").select("list", "set", "n", F.coalesce("component", "set").alias("part")))
+            open_.join(part, open_["set"] == part["id"], "left").select("list", "set", "n", *_WORDS, F.coalesce("component", "set").alias("part")))
         mixed = now.groupBy("list").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("list")
         now = common.staged(now.join(mixed, "list"))
+        fields = ["set", "n", "part", *_WORDS]
         if turn < STARS:
-            leads = now.groupBy("list").agg(F.min_by(F.struct("set", "n", "part"), F.xxhash64("set", F.lit(turn))).alias("lead"))
-            pairs = now.join(leads, "list").select(F.col("lead.set").alias("u"), F.col("lead.n").alias("un"), F.col("lead.part").alias("up"),
-                                                   F.col("set").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vp"))
+            leads = now.groupBy("list").agg(F.min_by(F.struct(*fields), F.xxhash64("set", F.lit(turn))).alias("lead"))
+            leads = leads.select("list", *(F.col(f"lead.{c}").alias(f"u_{c}") for c in fields))
         else:
-            other = now.select("list", F.col("set").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vp"))
-            pairs = now.select("list", F.col("set").alias("u"), F.col("n").alias("un"), F.col("part").alias("up")).join(other, "list").where("u < v")
-        pairs = (pairs.where(f"up <> vp and 100 * least(un, vn) >= {percent} * greatest(un, vn)")
+            leads = now.select("list", *(F.col(c).alias(f"u_{c}") for c in fields))
+        apart = " + ".join(f"bit_count({w} ^ u_{w})" for w in _WORDS)
+        pairs = (now.join(leads, "list").where("set < u_set" if turn == STARS else "true")
+                 .where(f"part <> u_part and 100 * least(n, u_n) >= {percent} * greatest(n, u_n) "
+                        f"and ({apart}) * {100 + percent} <= {100 - percent} * (n + u_n)")
+                 .withColumnsRenamed({"set": "v", "u_set": "u"})
                  .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
         new = common.checkpoint(verified(pairs.repartition(4 * common.shuffle_width(spark), "a", "b"), index))
-        open_ = now.select("list", "set", "n")
+        open_ = now.select("list", "set", "n", *_WORDS)
         if new.limit(1).count():
             links = common.checkpoint(links.unionByName(new))
             part = common.components(links)
