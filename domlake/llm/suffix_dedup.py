@@ -27,9 +27,13 @@ WINDOW, ANCHOR = 200, 32
 #: Anchors that a task holds before it hands them on, and bytes of contexts.
 HELD, HELD_BYTES = 1 << 18, 1 << 22
 #: An anchor with more contexts than this is dealt by finer keys: the bytes that STEP windows in a row share.
+#: From VERY_CROWDED contexts the steps are FINE windows: then few different strings are left of many contexts.
 CROWDED, STEP = 64, 25
-#: Each range of hashes has two to this many shards; a shard's arrays take some 150 times its bytes.
-SHARDS = 4
+VERY_CROWDED, FINE = 1024, 5
+#: Bytes of contexts that are sorted together, but for one key's, which always are.
+TOGETHER = 1 << 18
+#: Each range of hashes has two to this many shards.
+SHARDS = 2
 #: Windows of one text that are worked on at once.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -333,21 +337,24 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
             if kind <= CROWDED:
                 yield int(a.fp[i]), int(a.id[i]), 0, a.buf[low: high + WINDOW].tobytes(), not twice
                 continue
-            for step in range((p - high) // STEP, (p - low) // STEP + 1):
-                z, y = max(low, p - step * STEP - STEP + 1), min(high, p - step * STEP)
+            width = STEP if kind <= VERY_CROWDED else FINE
+            for step in range((p - high) // width, (p - low) // width + 1):
+                z, y = max(low, p - step * width - width + 1), min(high, p - step * width)
                 # the bytes that all windows of the step share, whatever part of the step is here
-                core = a.buf[p - step * STEP: p - step * STEP - STEP + 1 + WINDOW].tobytes()
+                core = a.buf[p - step * width: p - step * width - width + 1 + WINDOW].tobytes()
                 key = int.from_bytes(hashlib.blake2b(core + bytes([step]), digest_size=8).digest(), "little")
                 yield key, int(a.id[i]), z - low, a.buf[z: y + WINDOW].tobytes(), not twice
 
     def emit(rows):
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r[0] >> (64 - bits - SHARDS), []).append(r)
-        out = [(b, np.array([r[1] for r in x], "<u8").tobytes(), np.array([[r[2], len(r[3]), r[4]] for r in x], "<u4").tobytes(),
-                b"".join(r[3] for r in x)) for b, x in by.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))],
-                                          names=["bucket", "ids", "shape", "bytes"])
+        """Each string once for a key, with the contexts that it was cut out of."""
+        by: dict[int, dict] = {}
+        for key, id_, first, data, want in rows:
+            by.setdefault(key >> (64 - bits - SHARDS), {}).setdefault((key, data), []).append((id_, first, want))
+        out = [(b, np.array([k for k, _ in x], "<u8").tobytes(), np.array([[len(d), len(own)] for (_, d), own in x.items()], "<u4").tobytes(),
+                np.array([o[0] for own in x.values() for o in own], "<u8").tobytes(),
+                np.array([o[1:] for own in x.values() for o in own], "<u4").tobytes(), b"".join(d for _, d in x)) for b, x in by.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 6))],
+                                          names=["bucket", "keys", "shape", "ids", "uses", "bytes"])
 
     def read(batches):
         rows, size = [], 0
@@ -364,23 +371,39 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
             yield emit(rows)
 
     def shard(table: pa.Table) -> pa.Table:
-        wanted: dict[bytes, tuple[list, set]] = {}
-        for ids, shape, data in zip(*(table.column(c).to_pylist() for c in ("ids", "shape", "bytes")), strict=True):
-            at = 0
-            for id_, (first, size, want) in zip(np.frombuffer(ids, "<u8").tolist(), np.frombuffer(shape, "<u4").reshape(-1, 3).tolist(), strict=True):
-                own, all_ = wanted.setdefault(data[at: at + size], ([], set()))
+        by: dict[int, dict[bytes, tuple[list, set]]] = {}
+        for keys, shape, ids, uses, data in zip(*(table.column(c).to_pylist() for c in ("keys", "shape", "ids", "uses", "bytes")), strict=True):
+            at = use = 0
+            ids, uses = np.frombuffer(ids, "<u8").tolist(), np.frombuffer(uses, "<u4").reshape(-1, 2).tolist()
+            for key, (size, n) in zip(np.frombuffer(keys, "<u8").tolist(), np.frombuffer(shape, "<u4").reshape(-1, 2).tolist(), strict=True):
+                own, all_ = by.setdefault(key, {}).setdefault(data[at: at + size], ([], set()))
                 at += size
-                all_.add(id_)
-                if want:
-                    own.append((id_, first))
-        contexts = list(wanted)
+                for i in range(use, use + n):
+                    all_.add(ids[i])
+                    if uses[i][1]:
+                        own.append((ids[i], uses[i][0]))
+                use += n
         out: list[tuple[int, int]] = []
-        for context, twice in zip(contexts, repeated_windows(contexts), strict=True):
-            own, all_ = wanted[context]
-            if len(all_) > 1:  # the same bytes, cut out of different contexts
-                twice = np.ones(len(twice), bool)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
-            out += [(id_, (first + int(a)) << 24 | (first + int(z) - 1)) for id_, first in own for a, z in zip(edge[::2], edge[1::2], strict=True)]
+
+        def compare(group: list[tuple[bytes, tuple[list, set]]]) -> None:
+            if not group:
+                return
+            for (_, (own, all_)), twice in zip(group, repeated_windows([c for c, _ in group]), strict=True):
+                if len(all_) > 1:  # the same bytes, cut out of different contexts
+                    twice = np.ones(len(twice), bool)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
+                out.extend((id_, (first + int(a)) << 24 | (first + int(z) - 1)) for id_, first in own for a, z in zip(edge[::2], edge[1::2], strict=True))
+
+        group: list = []
+        size = 0
+        for contexts in by.values():
+            own_size = sum(map(len, contexts))
+            if size + own_size > TOGETHER:
+                compare(group)
+                group, size = [], 0
+            group += contexts.items()
+            size += own_size
+        compare(group)
         common.give_back()
         ids = np.array([x[0] for x in out], np.uint64)
         order = np.argsort(ids, kind="stable")
@@ -403,7 +426,7 @@ def compare_contexts(docs: DataFrame, found: Found) -> None:
         arrays.save(folder, f"part-{bucket}", keys[order], spans[order].astype(float))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    compared = (common.by_bucket(docs.select("text").mapInArrow(common.released(read), "bucket int, ids binary, shape binary, bytes binary"), 4)
+    compared = (common.by_bucket(docs.select("text").mapInArrow(common.released(read), "bucket int, keys binary, shape binary, ids binary, uses binary, bytes binary"), 4)
                 .applyInArrow(shard, "bucket int, ids binary, spans binary"))
     rows = (common.by_bucket(compared).applyInArrow(keep, "bucket int").collect())  # a row for each range of hashes
     found.files["part"] = {r["bucket"]: f"part-{r['bucket']}" for r in rows}

@@ -376,6 +376,8 @@ def brute_repeats(texts):
 @pytest.mark.parametrize("crowded", [4, 64])
 def test_repeated_bytes(spark, none, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_dedup, "VERY_CROWDED", 3 * crowded)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 5000)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgé ") for _ in range(r.randint(2, 9)))
     base = [" ".join(word() for _ in range(r.randint(5, 300))) for _ in range(30)]
