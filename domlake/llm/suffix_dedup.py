@@ -231,7 +231,7 @@ class Anchors:
         self.at = at[new]
         self.low = inside[new]
         self.high = inside[np.append(new[1:], len(inside)) - 1]
-        self.fp = grams[self.at]
+        self.fp = common.mix(grams[self.at])  # least hashes are small; mixed, they spread over all ranges
         self.id = self.hash(self.low, self.high + WINDOW) + np.uint64(0x9E3779B97F4A7C15) * (self.at - self.low).astype(np.uint64)
         self.id = common.mix(self.id ^ self.fp)
 
