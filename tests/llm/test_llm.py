@@ -262,6 +262,19 @@ def test_slots_must_agree(spark):
     assert [(r.doc_id, r.kind) for r in got] == [(1, "reparameterised")]
 
 
+def leaked(spark, texts, items):
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                                spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): (r.kind, r.n_tokens) for r in found}
+
+
+def test_decontamination_of_capitals(spark):
+    item = "In total the trader sold 12 crates of apples and Mary paid 30 dollars for the last of them. Then nobody came."
+    texts = [item.upper(), f"x {item.title()} y", item.upper().replace("12", "99"), "NOTHING OF THE KIND WAS EVER WRITTEN IN 12 CRATES BY ANYONE AT ALL"]
+    assert leaked(spark, texts, [item]) == {(0, 0): ("exact", 22), (1, 0): ("exact", 22), (2, 0): ("reparameterised", 22)}
+    assert leaked(spark, [item, item.lower()], [item.upper()]) == {(0, 0): ("exact", 22), (1, 0): ("exact", 22)}
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(r[0], int(r[0] % 9 == 0), 1) for r in ROWS if r[0] < 120] * 2 + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, score int")
     import domlake.llm.toxicity as t
