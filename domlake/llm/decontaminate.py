@@ -20,7 +20,7 @@ from domlake.llm import common
 #: passage of twelve words: its first word may count as a name where it stands in a sentence.
 WINDOW, LEAST = 8, 11
 #: Equal words that a match with other numbers or names must hold; exact copies need none. Windows of the
-#: benchmark with fewer literal words are not looked for.
+#: benchmark with fewer literal words are looked for only where no window near them has more.
 LITERAL = 4
 #: Benchmark windows that are broadcast, at most; more are joined by a shuffle.
 SENT = 200_000
@@ -83,16 +83,21 @@ def windows(df: DataFrame, length: int = WINDOW) -> DataFrame:
 
 
 def _sought(shape: DataFrame, short: list[int]) -> DataFrame:
-    """hash, item_id, size, item_at: the benchmark's windows with LITERAL literal words and more. Items shorter
-    than a window are not looked for."""
+    """hash, item_id, size, item_at: the benchmark's windows that are looked for. A window with fewer than
+    LITERAL literal words is one of them if it has the most in a stretch of LEAST tokens, so every stretch
+    with a literal word has a window; the others are found by the comparison along the diagonal. Items
+    shorter than a window are looked for whole."""
     def count(slots):
         literal = F.transform("codes", lambda c: (c >= slots).cast("int"))
         total = lambda i: F.size(F.filter(F.slice(literal, i, WINDOW), lambda x: x == 1))
         return F.transform(F.sequence(F.lit(1), F.size("codes") - WINDOW + 1), total)
+    group = LEAST - WINDOW + 1
     counted = shape.where(F.col("size") >= WINDOW).select("item_id", "size", "words", "codes", F.struct(*[count(slots).alias(n) for n, slots in TEMPLATES.items()]).alias("n"))
     found = windows(counted).withColumn("c", F.coalesce(*[F.when(F.col("template") == i, F.col(f"n.{n}")) for i, n in enumerate(TEMPLATES)]))
     mine = F.get("c", F.col("at"))
-    found = found.where(mine >= LITERAL)
+    most = F.exists(F.sequence(F.greatest(F.col("at") - group + 1, F.lit(0)), F.greatest(F.least(F.col("at"), F.size("c") - group), F.lit(0))),
+                    lambda g: F.array_max(F.slice("c", g + 1, group)) <= mine)
+    found = found.where((mine >= LITERAL) | (most & ((mine > 0) | (F.col("template") == 0))))
     for length in short:
         found = found.select("hash", "item_id", "size", "at").unionByName(
             windows(shape.where(F.col("size") == length).select("item_id", "size", "words", "codes"), length).select("hash", "item_id", "size", "at"))
@@ -112,7 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Matches of docs (doc_id, text) with benchmark (item_id, text): doc_id, item_id, start and item_start
     (tokens from 0), n_tokens, coverage (share of the item), kind (exact, reparameterised).
 
-    A match has LEAST tokens in a row of one diagonal, or all of an item of WINDOW tokens and more; the longest match of a document and
+    A match has LEAST tokens in a row of one diagonal, or all of an item; the longest match of a document and
     item is given. Tokens agree if they are equal in lower case, or if both are numbers, units or names. A match
     that is not exact holds LITERAL equal words, so re-parameterised copies of items with fewer are not found.
     Nor are they where the document's letter case differs (all in capitals, say) and other names or numbers
@@ -121,7 +126,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens are literal. Rows that repeat count once; null ids are matched like others. No rows on either
     side give no rows; other columns are not read."""
     shape = common.checkpoint(tokens(benchmark.select("item_id", "text").distinct()).withColumn("size", F.size("words")))
-    short = []
+    # lengths under WINDOW, so a few at most
+    short = sorted(r[0] for r in shape.where((F.col("size") > 0) & (F.col("size") < WINDOW)).select("size").distinct().collect())
     sought = common.checkpoint(_sought(shape, short))
     if sought.limit(SENT + 1).count() <= SENT:
         sought = F.broadcast(sought)

@@ -275,6 +275,18 @@ def test_decontamination_of_capitals(spark):
     assert leaked(spark, [item, item.lower()], [item.upper()]) == {(0, 0): ("exact", 22), (1, 0): ("exact", 22)}
 
 
+def test_decontamination_of_few_words(spark):
+    item = "Compute 3 + 5 + 7 + 9 + 11 + 13 + 15 + 17 and then halve it"
+    row = "1 2 3 4 5 6 7 8 9 10 11 12"
+    other = item.replace("17", "19").replace("3 ", "4 ")
+    texts = [f"x y {item} z", other, row, row.replace("7", "70"), "well, Is it Monday now", "is it monday"]
+    assert leaked(spark, texts, [item, row, "Is it Monday?", "It?"]) == {
+        (0, 0): ("exact", 13), (1, 0): ("reparameterised", 13), (2, 1): ("exact", 12), (4, 2): ("exact", 3), (5, 2): ("exact", 3),
+        **{(i, 3): ("exact", 1) for i in (0, 1, 4, 5)}}
+    german = "Der Hund von Anna und der Vogel von Bert sah die Katze von Emil"
+    assert leaked(spark, [german, german.replace("Anna", "Cleo").replace("Hund", "Wolf")], [german]) == {(0, 0): ("exact", 14), (1, 0): ("reparameterised", 14)}
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(r[0], int(r[0] % 9 == 0), 1) for r in ROWS if r[0] < 120] * 2 + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, score int")
     import domlake.llm.toxicity as t
