@@ -118,7 +118,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (tokens from 0), n_tokens, coverage (share of the item), kind (exact, reparameterised).
 
     A match has LEAST tokens in a row of one diagonal, or all of an item; the longest match of a document and
-    item is given. Tokens agree if they are equal in lower case, or if both are numbers, units or names. A match
+    item is given. Tokens agree if they are equal in lower case, or if both are numbers, units or capitalised
+    words; where one of two capitalised words opens a sentence, runs with and without it are tried. A match
     that is not exact holds LITERAL equal words, so re-parameterised copies of items with fewer are not found.
     Nor are they where the document's letter case differs (all in capitals, say) and other names or numbers
     leave no WINDOW tokens in a row of one template.
@@ -156,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mark = lambda x: (F.when(same(x) | (x["c"].isin(NUMBER, UNIT, NAME) & (x["c"] == x["e"])), "=")
                       .when(x["c"].isin(NAME, FIRST) & x["e"].isin(NAME, FIRST), "?").otherwise("x"))
     marked = lines.select("*", F.explode(F.array(F.transform("pairs", mark))).alias("marks"))
-    runs = marked.select("*", F.explode(_runs(["x", "?"])).alias("run")).select("*", "run.*")
+    runs = marked.select("*", F.explode(F.array_distinct(F.concat(_runs(["x"]), _runs(["x", "?"])))).alias("run")).select("*", "run.*")
     runs = runs.where((F.col("n_tokens") >= LEAST) | (F.col("n_tokens") == F.col("size")))
     runs = runs.withColumn("m", F.slice("pairs", F.col("start") + 1, F.col("n_tokens")))
     slots = F.filter("m", lambda x: x["c"].isin(NUMBER, UNIT, NAME) | (F.col("bridged") & (x["c"] == FIRST)))

@@ -287,6 +287,15 @@ def test_decontamination_of_few_words(spark):
     assert leaked(spark, [german, german.replace("Anna", "Cleo").replace("Hund", "Wolf")], [german]) == {(0, 0): ("exact", 14), (1, 0): ("reparameterised", 14)}
 
 
+def test_decontamination_of_renamed_subjects(spark):
+    item = "Tom had 12 apples in his bag. Tom gave 5 of them to Anna. How many remain?"
+    luis = item.replace("Tom", "Luis")
+    texts = [f"Nothing here. {luis}", luis.replace("12", "40").replace("Anna", "Bea"),
+             "Kim has 5 pears. Lea eats 2 plums. Kim likes 3 figs.", "Tom has 5 pears. Tom eats 2 plums. Tom likes 3 figs.".replace("Tom", "Kim")]
+    assert leaked(spark, texts, [item, "Tom has 5 pears. Tom eats 2 plums. Tom likes 3 figs."]) == {
+        (0, 0): ("reparameterised", 17), (1, 0): ("reparameterised", 17), (3, 1): ("reparameterised", 12)}
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(r[0], int(r[0] % 9 == 0), 1) for r in ROWS if r[0] < 120] * 2 + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, score int")
     import domlake.llm.toxicity as t
