@@ -49,9 +49,11 @@ def has_attr(name: str, column: str = "attributes") -> Column:
     return F.coalesce(F.map_contains_key(F.col(column), name), F.lit(False))
 
 
-def near_text(depth: int, column: str = "near_text") -> Column:
-    """Text of a node from the pieces stored with it, down to ``depth`` (at most 3); null if none."""
-    pieces = F.transform(F.filter(F.col(column), lambda p: p.d <= depth), lambda p: p.t)
+def near_text(depth: int | None, column: str = "near_text") -> Column:
+    """Text of a node from the pieces stored with it, down to ``depth``; null if none.  Elements that
+    are named by their content have all pieces, others those down to 3; None takes what there is."""
+    near = F.col(column) if depth is None else F.filter(F.col(column), lambda p: p.d <= depth)
+    pieces = F.transform(near, lambda p: p.t)
     return blank_to_null(squeeze(F.array_join(pieces, " ")))
 
 
@@ -166,10 +168,11 @@ def derived_role(role: Column, tag: Column, attributes: Column | None = None) ->
     return F.coalesce(explicit, own)
 
 
-def with_derived_ax(dom: DataFrame) -> DataFrame:
+def with_derived_ax(dom: DataFrame, name_depth: int | None = None) -> DataFrame:
     """Give every element the role, name and properties a browser would report, from HTML alone.
     Nodes that a browser leaves out, in hidden elements and inert templates, are not in the result.
-    Names come from aria-label, alt or the text of elements that are named by their content."""
+    Names come from aria-label, alt or the text of elements that are named by their content, all of
+    it or down to ``name_depth``."""
     tag = F.upper("node_name")
     is_element = F.col("node_type") == 1
     role = F.when(is_element, derived_role(attr("role"), tag, F.col("attributes")))
@@ -197,7 +200,7 @@ def with_derived_ax(dom: DataFrame) -> DataFrame:
     name = F.coalesce(
         blank_to_null(squeeze(attr("aria-label"))),
         F.when(F.col("ax_role").isin("image", "img"), blank_to_null(squeeze(attr("alt")))),
-        F.when(named, near_text(3)),
+        F.when(named, near_text(name_depth)),
         F.when(tag.isin("INPUT", "SELECT", "TEXTAREA"), blank_to_null(squeeze("label_text"))),
     )
     anc = F.transform("ancestors", lambda a: F.struct(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DOM_COLUMNS
 
+# Levels down to which text is stored with elements that are not named by their content.
 NEAR_TEXT_DEPTH = 3
 FLUSH_NODES = 20_000
 
@@ -62,6 +63,7 @@ _NAMED = frozenset(
     "A BUTTON CAPTION DT FIGCAPTION H1 H2 H3 H4 H5 H6 LABEL LEGEND LI OPTION OUTPUT SUMMARY TD TH"
     .split()
 )
+_UNSPOKEN = frozenset("SCRIPT STYLE TEMPLATE NOSCRIPT".split())
 # Opening one of these closes the listed open elements, looking no further than the stop set.
 _AUTO_CLOSE = {
     "LI": (frozenset({"LI"}), _SCOPE | {"UL", "OL", "MENU"}),
@@ -138,9 +140,14 @@ class _NodeBatch:
             for row, parts in self._labels:
                 if row in open_rows:
                     parts.append(text)
-        for d, row in enumerate(self._stack[:-NEAR_TEXT_DEPTH - 2:-1]):
+        inside = self.name[self._stack[-2]] if len(self._stack) > 1 else ""
+        for d, row in enumerate(reversed(self._stack)):
             name, attrs = self.name[row], self.attrs[row]
-            if (self._text_everywhere or name in _NAMED or "role" in attrs
+            if d > NEAR_TEXT_DEPTH:
+                # only what is named by its content has all of its text
+                if (name in _NAMED or "role" in attrs) and inside not in _UNSPOKEN:
+                    self.near[row].append((d, text))
+            elif (self._text_everywhere or name in _NAMED or "role" in attrs
                     or "aria-live" in attrs or "toast" in attrs.get("class", "").lower()
                     or "ant-message" in attrs.get("class", "") or "data-sonner-toast" in attrs
                     or "data-hot-toast" in attrs):

@@ -103,3 +103,18 @@ def test_hidden_content_and_deep_trees(spark):
     assert nodes.filter("kind = 'heading'").first().label.endswith("end")
     assert compile_elements(dom, max_nodes=100).count() == 100
     assert dom.filter("node_name = 'TEMPLATE'").count() == 1
+
+
+def test_names_from_deep_content(spark):
+    deep = "<div><div><span><b>{}</b></span></div></div>"
+    html = (f"<a href=/x>to {deep.format('the shop')}</a><button><i>{deep.format('Buy')}</i></button>"
+            f"<h2>{deep.format('News')}<div><div><div><style>h2 {{}}</style></div></div></div></h2>"
+            f"<div role=tab><i>{deep.format('One')}</i></div>")
+    dom = dom_of(spark, html)
+    names = {r.role: r.name for r in tree.derive_ax(dom).collect()}
+    assert {k: names[k] for k in ("link", "button", "heading", "tab")} == {
+        "link": "to the shop", "button": "Buy", "heading": "News", "tab": "One"}
+    labels = {r.kind: r.label for r in compile_elements(dom).collect()}
+    assert labels["link"] == "to the shop" and labels["button"] == "Buy"
+    short = tree.with_derived_ax(dom, name_depth=3).filter("ax_role = 'link'").first().ax_name
+    assert short == "to"
