@@ -20,20 +20,15 @@ from domlake.llm import common
 
 #: Labelled documents that the model is fitted on, at most; they are drawn by the hash of their id.
 SAMPLE = 9_000
-#: Terms learned, at most, and the different contexts that a term needs.
-TERMS = 60
+#: Different contexts that a term needs.
 CONTEXTS = 8
 #: Bytes of a term, at least and at most, and how much likelier it is in toxic contexts (natural log).
 SIZES = (4, 16)
 GAIN = 3.5
-#: Word beginnings considered, at most, those with the most toxic contexts first.
-CONSIDERED = 20_000
 #: Words that make the window around a hit.
 WINDOW = 12
 #: Score from which a document is called toxic.
 THRESHOLD = 0.3
-#: Words seen in clean documents that look like a misspelled term, at most; they are not counted.
-CLEAN = 20_000
 #: Bytes that open or close a quotation, as single bytes of UTF-8 text.
 QUOTES = b'"\xab\xbb\x9c\x9d\x9e'
 _FEATURES = ["exact", "near_long", "near_short", "quoted", "dense", "rate", "terms"]
@@ -176,15 +171,19 @@ class Model:
 def choose(counts: dict[bytes, tuple[int, int]]) -> list[bytes]:
     """Terms among word beginnings with (toxic, clean) contexts: the shortest, drawn out for as long as
     nine tenths of its toxic contexts stay; nothing that begins with a chosen term."""
-    chosen: list[bytes] = []
+    chosen: set[bytes] = set()
+    begun = lambda t: any(t[:n] in chosen for n in range(1, len(t) + 1))
+    after: dict[bytes, list[bytes]] = {}
+    for t in counts:
+        after.setdefault(t[:-1], []).append(t)
     for term in sorted(counts, key=lambda t: (len(t), t)):
-        if any(term.startswith(c) for c in chosen):
+        if begun(term):
             continue
-        while longer := [t for t in counts if len(t) == len(term) + 1 and t.startswith(term) and counts[t][0] >= 0.9 * counts[term][0]]:
+        while longer := [t for t in after.get(term, []) if counts[t][0] >= 0.9 * counts[term][0]]:
             term = max(longer, key=lambda t: (counts[t][0], t))
-        if not any(term.startswith(c) for c in chosen):
-            chosen.append(term)
-    return sorted(chosen, key=lambda t: (-counts[t][0], t))[:TERMS]
+        if not begun(term):
+            chosen.add(term)
+    return sorted(chosen, key=lambda t: (-counts[t][0], t))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -224,8 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     beginnings = (seen.select(F.explode(F.sequence(F.lit(SIZES[0]), F.least(F.lit(SIZES[1]), F.length("word")))).alias("n"), "word", "pos", "neg")
                   .where(F.length("word") >= F.col("n"))
                   .groupBy(F.expr("substring(word, 1, n)").alias("term")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-                  .where(F.col("pos") >= CONTEXTS).where(gain > GAIN)
-                  .orderBy(F.desc("pos"), "term").limit(CONSIDERED))
+                  .where(F.col("pos") >= CONTEXTS).where(gain > GAIN))  # SAMPLE bounds these and the look-alikes
     terms = choose({bytes(r[0]): (r[1], r[2]) for r in beginnings.select("term", "pos", "neg").collect()})
     machine = Automaton(terms)
 
@@ -238,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(w.hash[hit].view(np.int64))], names=["hash"])
 
     clean = [r[0] for r in seen.where("neg > 0").select(F.col("word").cast("string").alias("word"))
-             .mapInArrow(lookalikes, "hash long").distinct().orderBy("hash").limit(CLEAN).collect()]
+             .mapInArrow(lookalikes, "hash long").distinct().collect()]
     clean = np.unique(np.array(clean, np.int64).view(np.uint64))
 
     def counted(batches):

@@ -314,6 +314,18 @@ def test_toxicity(spark, docs, none):
     assert {r.predicted for r in t.classify(docs, nothing).collect()} == {0} and t.classify(none, model).count() == 0
 
 
+def test_all_toxic_terms_are_kept():
+    r = random.Random(5)
+    words = sorted({bytes(r.choice(b"abcdefghijklmnop") for _ in range(8)) for _ in range(90)})
+    counts = {w[:n]: (20, 0) for w in words for n in range(4, 9)}
+    chosen = toxicity.choose(counts)
+    assert len(chosen) > 80 and all(any(w.startswith(c) for c in chosen) for w in words)
+    machine = toxicity.Automaton(chosen)
+    text = np.frombuffer(b"".join(words), np.uint8)
+    starts = np.arange(len(words)) * 8
+    assert list(machine.match(text, starts, starts + 8)[0]) == list(range(len(words)))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
