@@ -14,16 +14,21 @@ from .. import rules
 from ..functions.privacy import url_path
 from ..functions.text import trim_ws
 from . import identity
-from .scan import ordered_scan, step_chunk
+from .scan import Ranks, ordered_scan, rank_ranges
 
 KEYS = ["page_id", "step"]
 
 
-def step_links(captures: DataFrame) -> DataFrame:
+def capture_ranks(captures: DataFrame) -> Ranks:
+    """Cuts of the captures of busy pages; all tables with a row per capture share them."""
+    return rank_ranges(captures.select(*KEYS), ["page_id"], ["step"])
+
+
+def step_links(captures: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """(page_id, step) with the steps of the captures before and after."""
     steps = captures.select(*KEYS).distinct()
-    return ordered_scan(steps, ["page_id"], step_chunk(), ["step"], {
-        "prev_step": ("lag", F.col("step")), "next_step": ("lead", F.col("step"))})
+    return ordered_scan(steps, ["page_id"], ["step"], {
+        "prev_step": ("lag", F.col("step")), "next_step": ("lead", F.col("step"))}, ranks)
 
 
 def pair_rows(rows: DataFrame, links: DataFrame, by: list[str], payload: list[str]) -> DataFrame:
@@ -57,8 +62,8 @@ def tracked_elements(nodes: DataFrame) -> DataFrame:
     )
 
 
-def element_pairs(nodes: DataFrame, captures: DataFrame) -> DataFrame:
-    return pair_rows(tracked_elements(nodes), step_links(captures), ["eid"],
+def element_pairs(nodes: DataFrame, captures: DataFrame, ranks: Ranks | None = None) -> DataFrame:
+    return pair_rows(tracked_elements(nodes), step_links(captures, ranks), ["eid"],
                      ["state", "label", "value"])
 
 
@@ -90,10 +95,10 @@ def nav_type(before, after) -> Column:
     return F.when(same, "soft").otherwise("hard")
 
 
-def diff_document(captures: DataFrame) -> DataFrame:
+def diff_document(captures: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """Captures whose URL or title differs from the one before."""
     here = F.struct(F.col("url").alias("url"), F.col("title").alias("title"))
-    linked = ordered_scan(captures, ["page_id"], step_chunk(), ["step"], {"before": ("lag", here)})
+    linked = ordered_scan(captures, ["page_id"], ["step"], {"before": ("lag", here)}, ranks)
     changed = (F.col("before.url") != F.col("url")) | (F.col("before.title") != F.col("title"))
     return linked.filter(F.col("before").isNotNull() & changed).select(
         *KEYS, F.col("before.url").alias("from_url"), F.col("before.title").alias("from_title"),
@@ -101,11 +106,11 @@ def diff_document(captures: DataFrame) -> DataFrame:
         nav_type("before.url", "url").alias("nav_type"))
 
 
-def diff_layers(stacks: DataFrame) -> DataFrame:
+def diff_layers(stacks: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """Captures whose layer stack differs from the one before; ``stacks`` has (page_id, step,
     stack)."""
-    linked = ordered_scan(stacks.select(*KEYS, "stack"), ["page_id"], step_chunk(), ["step"],
-                          {"before": ("lag", F.col("stack"))})
+    linked = ordered_scan(stacks.select(*KEYS, "stack"), ["page_id"], ["step"],
+                          {"before": ("lag", F.col("stack"))}, ranks)
     return linked.filter(F.col("before").isNotNull() & (F.col("before") != F.col("stack"))).select(
         *KEYS, F.col("before").alias("stack_from"), F.col("stack").alias("stack_to"))
 
@@ -154,10 +159,10 @@ ATOM_KEYS = {
 }
 
 
-def diff_atoms(atom_rows: DataFrame) -> DataFrame:
+def diff_atoms(atom_rows: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     now = F.struct(*[F.col(c).cast("string").alias(c) for c in ATOM_KEYS.values()])
-    linked = ordered_scan(atom_rows.select(*KEYS, now.alias("now")), ["page_id"], step_chunk(),
-                          ["step"], {"before": ("lag", F.col("now"))})
+    linked = ordered_scan(atom_rows.select(*KEYS, now.alias("now")), ["page_id"],
+                          ["step"], {"before": ("lag", F.col("now"))}, ranks)
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"before.{c}").alias("from"),
                               F.col(f"now.{c}").alias("to")) for k, c in ATOM_KEYS.items()])
     return linked.filter("before IS NOT NULL").select(*KEYS, F.inline(
@@ -172,13 +177,14 @@ def _short(text, longest: int | None) -> Column:
         F.concat(F.substring(t, 1, longest - 3), F.lit("...")))
 
 
-def diff_mutations(nodes: DataFrame, captures: DataFrame, longest: int | None = None) -> DataFrame:
+def diff_mutations(nodes: DataFrame, captures: DataFrame, longest: int | None = None,
+                   ranks: Ranks | None = None) -> DataFrame:
     """Status, alert, log and progress elements whose text changed or that appeared."""
     role = F.lower("attributes.role")
     rows = nodes.filter(role.isin(rules.STATUS_ROLES) & F.col("state.visible")).select(
         *KEYS, "node_id", F.concat(F.lit("rd-"), F.substring(identity.eid(), 1, 10)).alias("eid"),
         role.alias("role"), "label")
-    pairs = pair_rows(rows, step_links(captures), ["node_id"], ["eid", "role", "label"])
+    pairs = pair_rows(rows, step_links(captures, ranks), ["node_id"], ["eid", "role", "label"])
     appeared = F.col("prev").isNull()
     return pairs.filter(F.col("curr").isNotNull()).filter(
         appeared | (F.col("prev.label") != F.col("curr.label"))).select(
@@ -192,7 +198,8 @@ def diff_mutations(nodes: DataFrame, captures: DataFrame, longest: int | None =
 def compute_diff(nodes: DataFrame, captures: DataFrame, stacks: DataFrame | None = None
                  ) -> DataFrame:
     """All changes as one long table (page_id, step, op, eid, k, from, to)."""
-    pairs = element_pairs(nodes, captures)
+    ranks = capture_ranks(captures)
+    pairs = element_pairs(nodes, captures, ranks)
     none = F.lit(None).cast("string")
 
     def shaped(df, op, eid_=none, k=none, frm=none, to=none):
@@ -204,14 +211,14 @@ def compute_diff(nodes: DataFrame, captures: DataFrame, stacks: DataFrame | None
     presence = pairs.filter("prev IS NULL OR curr IS NULL")
     out = shaped(presence, F.when(c("prev").isNull(), "added").otherwise("removed"), c("eid"))
     out = out.unionByName(shaped(_changes(pairs), "changed", c("eid"), c("k"), c("from"), c("to")))
-    out = out.unionByName(shaped(diff_document(captures), "doc", none, c("nav_type"),
+    out = out.unionByName(shaped(diff_document(captures, ranks), "doc", none, c("nav_type"),
                                  c("from_url"), c("to_url")))
-    out = out.unionByName(shaped(diff_atoms(atoms(nodes, captures)), "atom", none, c("k"),
+    out = out.unionByName(shaped(diff_atoms(atoms(nodes, captures), ranks), "atom", none, c("k"),
                                  c("from"), c("to")))
-    out = out.unionByName(shaped(diff_mutations(nodes, captures), c("op"), c("eid"), c("role"),
+    out = out.unionByName(shaped(diff_mutations(nodes, captures, ranks=ranks), c("op"), c("eid"), c("role"),
                                  c("from"), c("to")))
     if stacks is not None:
-        out = out.unionByName(shaped(diff_layers(stacks), "layer", none, none,
+        out = out.unionByName(shaped(diff_layers(stacks, ranks), "layer", none, none,
                                      F.array_join("stack_from", ","),
                                      F.array_join("stack_to", ",")))
     return out
@@ -229,7 +236,7 @@ def response_mode(captures: DataFrame) -> DataFrame:
     errors and are skipped when looking for the previous document.  Needs url and node_count."""
     good = captures.filter(F.coalesce("node_count", F.lit(0)) > 0).select(
         *KEYS, identity.doc_id("url").alias("doc_id"))
-    linked = ordered_scan(good, ["page_id"], step_chunk(), ["step"],
+    linked = ordered_scan(good, ["page_id"], ["step"],
                           {"before": ("lag", F.struct("doc_id"))})
     reason = F.when(F.col("before").isNull(), "first").when(
         ~F.col("before.doc_id").eqNullSafe(F.col("doc_id")), "navigation")
@@ -245,7 +252,7 @@ def navigated(captures: DataFrame) -> DataFrame:
     loader when both are known."""
     loader = F.col("loader_id") if "loader_id" in captures.columns else F.lit(None).cast("string")
     now = F.struct(F.col("url").alias("url"), loader.alias("loader"))
-    linked = ordered_scan(captures.select(*KEYS, now.alias("now")), ["page_id"], step_chunk(),
+    linked = ordered_scan(captures.select(*KEYS, now.alias("now")), ["page_id"],
                           ["step"], {"before": ("lag", F.col("now"))})
     moved = (F.col("before.url") != F.col("now.url")) | F.coalesce(
         F.col("before.loader") != F.col("now.loader"), F.lit(False))

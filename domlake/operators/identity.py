@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.privacy import url_origin, url_path
 from ..functions.text import WS, trim_ws
-from .scan import ordered_scan, step_chunk
+from .scan import ordered_scan
 
 
 def _col(c) -> Column:
@@ -106,7 +106,7 @@ def last_seen(eids: DataFrame) -> DataFrame:
 def stale(eids: DataFrame, captures: DataFrame, max_steps: int = 2) -> DataFrame:
     """Ids with the number of captures since they were last seen, and whether that is too many."""
     clock = captures.select("page_id", "step").distinct()
-    clock = ordered_scan(clock, ["page_id"], step_chunk(), ["step"], {"tick": ("sum", F.lit(1))})
+    clock = ordered_scan(clock, ["page_id"], ["step"], {"tick": ("sum", F.lit(1))})
     now = clock.groupBy("page_id").agg(F.max("tick").alias("now"))
     seen = last_seen(eids).join(
         clock.withColumnRenamed("step", "last_step"), ["page_id", "last_step"])

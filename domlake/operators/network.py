@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from .scan import DAY, micros, ordered_scan, reflected_sum, time_chunk, top_n
+from .scan import Ranks, micros, ordered_scan, rank_ranges, reflected_sum, top_n
 
 REQUEST_FIELDS = ["url", "method", "resource_type", "is_navigation", "request_headers",
                   "post_data"]
@@ -23,13 +23,20 @@ def _phase() -> Column:
     return F.when(F.col("event") == "request", 0).otherwise(1)
 
 
-def with_navigation_id(events: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+EVENT_ORDER = ["ts", "phase", "request_id"]
+
+
+def event_ranks(events: DataFrame, most: int | None = None) -> Ranks:
+    """Cuts of busy pages' event logs, of at most ``most`` rows each; see ``scan.rank_ranges``."""
+    return rank_ranges(events.withColumn("phase", _phase()), ["page_id"], EVENT_ORDER, most)
+
+
+def with_navigation_id(events: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """Adds ``navigation_id``: how many navigations the page had up to and including the event."""
     rows = events.withColumn("phase", _phase())
     mark = (F.col("event") == "request") & F.coalesce("is_navigation", F.lit(False))
-    return ordered_scan(rows, ["page_id"], time_chunk("ts", chunk_seconds),
-                        ["ts", "phase", "request_id"],
-                        {"navigation_id": ("sum", mark.cast("int"))}).drop("phase")
+    return ordered_scan(rows, ["page_id"], EVENT_ORDER,
+                        {"navigation_id": ("sum", mark.cast("int"))}, ranks).drop("phase")
 
 
 def pick_headers(headers, kept: list[str]) -> Column:
@@ -57,11 +64,11 @@ def mime_type(content_type) -> Column:
     return F.when(F.length(c) > 0, F.trim(F.split_part(c, F.lit(";"), F.lit(1))))
 
 
-def assemble_calls(events: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def assemble_calls(events: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """One row per request with its outcome.  A completion that arrives after a later navigation of
     the page is dropped and its call stays pending.  Requests and completions meet in one grouping
     on (page, request), which spreads evenly even when one page owns most of the log."""
-    rows = with_navigation_id(events, chunk_seconds).withColumn("t", micros("ts"))
+    rows = with_navigation_id(events, ranks).withColumn("t", micros("ts"))
     have = set(events.columns)
     req = [c if c in have else F.lit(None).cast(
         "map<string,string>" if c == "request_headers" else "string").alias(c)
@@ -160,16 +167,16 @@ def ring_buffer(calls: DataFrame, size: int = 1000) -> DataFrame:
     return top_n(calls, ["page_id"], [F.desc("call_id")], size, "age_rank")
 
 
-def inflight(events: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def inflight(events: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """Requests in flight after each event: never negative, zero again at each navigation."""
-    rows = with_navigation_id(events, chunk_seconds).withColumn("phase", _phase())
+    ranks = event_ranks(events) if ranks is None else ranks
+    rows = with_navigation_id(events, ranks).withColumn("phase", _phase())
     step = F.when(F.col("event") == "request", 1).otherwise(-1)
-    return reflected_sum(rows, ["page_id", "navigation_id"], time_chunk("ts", chunk_seconds),
-                         ["ts", "phase", "request_id"], step, "inflight").drop("phase")
+    return reflected_sum(rows, ["page_id", "navigation_id"], EVENT_ORDER, step, "inflight", ranks).drop("phase")
 
 
 def first_quiet(events: DataFrame, actions: DataFrame, quiet_ms: int, timeout_ms: int,
-                chunk_seconds: int = DAY) -> DataFrame:
+                most: int | None = None) -> DataFrame:
     """For every action the first moment after which nothing happened for ``quiet_ms``.
 
     ``events`` has (page_id, ts, seq, level): level above zero means the page stays busy until the
@@ -181,22 +188,20 @@ def first_quiet(events: DataFrame, actions: DataFrame, quiet_ms: int, timeout_ms
     log = events.select("page_id", micros("ts").alias("t"), F.lit(0).alias("mark"),
                         F.col("seq").cast("bigint").alias("seq"),
                         F.col("level").cast("bigint").alias("level"))
-    a = actions.select("page_id", micros("ts").alias("t"),
-                       F.col("action_id").cast("bigint").alias("seq"))
-    marks = a.select("page_id", "t", F.lit(1).alias("mark"), "seq", none.alias("level"))
-    ends = a.select("page_id", (F.col("t") + limit).alias("t"), F.lit(2).alias("mark"), "seq",
-                    none.alias("level"))
-    rows = log.unionByName(marks).unionByName(ends)
-    chunk = F.floor(F.col("t") / (chunk_seconds * 1_000_000))
+    marks = actions.select("page_id", F.col("action_id").cast("bigint").alias("seq"), none.alias("level"), F.inline(F.array(
+        F.struct(micros("ts").alias("t"), F.lit(1).alias("mark")),
+        F.struct((micros("ts") + limit).alias("t"), F.lit(2).alias("mark")))))
+    rows = log.unionByName(marks)
     order, is_event = ["t", "mark", "seq"], F.col("mark") == 0
-    rows = ordered_scan(rows, ["page_id"], chunk, order, {
+    ranks = rank_ranges(rows, ["page_id"], order, most)
+    rows = ordered_scan(rows, ["page_id"], order, {
         "n": ("sum", is_event.cast("int")),
         "busy": ("last", F.col("level")),
-        "next_t": ("next", F.when(is_event, F.col("t")))})
+        "next_t": ("next", F.when(is_event, F.col("t")))}, ranks)
     calm = F.col("next_t").isNull() | (F.col("next_t") - F.col("t") >= w)
-    rows = ordered_scan(rows, ["page_id"], chunk, order, {
+    rows = ordered_scan(rows, ["page_id"], order, {
         "later": ("next", F.when(is_event & (F.col("level") == 0) & calm,
-                                 F.struct("t", "n")))})
+                                 F.struct("t", "n")))}, ranks)
     at_once = (F.coalesce("busy", F.lit(0)) == 0) & calm
     found = F.when(at_once, F.struct("t", "n")).otherwise(F.col("later"))
     per = rows.filter("mark > 0").withColumn("q", found).groupBy(
@@ -213,34 +218,35 @@ def first_quiet(events: DataFrame, actions: DataFrame, quiet_ms: int, timeout_ms
 
 
 def network_quiet(events: DataFrame, actions: DataFrame, quiet_ms: int = 500,
-                  timeout_ms: int = 3000, chunk_seconds: int = DAY) -> DataFrame:
+                  timeout_ms: int = 3000, most: int | None = None) -> DataFrame:
     """Whether the network of the page fell idle in time after each action."""
-    levels = inflight(events, chunk_seconds).select(
+    levels = inflight(events, event_ranks(events, most)).select(
         "page_id", "ts", (F.col("request_id") * 2 + _phase()).alias("seq"),
         F.col("inflight").alias("level"))
-    return first_quiet(levels, actions, quiet_ms, timeout_ms, chunk_seconds)
+    return first_quiet(levels, actions, quiet_ms, timeout_ms, most)
 
 
 def dom_quiet(mutations: DataFrame, actions: DataFrame, quiet_ms: int = 100,
-              timeout_ms: int = 2000, chunk_seconds: int = DAY) -> DataFrame:
+              timeout_ms: int = 2000, most: int | None = None) -> DataFrame:
     """stable or timeout after each action, with the number of mutations seen while waiting."""
     log = mutations.select("page_id", "ts", F.col("mut_id").alias("seq"), F.lit(0).alias("level"))
-    out = first_quiet(log, actions, quiet_ms, timeout_ms, chunk_seconds)
+    out = first_quiet(log, actions, quiet_ms, timeout_ms, most)
     return out.select("page_id", "action_id",
                       F.when(F.col("quiet"), "stable").otherwise("timeout").alias("status"),
                       "wait_ms", F.col("events_seen").alias("mutation_count"))
 
 
 def mutation_bursts(mutations: DataFrame, quiet_ms: int = 100, timeout_ms: int = 2000,
-                    chunk_seconds: int = DAY) -> DataFrame:
+                    most: int | None = None) -> DataFrame:
     """Runs of mutations without a pause of ``quiet_ms``: start, end, count and whether the run fell
     quiet within ``timeout_ms`` of its start (mutations after that point are not counted)."""
     rows = mutations.select("page_id", "mut_id", "ts", micros("ts").alias("t"))
-    chunk, order = time_chunk("ts", chunk_seconds), ["t", "mut_id"]
-    rows = ordered_scan(rows, ["page_id"], chunk, order, {"before": ("lag", F.col("t"))})
+    order = ["t", "mut_id"]
+    ranks = rank_ranges(rows, ["page_id"], order, most)
+    rows = ordered_scan(rows, ["page_id"], order, {"before": ("lag", F.col("t"))}, ranks)
     opens = F.col("before").isNull() | (F.col("t") - F.col("before") >= quiet_ms * 1000)
-    rows = ordered_scan(rows, ["page_id"], chunk, order, {
-        "start_us": ("last", F.when(opens, F.col("t")))})
+    rows = ordered_scan(rows, ["page_id"], order, {
+        "start_us": ("last", F.when(opens, F.col("t")))}, ranks)
     within = F.col("t") - F.col("start_us") <= timeout_ms * 1000
     out = rows.groupBy("page_id", "start_us").agg(
         F.max("t").alias("end_us"), F.count("*").alias("mutations"),

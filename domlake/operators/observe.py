@@ -6,6 +6,7 @@ width_pct, height_pct, has_interactives, is_fixed, is_body_child, is_visible).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import fuzzy_score, lookup, squeeze, tokenize, trim_ws
-from .scan import DAY, micros, ordered_scan, time_chunk, top_n
+from .scan import in_pieces, micros, ordered_scan, rank_ranges, top_n
+from .staging import materialize
 
 
 def mutation_signals(mutations: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def observations(mutations: DataFrame, threshold: int = 4) -> DataFrame:
         "change", F.when(F.col("type") == "added", "appeared").otherwise("disappeared"))
 
 
-def action_windows(obs: DataFrame, actions: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def action_windows(obs: DataFrame, actions: DataFrame, most: int | None = None) -> DataFrame:
     """Attach every observation to an action: 'during' from the action's start up to its report,
     else 'prior' to the next action, with its age at that action's report in ms.
 
@@ -73,9 +75,10 @@ def action_windows(obs: DataFrame, actions: DataFrame, chunk_seconds: int = DAY)
     rows = obs.select("page_id", micros("ts").alias("t"), F.lit(1).alias("side"),
                       F.col("mut_id").alias("seq"))
     both = act.unionByName(rows, allowMissingColumns=True)
-    chunk = F.floor(F.col("t") / (chunk_seconds * 1_000_000))
-    linked = ordered_scan(both, ["page_id"], chunk, ["t", "side", "seq"], {
-        "prev_act": ("last", F.col("act")), "next_act": ("next", F.col("act"))})
+    order = ["t", "side", "seq"]
+    linked = ordered_scan(both, ["page_id"], order, {
+        "prev_act": ("last", F.col("act")), "next_act": ("next", F.col("act"))},
+        rank_ranges(both, ["page_id"], order, most))
     during = F.col("prev_act").isNotNull() & F.coalesce(
         F.col("t") <= F.col("prev_act.end"), F.lit(True))
     report = F.coalesce("next_act.end", "next_act.start")
@@ -99,13 +102,14 @@ def after_delay(ts, page_loaded) -> Column:
 
 
 def short_lived(mutations: DataFrame, element: list[str], limit_ms: int = 3000,
-                chunk_seconds: int = DAY) -> DataFrame:
+                most: int | None = None) -> DataFrame:
     """Adds ``short_lived`` to both rows of an element that appeared and was removed again within
     the limit; ``element`` names the columns that identify an element on a page."""
     rows = mutations.withColumn("t", micros("ts"))
     here = F.struct("type", "t")
-    rows = ordered_scan(rows, ["page_id", *element], time_chunk("ts", chunk_seconds),
-                        ["t", "mut_id"], {"_after": ("lead", here), "_before": ("lag", here)})
+    order = ["t", "mut_id"]
+    rows = ordered_scan(rows, ["page_id", *element], order, {"_after": ("lead", here), "_before": ("lag", here)},
+                        rank_ranges(rows, ["page_id"], order, most))
     limit = limit_ms * 1000
     gone = (F.col("type") == "added") & (F.col("_after.type") == "removed") & (
         F.col("_after.t") - F.col("t") < limit)
@@ -115,36 +119,82 @@ def short_lived(mutations: DataFrame, element: list[str], limit_ms: int = 3000,
         went, F.lit(False))).drop("_after", "_before", "t")
 
 
-def debounce(mutations: DataFrame, region: list[str], quiet_ms: int = 100,
-             chunk_seconds: int = DAY) -> DataFrame:
+def debounce(mutations: DataFrame, region: list[str], quiet_ms: int = 100, most: int | None = None) -> DataFrame:
     """Adds ``captured``: a change of a live region counts unless another one was captured less than
     ``quiet_ms`` before it.
 
-    Any pause of ``quiet_ms`` restarts the rule, so the log is first cut at pauses with an ordered
-    scan; only the rows of one unbroken burst are walked through in order."""
+    A region's log is walked in pieces of equal rank. What a piece does is a map from the last capture before it to
+    the last one in it; maps of neighbouring pieces compose, so doubling the stretch they cover tells every
+    piece what it starts from after as many rounds as the number of pieces has bits."""
     keys = ["page_id", *region]
-    rows = mutations.select(*keys, "mut_id", "ts").withColumn("t", micros("ts"))
-    chunk, order, gap = time_chunk("ts", chunk_seconds), ["t", "mut_id"], quiet_ms * 1000
-    rows = ordered_scan(rows, keys, chunk, order, {"_before": ("lag", F.col("t"))})
-    opens = F.col("_before").isNull() | (F.col("t") - F.col("_before") >= gap)
-    rows = ordered_scan(rows, keys, chunk, order, {"burst": ("last", F.when(opens, F.col("t")))})
-    single = rows.groupBy(*keys, "burst").agg(F.count("*").alias("burst_size"))
-    rows = rows.join(single, [*keys, "burst"]).drop("_before", "ts")
-    alone = rows.filter("burst_size = 1").select(*keys, "mut_id", F.lit(True).alias("captured"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "mut_id"]) + ", captured boolean"
+    rows = mutations.select(*keys, "mut_id", micros("ts").alias("t"))
+    gap = quiet_ms * 1000
+    ranks = rank_ranges(rows, keys, ["t", "mut_id"], most)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    group = [*keys, "_piece"]
+    if ranks.cuts is None:
+        pieces = rows.withColumn("_piece", F.lit(None).cast("int")).withColumn("_from", F.lit(None).cast("bigint"))
+    else:
+        pieces = in_pieces(rows, ranks)
+        entries = _entries(pieces.filter(F.col("_piece").isNotNull()), keys, gap, ranks.steps)
+        pieces = pieces.join(entries, group, "left")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "mut_id"])
-        last, flags = None, []
-        for t in pdf["t"]:
-            keep = last is None or t - last >= gap
-            last = t if keep else last
-            flags.append(keep)
-        return pdf[[*keys, "mut_id"]].assign(captured=flags)
-
-    walked = rows.filter("burst_size > 1").groupBy(*keys, "burst").applyInPandas(walk, schema)
-    return alone.unionByName(walked)
+        t, before = pdf["t"].to_numpy(), pdf["_from"].iloc[0]
+        captured = np.zeros(len(t), bool)
+        at = 0 if pd.isna(before) else int(np.searchsorted(t, int(before) + gap))
+        while at < len(t):
+            captured[at] = True
+            at = max(at + 1, int(np.searchsorted(t, t[at] + gap)))
+        return pdf[[*keys, "mut_id"]].assign(captured=captured)
+
+    return pieces.groupBy(*group).applyInPandas(walk, f"{kinds}, mut_id {dict(rows.dtypes)['mut_id']}, captured boolean")
+
+
+def _trimmed(first: np.ndarray, last: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """No capture before a piece reaches beyond its first row by more than the pause, so the map ends there."""
+    end = int(np.searchsorted(first, first[0] + gap)) + 1 if len(first) else 0
+    return first[:end], last[:end]
+
+
+def _entries(pieces: DataFrame, keys: list[str], gap: int, rounds: int) -> DataFrame:
+    """(keys, _piece, _from): the time of the last capture before each piece but the first.
+
+    A map is two lists: a first capture at ``first[i]`` has its last capture at ``last[i]``. A capture before the piece
+    leads to the first row that is at least the pause later; beyond the list, nothing in the piece is captured."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in keys)
+    schema = f"{schema}, _piece int, first array<bigint>, last array<bigint>"
+
+    def map_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["t"].to_numpy())
+        after = np.maximum(np.searchsorted(t, t + gap), np.arange(len(t)) + 1)
+        last = t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                last[i] = last[after[i]]
+        first, last = _trimmed(t, last, gap)
+        return pdf[[*keys, "_piece"]].head(1).assign(first=[first], last=[last])
+
+    def compose(frames):
+        for pdf in frames:
+            out = []
+            for a, b, c, d in zip(pdf["first"], pdf["last"], pdf["then_first"], pdf["then_last"]):
+                if a is None or c is None:
+                    out.append((c, d) if a is None else (a, b))
+                    continue
+                at = np.searchsorted(c, b + gap)
+                reached = np.where(at < len(c), d[np.minimum(at, len(c) - 1)], b)
+                more = c > a[-1]
+                out.append(_trimmed(np.append(a, c[more]), np.append(reached, d[more]), gap))
+            yield pdf[[*keys, "_piece"]].assign(first=[o[0] for o in out], last=[o[1] for o in out])
+
+    maps = materialize(pieces.select(*keys, "_piece", "t").groupBy(*keys, "_piece").applyInPandas(map_of, schema))
+    for i in range(rounds):  # a map now covers its piece and up to 2 ** i - 1 before it
+        before = maps.select(*keys, (F.col("_piece") + (1 << i)).alias("_piece"), "first", "last")
+        after = maps.select(*keys, "_piece", F.col("first").alias("then_first"), F.col("last").alias("then_last"))
+        maps = materialize(after.join(before, [*keys, "_piece"], "left").mapInPandas(compose, schema))
+    return maps.select(*keys, (F.col("_piece") + 1).alias("_piece"), F.get("last", F.lit(0)).alias("_from"))
 
 
 def live_region_ancestor(dom: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ consecutive parts each, so their number grows with the data while a capture stay
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import materialize  # noqa: F401
 from ..schema import bbox, make_nodes
 from ..sources.captures import read_pages
 from ..sources.html import html_to_dom
@@ -252,15 +251,6 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, FIELDS, "orders")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a table once that a plan reads several times.  The checkpoint lies in the folder the
-    session names, so a lost executor does not lose it; a folder is only made where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="domlake-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 

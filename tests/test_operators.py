@@ -2,32 +2,84 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from domlake.operators import dependencies, diff, forms, layers, network, observe, query, scan
+from domlake.plans import adapters as a
 from domlake.schema import bbox, make_nodes
 
 
-def test_chunked_scan_equals_plain_order(spark):
+@pytest.mark.parametrize("most", [5, 40, 10_000])
+def test_scan_in_pieces_equals_plain_order(spark, most):
     rng = random.Random(7)
-    rows = [(rng.randrange(3), i, rng.choice([None, 1, 2, 3]), rng.choice([-1, 1]))
-            for i in range(400)]
-    df = spark.createDataFrame(rows, "k int, i int, v int, d int")
-    out = scan.ordered_scan(df, ["k"], F.floor(F.col("i") / 7), ["i"], {
+    rows = [(rng.choice([0, 0, 0, 1, None]), i // 3, i, rng.choice([None, 1, 2, 3]), rng.choice([-1, 1])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, a int, i int, v int, d int")
+    ranks = scan.rank_ranges(df, ["k"], ["a", "i"], most)
+    assert (ranks.cuts is None) == (most == 10_000)
+    out = scan.ordered_scan(df, ["k"], ["a", "i"], {
         "s": ("sum", F.col("d")), "l": ("last", F.col("v")), "g": ("lag", F.col("v")),
-        "e": ("lead", F.col("v")), "n": ("next", F.col("v"))})
-    out = scan.reflected_sum(out, ["k"], F.floor(F.col("i") / 7), ["i"], F.col("d"), "r")
+        "e": ("lead", F.col("v")), "n": ("next", F.col("v"))}, ranks)
+    out = scan.reflected_sum(out, ["k"], ["a", "i"], F.col("d"), "r", ranks)
     got = {(r.k, r.i): (r.s, r.l, r.g, r.e, r.n, r.r) for r in out.collect()}
-    for k in range(3):
+    assert len(got) == 400
+    for k in (0, 1):
         mine, s, last, level = [r for r in rows if r[0] == k], 0, None, 0
-        for j, (_, i, v, d) in enumerate(mine):
+        for j, (_, _, i, v, d) in enumerate(mine):
             s, last, level = s + d, v if v is not None else last, max(0, level + d)
-            after = [x[2] for x in mine[j + 1:]]
+            after = [x[3] for x in mine[j + 1:]]
             nxt = next((x for x in after if x is not None), None)
-            want = (s, last, mine[j - 1][2] if j else None, after[0] if after else None, nxt, level)
+            want = (s, last, mine[j - 1][3] if j else None, after[0] if after else None, nxt, level)
             assert got[(k, i)] == want
 
 
+def test_a_hot_page_is_spread_evenly(spark):
+    """One page has nine of ten rows, most of them within a minute: no piece is over twice its share."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("page_id"), "id",
+        F.when(F.col("id") % 7 == 0, F.col("id") * 1000).otherwise(F.col("id") % 3).alias("t"))
+    ranks = scan.rank_ranges(rows, ["page_id"], ["t", "id"], 2_000)
+    sizes = [r["count"] for r in scan.in_pieces(rows, ranks).where("page_id = -1").groupBy("_piece").count().collect()]
+    assert sum(sizes) == 36_000 and max(sizes) <= 4_000 and len(sizes) > 12
+
+
+def captured(times, gap):
+    last, out = None, []
+    for t in times:
+        out.append(last is None or t - last >= gap)
+        last = t if out[-1] else last
+    return out
+
+
+@pytest.mark.parametrize("most, gap", [(20, 100), (20, 7), (50, 3000), (10_000, 100)])
+def test_debounce_over_pieces(spark, most, gap):
+    """A burst that never pauses is told apart over many pieces as by a walk."""
+    rng = random.Random(gap)
+    logs = {(1, "a"): sorted(rng.randrange(4000) for _ in range(900)), (1, None): [5, 5, 6, 300], (2, "a"): sorted(rng.randrange(900) for _ in range(300)),
+            (3, "b"): [0] * 200 + [50] * 60}
+    rows = [(p, r, i, t) for (p, r), times in logs.items() for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "page_id int, region string, mut_id int, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = {(r.page_id, r.region, r.mut_id): r.captured for r in observe.debounce(df, ["region"], gap, most).collect()}
+    assert got == {(p, r, i): c for (p, r), times in logs.items() for i, c in enumerate(captured(times, gap))}
+
+
+def log_scans(df, name):
+    """How often a plan reads a table, and how many exchanges it runs."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return sum(name in line for line in text.splitlines() if "FileScan" in line), sum(
+        "Exchange " in line and "Broadcast" not in line and "Reused" not in line for line in text.splitlines())
+
+
+def test_quiet_plans_stay_small(spark, data):
+    events, actions = a.net_events(spark, data), a.click_actions(spark, data)
+    net = network.network_quiet(events, actions, 3_600_000, 43_200_000)
+    scans, exchanges = log_scans(net, "user_id")
+    assert scans <= 3 and exchanges <= 8
+    both = network.settle_after_action(network.dom_quiet(a.mutations(spark, data), actions, 3_600_000, 43_200_000), net)
+    scans, exchanges = log_scans(both, "user_id")
+    assert scans <= 6 and exchanges <= 14
+
+
 def test_top_n_keeps_ties_and_all_keys(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     got = scan.top_n(df, ["k"], [F.desc("v")], 5, spread=4)
