@@ -123,22 +123,24 @@ class Level:
         return arrays.find(self.folder, self.files, self.bits, some)[1][back]
 
 
-def occurrences(g: Grams, n: int, below: Level | None) -> tuple[np.ndarray, np.ndarray]:
-    """Words at which n-grams start that may be frequent, and their fingerprints."""
-    at = g.at(n)
-    if below is not None and len(at):
-        shorter = g.at(n - 1)
-        frequent = np.zeros(len(g.breaks) + 1, bool)
-        frequent[shorter] = below.known(g.fingerprints(n - 1, shorter))
-        at = at[frequent[at] & frequent[at + 1]]
-    return at, g.fingerprints(n, at)
+def occurrences(g: Grams, n: int, below: list[Level]) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which n-grams start whose shorter ones are all frequent, and their fingerprints."""
+    frequent = np.ones(len(g.breaks) + 1, bool)
+    for m in range(1, n + 1):
+        at = g.at(m)
+        at = at[frequent[at] & frequent[at + (m > 1)]]
+        keys = g.fingerprints(m, at)
+        if m < n:
+            frequent = np.zeros(len(g.breaks) + 1, bool)
+            frequent[at] = below[m - 1].known(keys)
+    return at, keys
 
 
 _BLOCKS = "bucket int, keys binary, counts binary, texts binary, places binary"
 _POINTERS = "bucket int, key long, c long, text_hash long, place long"
 
 
-def counted(docs: DataFrame, n: int, least: int, below: Level | None, folder: str, bits: int, mask: int) -> tuple[DataFrame, Level]:
+def counted(docs: DataFrame, n: int, least: int, below: list[Level], folder: str, bits: int, mask: int) -> tuple[DataFrame, Level]:
     """Fingerprints of n-grams that occur least times or more: bucket, key, c, text_hash, place. Groups are ranges of
     fingerprints, to which each task hands one entry a fingerprint, however often it occurs."""
     top = np.uint64(64 - bits)
@@ -279,36 +281,71 @@ def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray
     return np.diff(np.append(0, np.cumsum(differ))[np.append(begin, size.sum())]) == 0
 
 
-def differing(docs: DataFrame, levels: dict[int, Level | None], store: Store, mask: int) -> DataFrame:
-    """Occurrences of stored fingerprints whose words or language are not those stored: n, key, lang, phrase, c."""
+def word_numbers(w: common.Words) -> np.ndarray:
+    """A number for each word, the same for the same bytes and no others."""
+    _, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    size = w.ends - w.starts
+    lead = first[number]
+    same = size == size[lead]
+    at = np.flatnonzero(same)
+    same[at] = same_bytes(w.buf, w.starts[at], w.buf, w.starts[lead[at]], size[at])
+    own: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # another word with the hash
+        number[i] = len(first) + own.setdefault(w.buf[w.starts[i]:w.ends[i]].tobytes(), len(own))
+    return number
+
+
+def differing(docs: DataFrame, words: int, store: Store, mask: int) -> DataFrame:
+    """Occurrences of stored fingerprints whose words or language are not those stored: n, key, lang, phrase, c.
+
+    The first occurrence of a fingerprint in some texts is held against the store, byte by byte, the others
+    against the first, by words that are numbered by their bytes."""
     def verify(batches):
         for b in batches:
             for t in common.texts(b.column("text")):
                 names, number, langs = languages(b.column("lang"), t)
                 g = grams(t, langs, mask)
+                w, known = g.words, word_numbers(g.words)
+                lang = number[w.row]
                 spelled = np.frombuffer(b"".join(x.encode() + b"\0" for x in names), np.uint8)
                 long_ = np.array([len(x.encode()) + 1 for x in names])
                 begin = np.cumsum(long_) - long_
                 found: dict[tuple, int] = {}
-                for n, below in levels.items():
-                    at, keys = occurrences(g, n, below)
+                frequent = np.ones(len(g.breaks) + 1, bool)
+                for n in range(1, words + 1):
+                    at = g.at(n)
+                    at = at[frequent[at] & frequent[at + (n > 1)]]
+                    keys, first, back = np.unique(g.fingerprints(n, at), return_index=True, return_inverse=True)
+                    head = at[first]
+                    stored, right, texts = np.zeros(len(keys), bool), np.zeros(len(keys), bool), []
                     for mine, start, end, blob in store.lookup(n, keys):
-                        first = at[mine]
-                        lang = number[g.words.row[first]]
-                        length = [long_[lang], *(g.words.ends[first + i] - g.words.starts[first + i] for i in range(n))]
-                        right = end - start == sum(length) + n - 1
+                        texts.append((mine, start, end, blob))
+                        length = [long_[lang[head[mine]]], *(w.ends[head[mine] + i] - w.starts[head[mine] + i] for i in range(n))]
+                        fits = end - start == sum(length) + n - 1
                         place = start
                         for i, size in enumerate(length):
-                            ok = np.flatnonzero(right)
-                            from_ = begin[lang] if i == 0 else g.words.starts[first + i - 1]
-                            right[ok] = same_bytes(spelled if i == 0 else g.words.buf, from_[ok], blob, place[ok], size[ok])
+                            ok = np.flatnonzero(fits)
+                            from_ = begin[lang[head[mine]]] if i == 0 else w.starts[head[mine] + i - 1]
+                            fits[ok] = same_bytes(spelled if i == 0 else w.buf, from_[ok], blob, place[ok], size[ok])
                             place = place + size + (i > 0)
-                        data = g.words.buf
-                        for m in np.flatnonzero(~right).tolist():
-                            a = int(first[m])
-                            phrase = b" ".join(data[g.words.starts[a + i]: g.words.ends[a + i]].tobytes() for i in range(n)).decode()
-                            what = n, int(keys[mine[m]].astype(np.int64)), names[lang[m]], phrase
-                            found[what] = found.get(what, 0) + 1
+                        stored[mine], right[mine] = True, fits
+                    frequent = np.zeros(len(g.breaks) + 1, bool)
+                    frequent[at] = stored[back]
+                    lead = head[back]
+                    alike = lang[at] == lang[lead]
+                    for i in range(n):
+                        alike &= known[at + i] == known[lead + i]
+                    bad = np.flatnonzero(stored[back] & ~(alike & right[back]))
+                    if len(bad):
+                        wrong = set(back[bad].tolist())
+                        held = {int(m): blob[x:y].tobytes() for mine, start, end, blob in texts
+                                for m, x, y in zip(mine, start, end, strict=True) if m in wrong}
+                        for m in bad.tolist():
+                            a = int(at[m])
+                            phrase = b" ".join(w.buf[w.starts[a + i]: w.ends[a + i]].tobytes() for i in range(n))
+                            if names[lang[a]].encode() + b"\0" + phrase != held[int(back[m])]:
+                                what = n, int(keys[back[m]].astype(np.int64)), names[lang[a]], phrase.decode()
+                                found[what] = found.get(what, 0) + 1
                 if found:
                     columns = list(zip(*((*k, c) for k, c in found.items()), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
@@ -328,10 +365,10 @@ def frequent(docs: DataFrame, words: int = 3, least: int = 10, fingerprint_bits:
     bits = max(3, (common.shuffle_width(spark) - 1).bit_length())
     folder = f"{common.shared_folder(spark)}/{uuid.uuid4().hex}-phrases"
     mask = ~((1 << 64 - fingerprint_bits) - 1) & ((1 << 64) - 1)
-    below, levels, pointers = None, {}, None
+    levels, pointers = [], None
     for n in range(1, words + 1):
-        levels[n] = below
-        rows, below = counted(docs, n, least, below, folder, bits, mask)
+        rows, level = counted(docs, n, least, levels, folder, bits, mask)
+        levels = [*levels, level]
         rows = rows.withColumn("n", F.lit(n))
         pointers = rows if pointers is None else pointers.unionByName(rows)
     stored = common.staged(materialised(docs, pointers, folder, bits, mask))
@@ -346,7 +383,7 @@ def frequent(docs: DataFrame, words: int = 3, least: int = 10, fingerprint_bits:
 
     by_range = stored.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
     written = by_range.repartition(common.shuffle_width(spark), "n", "bucket").groupBy("n", "bucket").applyInArrow(write, "file string").collect()
-    other = common.checkpoint(differing(docs, levels, Store(folder, {r["file"] for r in written}, bits), mask))
+    other = common.checkpoint(differing(docs, words, Store(folder, {r["file"] for r in written}, bits), mask))
     taken = other.groupBy("n", "key").agg(F.sum("c").alias("gone"))
     kept = (stored.join(pointers.select("n", "key", "c"), ["n", "key"]).join(taken, ["n", "key"], "left")
             .select("lang", "n", "phrase", (F.col("c") - F.coalesce("gone", F.lit(0))).alias("f")))
