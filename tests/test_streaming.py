@@ -147,21 +147,63 @@ def capture(spark, *pairs):
 def test_latest_table_versions(spark, tmp_path):
     path = str(tmp_path / "latest")
     now = lambda: rows(sinks.read_latest(spark, path, capture(spark).schema), "page_id", "step")
-    sinks.merge_latest(capture(spark), path, 0, 8)  # an empty first batch
+    files_of = lambda v: sorted(f.name for f in (tmp_path / "latest" / "data").glob(f"v={v}-*/*/*.parquet"))
+    assert sinks.merge_latest(capture(spark), path, 0, buckets=8)  # an empty first batch
     assert now() == []
-    sinks.merge_latest(capture(spark, *((p, 1) for p in range(30))), path, 1, 8)
-    untouched = sorted(f.name for f in (tmp_path / "latest" / "data" / "v=1").rglob("*.parquet"))
-    sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2, 8)
-    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
-    assert len(list((tmp_path / "latest" / "data" / "v=2").glob("bucket=*"))) == 1
-    assert untouched == sorted(f.name for f in (tmp_path / "latest" / "data" / "v=1").rglob("*.parquet"))
-    sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2, 8)  # retried
-    sinks.merge_latest(capture(spark, (3, 2)), path, 3, 8)  # older than what is there
-    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
-    with pytest.raises(ValueError):
-        sinks.merge_latest(capture(spark, (1, 9)), path, 5, 8)  # version 4 was never written
+    sinks.merge_latest(capture(spark, *((p, 1) for p in range(30))), path, 1)
+    untouched = files_of(1)
+    sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2)
+    want = sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
+    assert now() == want
+    assert len(list((tmp_path / "latest" / "data").glob("v=2-*/bucket=*"))) == 1
+    assert untouched == files_of(1)
+    assert not sinks.merge_latest(capture(spark, (3, 5), (3, 4)), path, 2)  # repeated
+    sinks.merge_latest(capture(spark, (3, 2)), path, 3)  # older than what is there
+    assert now() == want
+    with pytest.raises(sinks.LostBatch):
+        sinks.merge_latest(capture(spark, (1, 9)), path, 5)  # batch 4 was never written
     assert sinks.vacuum_latest(spark, path, 1)
-    assert now() == sorted([(p, 5 if p == 3 else 1) for p in range(30)], key=repr)
+    assert now() == want
+
+
+def test_latest_table_outlives_its_checkpoint(spark, tmp_path):
+    """A new checkpoint starts over at batch 0; a writer that died or lost a race changes nothing."""
+    path = str(tmp_path / "latest")
+    now = lambda: rows(sinks.read_latest(spark, path, capture(spark).schema), "page_id", "step")
+    sinks.merge_latest(capture(spark, *((p, 1) for p in range(30))), path, 0, "one")
+    sinks.merge_latest(capture(spark, (40, 2)), path, 0, "two")
+    assert now() == sorted([(p, 1) for p in range(30)] + [(40, 2)], key=repr)
+    with pytest.raises(sinks.LostBatch):
+        sinks.merge_latest(capture(spark, (1, 9)), path, 3, "three")  # its first batches went elsewhere
+    (tmp_path / "latest" / "manifest" / "v=2.json").write_text('{"buckets": 64, "held"')  # cut short
+    sinks.merge_latest(capture(spark, (41, 2)), path, 1, "two")
+    assert now() == sorted([(p, 1) for p in range(30)] + [(40, 2), (41, 2)], key=repr)
+    old = sinks._newest(spark, path)
+    with pytest.raises(sinks.LostBatch):
+        sinks._commit(spark, path, old)  # the version is taken
+    sinks.vacuum_latest(spark, path, 1)
+    assert now() == sorted([(p, 1) for p in range(30)] + [(40, 2), (41, 2)], key=repr)
+
+
+def test_latest_table_gets_more_buckets(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    for n in range(4):
+        sinks.merge_latest(capture(spark, *((p, n) for p in range(20 * n, 20 * n + 40))), path, n, buckets=2, bucket_rows=10)
+    assert sinks._newest(spark, path).buckets == 8
+    want = {p: max(n for n in range(4) if 20 * n <= p < 20 * n + 40) for p in range(100)}
+    assert rows(sinks.read_latest(spark, path, capture(spark).schema), "page_id", "step") == sorted(want.items(), key=repr)
+
+
+def test_latest_sink_restarts_with_a_new_checkpoint(spark, tmp_path):
+    path, out = str(tmp_path / "caps"), str(tmp_path / "out")
+    for n, pages in enumerate((range(20), range(10, 30))):
+        capture(spark, *((p, n) for p in pages)).coalesce(1).write.mode("append").parquet(path)
+        for _ in range(2):  # a restart finds nothing new
+            q = sinks.latest_sink(stream_files(spark, path, capture(spark).schema), out, str(tmp_path / f"ck{n}")).trigger(availableNow=True).start()
+            q.awaitTermination(240)
+            assert q.exception() is None
+    want = sorted([(p, 1 if p >= 10 else 0) for p in range(30)], key=repr)
+    assert rows(sinks.read_latest(spark, out, capture(spark).schema), "page_id", "step") == want
 
 
 def test_append_sink_keeps_every_row(spark, data, tmp_path):
