@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import fuzzy_score, normalize_literal, squeeze, tokenize
+from ..functions.text import fuzzy_score, normalize_literal, normalize_text, squeeze, tokenize
 from . import identity
 
 
@@ -252,43 +252,197 @@ def nodes_evaluated(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("snapshot_id").agg(F.count("*").alias("nodes_evaluated"))
 
 
-def find_many(nodes: DataFrame, requests: list[dict]) -> DataFrame:
-    """Answer a bounded list of requests in one pass.  Each row is tested against every request in
-    place and fans out only to the ones it matches, so nothing is joined."""
-    hits = []
-    for i, req in enumerate(requests):
-        test = F.lit(True)
-        if req.get("kind") is not None:
-            test = test & F.col("kind").isin(_aslist(req["kind"]))
-        if req.get("region") is not None:
-            test = test & F.col("where.region").isin(_aslist(req["region"]))
-        for flag, wanted in _state_items(req).items():
-            test = test & F.col("state").isNotNull() & state_is(flag, wanted)
-        if req.get("group_id") is not None:
-            test = test & (F.col("where.group_id") == req["group_id"])
-        if req.get("heading_context") is not None:
-            test = test & (F.col("where.heading_context") == req["heading_context"])
-        score = None
-        if req.get("label") is not None:
-            flt = LabelFilter.of(req["label"])
-            if flt.mode == "fuzzy":
-                score = fuzzy_label_score("label", flt)
-                test = test & (F.lit(bool(flt.tokens))) & (score >= flt.overlap)
-            else:
-                test = test & label_matches("label", flt)
-        relevance = score_match(req, score)
-        if req.get("min_score") is not None:
-            test = test & (relevance >= req["min_score"])
-        order = F.when(F.lit(bool(req.get("sort_by_relevance"))), relevance).otherwise(F.lit(0.0))
-        hits.append(F.when(F.coalesce(test, F.lit(False)), F.struct(
-            F.lit(i).alias("request_id"), relevance.alias("relevance"), order.alias("rank_key"),
-            F.lit(req.get("limit")).cast("int").alias("k"))))
-    out = nodes.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(
-        "*", "hit.request_id", "hit.relevance", "hit.rank_key", "hit.k").drop("hit")
+REQUEST_TABLE = (
+    "request_id bigint, kinds array<string>, regions array<string>, has_state boolean, "
+    "states array<struct<flag:string,want:string>>, group_id string, heading string, mode string, "
+    "sensitive boolean, needle string, tokens array<string>, overlap double, prefix boolean, sim double, "
+    "max_tokens int, k int, min_score double, by_relevance boolean, top double"
+)
+
+
+def request_table(spark: SparkSession, requests: list[dict]) -> DataFrame:
+    """Requests as rows; ``request_id`` is the place in the list. An empty label text keeps every label."""
+    rows = []
+    for i, r in enumerate(requests):
+        flt = LabelFilter.of(r["label"]) if r.get("label") is not None else None
+        for flag in _state_items(r):
+            state_is(flag, True)
+        rows.append((
+            i, *(None if r.get(c) is None else _aslist(r[c]) for c in ("kind", "region")), r.get("state") is not None,
+            [(k, str(v).lower() if isinstance(v, bool) else v) for k, v in _state_items(r).items()],
+            r.get("group_id"), r.get("heading_context"), flt and (flt.mode if flt.text or flt.mode == "fuzzy" else f"any {flt.mode}"),
+            flt and flt.case_sensitive, flt and flt.needle, flt and flt.tokens, flt and float(flt.overlap),
+            flt and flt.prefix, flt and float(flt.sim), flt and flt.max_tokens, r.get("limit"),
+            None if r.get("min_score") is None else float(r["min_score"]), bool(r.get("sort_by_relevance")),
+            float(max_score(r))))
+    return spark.createDataFrame(rows, REQUEST_TABLE)
+
+
+def complete_requests(requests: DataFrame) -> DataFrame:
+    """A table of requests in the layout of ``REQUEST_TABLE`` from one with ``request_id`` and any of kinds, regions,
+    states, group_id, heading, text, mode, sensitive, overlap, prefix, sim, max_tokens, k, min_score and
+    by_relevance; a missing or null one is as a request that leaves it out. ``text`` asks for labels."""
+    kinds = dict(part.strip().split(" ", 1) for part in REQUEST_TABLE.replace("flag:string,want", "flag:string;want").split(","))
+    kinds = {k: v.replace(";", ",") for k, v in kinds.items()} | {"text": "string"}
+    have = set(requests.columns)
+    col = lambda c, default=None: F.coalesce(F.col(c).cast(kinds[c]) if c in have else F.lit(None).cast(kinds[c]), F.lit(default).cast(kinds[c]))
+    text, sensitive = col("text"), col("sensitive", False)
+    needle = normalize_text(F.when(sensitive, text).otherwise(F.lower(text)))
+    tokens, upto = tokenize(needle, None, 2), col("max_tokens")
+    asked = col("mode", "contains")
+    label = F.element_at(F.create_map(*[x for m, weight in rules.LABEL_WEIGHT.items() for x in (F.lit(m), F.lit(weight))]), asked)
+    states = F.coalesce(col("states"), F.array().cast(kinds["states"]))
+    top = F.lit(rules.VISIBLE_WEIGHT) + F.when(text.isNotNull(), label).otherwise(0.0) + F.when(
+        col("kinds").isNotNull(), rules.KIND_WEIGHT).otherwise(0.0) + F.when(col("regions").isNotNull(), rules.REGION_WEIGHT).otherwise(
+        0.0) + F.lit(rules.STATE_WEIGHT) * F.size(states) + F.when(col("group_id").isNotNull(), rules.GROUP_WEIGHT).otherwise(
+        0.0) + F.when(col("heading").isNotNull(), rules.HEADING_WEIGHT).otherwise(0.0)
+    mode = F.when((text == "") & (asked != "fuzzy"), F.concat(F.lit("any "), asked)).otherwise(asked)
+    columns = {
+        "has_state": (col("has_state") if "has_state" in have else col("states").isNotNull()), "states": states,
+        "mode": F.when(text.isNotNull(), mode), "sensitive": sensitive, "needle": needle,
+        "tokens": F.when(upto.isNull(), tokens).otherwise(F.slice(tokens, F.lit(1), F.coalesce(upto, F.lit(0)))),
+        "overlap": col("overlap", 0.5), "prefix": col("prefix", True), "sim": col("sim", 0.8), "by_relevance": col("by_relevance", False), "top": top}
+    names = [part.strip().split(" ")[0] for part in REQUEST_TABLE.replace("flag:string,want", "flag").split(",")]
+    return requests.select(*[columns.get(c, col(c)).alias(c) for c in names])
+
+
+def _grams(text, size: int) -> Column:
+    """Every run of ``size`` characters, with repeats."""
+    text = F.col(text) if isinstance(text, str) else text
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+
+
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(label, sensitive, hay): each distinct label in both forms that requests look at."""
+    return labels.select("label", F.inline(F.array(
+        F.struct(F.lit(True).alias("sensitive"), squeeze("label").alias("hay")),
+        F.struct(F.lit(False).alias("sensitive"), squeeze(F.lower("label")).alias("hay")))))
+
+
+def _containing(forms: DataFrame, requests: DataFrame) -> DataFrame:
+    """(label, request_id) of substring requests. A request is filed under the rarest of its needle's runs of three
+    characters (the needle itself, if shorter), labels under all of theirs."""
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams("hay", n) for n in (1, 2, 3)]))
+    filed = forms.select("label", "sensitive", "hay", F.explode(grams).alias("gram"))
+    size = F.least(F.lit(3), F.length("needle"))
+    own = F.when(size == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("needle") - size + 1), lambda i: F.substr(F.col("needle"), i, size))))
+    wanted = requests.filter("mode = 'contains'").select("request_id", "sensitive", "needle", F.explode(own).alias("gram"))
+    common = filed.groupBy("sensitive", "gram").agg(F.count("*").alias("n"))
+    anchored = wanted.join(common, ["sensitive", "gram"]).groupBy("request_id", "sensitive", "needle").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return filed.join(anchored, ["sensitive", "gram"]).filter(F.contains("hay", F.col("needle"))).select("label", "request_id")
+
+
+def _alike(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sensitive, word, token, prefix, sim, quality): words that count as a request's token, by how much.
+
+    Words that begin alike meet under their first three characters. Words of a similarity over two thirds share a
+    run of two characters, at most as far from the same place as there are edits."""
+    heads = words.withColumn("at", F.substring("word", 1, 3)).join(wanted.withColumn("at", F.substring("token", 1, 3)), ["sensitive", "at"])
+    size, d = F.length("token"), F.floor((1 - F.col("sim")) * F.greatest(F.col("size"), F.length("token")) + 1e-9).cast("int")
+    near = (
+        wanted.withColumn("size", F.explode(F.sequence(F.ceil(size * F.col("sim") - 1e-9).cast("int"), F.floor(size / F.col("sim") + 1e-9).cast("int"))))
+        .withColumn("d", d).select("*", F.posexplode(_grams("token", 2)).alias("p", "gram"))
+        .withColumn("p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("d")), F.col("p") + F.col("d")))).drop("d"))
+    spread = words.select("*", F.length("word").alias("size"), F.posexplode(_grams("word", 2)).alias("p", "gram"))
+    names = ["sensitive", "word", "token", "prefix", "sim"]
+    both = heads.select(*names).unionByName(spread.join(near, ["sensitive", "size", "p", "gram"]).select(*names)).distinct()
+    w, t = F.col("word"), F.col("token")
+    longest = F.greatest(F.length(w), F.length(t))
+    close = 1 - F.levenshtein(w, t) / longest
+    quality = F.when(w == t, F.lit(1.0)).when(F.col("prefix") & F.startswith(w, t), F.lit(0.9)).when(
+        F.col("prefix") & F.startswith(t, w), F.lit(0.85)).when(close >= F.col("sim"), close).otherwise(F.lit(0.0))
+    return both.withColumn("quality", quality).filter("quality > 0")
+
+
+def _fuzzy(forms: DataFrame, requests: DataFrame) -> DataFrame:
+    """(label, request_id, label_score) of fuzzy requests: requests and labels meet in the words that are alike."""
+    fuzzy = requests.filter("mode = 'fuzzy'")
+    asked = fuzzy.select("request_id", "sensitive", "prefix", "sim", "overlap", F.coalesce("max_tokens", F.lit((1 << 31) - 1)).alias("upto"),
+                         F.size("tokens").alias("asked"), F.posexplode("tokens").alias("q", "token"))
+    held = forms.select("label", "sensitive", F.posexplode(tokenize("hay", None, 2)).alias("at", "word"))
+    pairs = _alike(held.select("sensitive", "word").distinct(), asked.select("sensitive", "token", "prefix", "sim").distinct())
+    best = (
+        held.join(pairs, ["sensitive", "word"]).join(asked, ["sensitive", "token", "prefix", "sim"]).filter("at < upto")
+        .groupBy("label", "request_id", "overlap", "asked", "q").agg(F.max("quality").alias("quality")))
+    # tokens are added up in the request's order, so that scores are those of a single request, bit by bit
+    listed = best.groupBy("label", "request_id", "overlap", "asked").agg(F.array_sort(F.collect_list(F.struct("q", "quality"))).alias("each"))
+    total = F.aggregate("each", F.lit(0.0), lambda acc, e: acc + e["quality"])
+    return listed.withColumn("label_score", total / F.col("asked")).filter("label_score >= overlap").select("label", "request_id", "label_score")
+
+
+def label_hits(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(label, request_id, label_score): each distinct label that a request's label test accepts."""
+    forms = _labelled(nodes.select("label").filter(F.col("label").isNotNull()).distinct())
+    none = F.lit(None).cast("double").alias("label_score")
+    exact = forms.join(requests.filter("mode = 'exact'").select("request_id", "sensitive", F.col("needle").alias("hay")), ["sensitive", "hay"])
+    return exact.select("label", "request_id", none).unionByName(
+        _containing(forms, requests).select("label", "request_id", none)).unionByName(_fuzzy(forms, requests))
+
+
+def _anchors(requests: DataFrame) -> DataFrame:
+    """(request_id, anchor): requests without a label test under the most telling thing they ask for."""
+    pairs = F.flatten(F.transform("kinds", lambda k: F.transform("regions", lambda r: F.concat(F.lit("kr:"), k, F.lit("|"), r))))
+    named = lambda tag, c: F.transform(c, lambda v: F.concat(F.lit(tag), v))
+    where = (F.when(F.col("group_id").isNotNull(), F.array(F.concat(F.lit("g:"), "group_id")))
+             .when(F.col("heading").isNotNull(), F.array(F.concat(F.lit("h:"), "heading")))
+             .when(F.col("kinds").isNotNull() & F.col("regions").isNotNull(), pairs)
+             .when(F.col("kinds").isNotNull(), named("k:", "kinds"))
+             .when(F.col("regions").isNotNull(), named("r:", "regions")).otherwise(F.array(F.lit("all"))))
+    return requests.filter("mode IS NULL OR mode LIKE 'any%'").select("request_id", F.explode(F.array_distinct(where)).alias("anchor"))
+
+
+def find_many(nodes: DataFrame, requests: list[dict] | DataFrame) -> DataFrame:
+    """Answer many requests, a list or a table (see ``complete_requests``), as ``find`` answers each.
+
+    Requests are data: the plan is the same for ten and for a hundred thousand. Label tests are settled on distinct
+    labels through indexes of their words and character runs; other requests meet the nodes under the kind, region, group
+    or heading they ask for. Fuzzy requests need ``sim`` over two thirds. ``limit`` is null for all rows."""
+    table = requests if isinstance(requests, DataFrame) else request_table(nodes.sparkSession, requests)
+    low = [r for r in requests if r.get("label") is not None and LabelFilter.of(r["label"]).mode == "fuzzy"
+           and LabelFilter.of(r["label"]).sim <= 2 / 3] if not isinstance(requests, DataFrame) else []
+    if low:
+        raise ValueError("fuzzy requests of find_many need a similarity over two thirds")
+    keyed = nodes.withColumn("_all", F.struct(*nodes.columns))
+    by_label = keyed.select("_all", "label").join(label_hits(nodes, table), "label").select("_all", "request_id", "label_score")
+    w = F.col("where")
+    anchors = F.array_compact(F.array(
+        F.lit("all"), F.concat(F.lit("k:"), "kind"), F.concat(F.lit("r:"), w.region), F.concat(F.lit("kr:"), "kind", F.lit("|"), w.region),
+        F.concat(F.lit("g:"), w.group_id), F.concat(F.lit("h:"), w.heading_context)))
+    by_place = keyed.select("_all", F.explode(anchors).alias("anchor")).join(_anchors(table), "anchor").select(
+        "_all", "request_id", F.lit(None).cast("double").alias("label_score"))
+    flags = F.create_map(*[x for f in rules.STATE_FIELDS for x in (F.lit(f), F.col(f"_all.state.{f}").cast("string"))])
+    r, n = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"_all.{c}"))
+    state = F.try_element_at
+    passes = (
+        (r("kinds").isNull() | F.array_contains(r("kinds"), n("kind")))
+        & (r("regions").isNull() | F.array_contains(r("regions"), n("where.region")))
+        & (~r("has_state") | n("state").isNotNull())
+        & F.forall(r("states"), lambda s: F.coalesce(state(flags, s["flag"]), F.lit("false")) == s["want"])
+        & (r("group_id").isNull() | (n("where.group_id") == r("group_id")))
+        & (r("heading").isNull() | (n("where.heading_context") == r("heading"))))
+    zero = F.lit(0.0)
+    plain = F.when(F.endswith(r("mode"), F.lit("exact")), F.lit(rules.LABEL_WEIGHT["exact"])).otherwise(F.lit(rules.LABEL_WEIGHT["contains"]))
+    shares = [
+        F.when(r("mode").isNull(), zero).otherwise(
+            F.coalesce(F.lit(rules.LABEL_WEIGHT["fuzzy"]) * F.col("label_score"), plain)),
+        F.when(r("kinds").isNotNull(), F.lit(rules.KIND_WEIGHT)).otherwise(zero),
+        F.when(r("regions").isNotNull(), F.lit(rules.REGION_WEIGHT)).otherwise(zero),
+        F.size(F.filter(r("states"), lambda s: F.coalesce(state(flags, s["flag"]) == s["want"], F.lit(False)))) * F.lit(rules.STATE_WEIGHT),
+        F.when(r("group_id").isNotNull(), F.lit(rules.GROUP_WEIGHT)).otherwise(zero),
+        F.when(r("heading").isNotNull(), F.lit(rules.HEADING_WEIGHT)).otherwise(zero),
+        F.when(F.coalesce(n("state.visible"), F.lit(False)), F.lit(rules.VISIBLE_WEIGHT)).otherwise(zero)]
+    total = zero
+    for share in shares:
+        total = total + share
+    hits = by_label.unionByName(by_place).join(table.alias("r"), "request_id").filter(F.coalesce(passes, F.lit(False))).withColumn(
+        "relevance", F.least(F.lit(1.0), total / r("top"))).filter(F.coalesce(F.col("relevance") >= r("min_score"), F.lit(True)))
+    out = hits.select("_all.*", "request_id", "relevance", F.when(r("by_relevance"), F.col("relevance")).otherwise(zero).alias("rank_key"), r("k").alias("k"))
     w = W.partitionBy("snapshot_id", "request_id")
     return (
-        out.withColumn("match_rank", F.row_number().over(
-            w.orderBy(F.desc("rank_key"), F.asc("doc_order"))))
+        out.withColumn("match_rank", F.row_number().over(w.orderBy(F.desc("rank_key"), F.asc("doc_order"))))
         .withColumn("total_matched", F.count("*").over(w))
         .filter(F.col("k").isNull() | (F.col("match_rank") <= F.col("k"))).drop("k", "rank_key")
     )

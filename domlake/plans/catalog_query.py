@@ -221,6 +221,36 @@ def _(spark, d):
         F.round("relevance", 6).alias("relevance"), "match_rank", "total_matched")
 
 
+# One request for each word of the labels: links and buttons of the main part with the word, and all that is like it.
+WORDS = """, words AS (SELECT DISTINCT unnest(string_split(label, ' ')) AS word FROM b), rq AS (SELECT
+    ('0x' || substr(md5(word), 1, 8))::BIGINT AS request_id, word FROM words WHERE length(word) > 2)"""
+
+
+@query("q16_find_table", BOX + WORDS + f""", h AS (
+    SELECT request_id * 2 AS request_id, 3 AS k, snapshot_id, node_id, 1.0::DOUBLE AS rel, 0.0 AS o FROM b, rq
+      WHERE contains(label, word) AND kind IN ('link', 'button') AND region = 'main'
+    UNION ALL SELECT request_id * 2 + 1, 5, snapshot_id, node_id, rel, rel FROM (SELECT *, least(1.0, (0.25 * qual + 0.02) /
+      (0.25 + 0.02)) AS rel FROM (SELECT *, list_max(list_transform(list_filter(string_split(label, ' '), lambda y: length(y) > 2), lambda t: CASE WHEN t = word THEN 1.0
+      WHEN starts_with(t, word) THEN 0.9 WHEN starts_with(word, t) THEN 0.85 WHEN 1 - levenshtein(t, word)::DOUBLE / greatest(length(t),
+      length(word)) >= 0.8 THEN 1 - levenshtein(t, word)::DOUBLE / greatest(length(t), length(word)) ELSE 0.0 END)) AS qual FROM b, rq)
+      WHERE qual >= 0.85))
+    SELECT request_id, snapshot_id, node_id, round(rel, 6) AS relevance, row_number() OVER (PARTITION BY snapshot_id, request_id
+    ORDER BY o DESC, node_id) AS match_rank, count(*) OVER (PARTITION BY snapshot_id, request_id) AS total_matched FROM h
+    QUALIFY match_rank <= k""")
+def _(spark, d):
+    nodes = a.box_nodes(spark, d)
+    words = nodes.select(F.explode(F.split("label", " ")).alias("text")).distinct().filter("length(text) > 2")
+    number = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint") * 2
+    plain = words.select(number.alias("request_id"), "text", F.array(F.lit("link"), F.lit("button")).alias("kinds"),
+                         F.array(F.lit("main")).alias("regions"), F.lit(3).alias("k"))
+    like = words.select((number + 1).alias("request_id"), "text", F.lit("fuzzy").alias("mode"), F.lit(0.85).alias("overlap"),
+                        F.lit(True).alias("by_relevance"), F.lit(5).alias("k"))
+    requests = q.complete_requests(plain.unionByName(like, allowMissingColumns=True))
+    return q.find_many(nodes, requests).select(
+        "request_id", "snapshot_id", F.col("doc_order").alias("node_id"), F.round("relevance", 6).alias("relevance"),
+        "match_rank", "total_matched")
+
+
 @query("q17_find_rows", CAPS + f"""SELECT snapshot_id, node_id, kind, label, region, value, CASE
     WHEN kind = 'alert' THEN 'rd-' || substr(base, 1, 10) ELSE e.eid END AS eid FROM caps LEFT JOIN
     (SELECT snapshot_id AS s, rank AS r, eid FROM (SELECT *, CASE WHEN n = 1 THEN base ELSE base ||

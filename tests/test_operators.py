@@ -195,3 +195,57 @@ def test_confidence_grows_with_observations(spark):
     got = [round(r.confidence, 4) for r in dependencies.with_confidence(edges).orderBy(
         "observations").collect()]
     assert got == [0.6167, 0.7833, 0.95, 0.95]
+
+
+def test_many_requests_are_answered_as_each(spark, data):
+    nodes = a.box_nodes(spark, data).cache()
+    some = [r for r in nodes.select("label", "kind", "where.region").limit(400).collect() if r.label]
+    rng = random.Random(5)
+    requests = [{}, {"label": ""}, {"label": " "}, {"label": "o"}, {"label": "zzzz"}, {"label": {"text": "ab", "mode": "fuzzy"}},
+                {"state": {}, "limit": 5}, {"state": {"visible": True, "focused": True}}, {"kind": ["link", "link"], "min_score": 0.9},
+                {"label": {"text": "", "mode": "exact"}, "kind": "link"}]
+    while len(requests) < 34:
+        row, req = rng.choice(some), {}
+        word = rng.choice(row.label.split())
+        mode = rng.choice([None, "contains", "exact", "fuzzy", "fuzzy"])
+        if mode:
+            text = row.label if mode == "exact" else rng.choice([word, word[:4], row.label, word[:-1] + "x " + word, word + " nothing"])
+            req["label"] = {"text": text.upper() if rng.random() < .3 else text, "mode": mode, "case_sensitive": rng.random() < .3,
+                            "prefix": rng.random() < .7, "overlap": rng.choice([0.3, 0.5, 1.0]), "sim": rng.choice([0.7, 0.8]),
+                            "max_tokens": rng.choice([None, 1, 2])}
+        if rng.random() < .5:
+            req["kind"] = rng.choice([row.kind, ["link", "button"]])
+        if rng.random() < .3:
+            req["region"] = [row.region]
+        req |= {"sort_by_relevance": rng.random() < .5, "limit": rng.choice([None, 3])}
+        requests.append(req)
+    cols = "snapshot_id", "node_id", "relevance", "match_rank", "total_matched"
+    got = query.find_many(nodes, requests).select("request_id", *cols).collect()
+    for i, request in enumerate(requests):
+        want = query.find(nodes, request).select(*cols).collect()
+        assert sorted(tuple(r)[1:] for r in got if r.request_id == i) == sorted(map(tuple, want)), request
+
+
+def test_a_table_of_requests_is_completed_as_a_list(spark):
+    requests = [{"label": {"text": " Big  FISH ", "mode": "fuzzy"}, "kind": "link", "state": {"visible": True}, "limit": 3},
+                {"label": ""}, {"region": ["nav"], "min_score": 0.5}, {"label": {"text": "X", "mode": "exact", "case_sensitive": True}}]
+    rows = [(0, " Big  FISH ", "fuzzy", None, ["link"], None, [("visible", "true")], 3, None), (1, "", None, None, None, None, None, None, None),
+            (2, None, None, None, None, ["nav"], None, None, 0.5), (3, "X", "exact", True, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "request_id long, text string, mode string, sensitive boolean, kinds array<string>, "
+                                  "regions array<string>, states array<struct<flag:string,want:string>>, k int, min_score double")
+    cols = ["request_id", "kinds", "regions", "has_state", "states", "mode", "k", "min_score", "by_relevance", "top"]
+    got, want = query.complete_requests(table), query.request_table(spark, requests)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert got.select(cols).collect() == want.select(cols).collect()
+    labelled = ["needle", "tokens", "overlap", "prefix", "sim", "sensitive"]
+    assert got.filter("mode IS NOT NULL").select(labelled).collect() == want.filter("mode IS NOT NULL").select(labelled).collect()
+
+
+def test_plans_do_not_grow_with_requests(spark, data):
+    nodes = a.box_nodes(spark, data)
+    def plan(n):
+        many = [{"label": {"text": f"word{i} cold", "mode": "fuzzy", "overlap": 1.0}, "kind": "link"} if i % 2 else {"label": f"cold {i}"} for i in range(n)]
+        df = query.find_many(nodes, query.request_table(spark, many).repartition(4))
+        return df, len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(10)[1] == plan(10_000)[1]
+    assert plan(10_000)[0].groupBy("request_id").count().count() >= 0
