@@ -77,25 +77,51 @@ def with_eids(nodes: DataFrame, layer: Column | None = None,
                               keys=keys)
 
 
+#: Captures that one row of a gap is expanded to at a time.
+BLOCK = 1024
+
+
+def capture_clock(eids: DataFrame, captures: DataFrame) -> DataFrame:
+    """(page_id, step, is_capture, tick, last_tick): captures of a page numbered in step order, from 1. Steps that only
+    ``eids`` has are numbered too."""
+    steps = captures.select("page_id", "step", F.lit(True).alias("c")).unionByName(
+        eids.select("page_id", "step", F.lit(False).alias("c"))).groupBy("page_id", "step").agg(F.max("c").alias("is_capture"))
+    steps = steps.withColumn("_back", -F.col("step"))
+    clock = ordered_scan(steps, ["page_id"], ["step"], {"tick": ("sum", F.lit(1))})
+    clock = ordered_scan(clock, ["page_id"], ["_back"], {"_left": ("sum", F.lit(1))})
+    return clock.select("page_id", "step", "is_capture", "tick", (F.col("tick") + F.col("_left") - 1).alias("last_tick"))
+
+
+def registry_intervals(eids: DataFrame, clock: DataFrame) -> DataFrame:
+    """(page_id, eid, step, op, gone_from, gone_until): an id at each step that has it, added or updated, and the ticks
+    after it at which it is gone (up to but not with ``gone_until``). One row per sighting, whatever the captures."""
+    seen = eids.select("page_id", "step", "eid").distinct().join(clock, ["page_id", "step"])
+    linked = ordered_scan(seen, ["page_id", "eid"], ["step"], {
+        "_before": ("lag", F.col("step")), "_after": ("lead", F.col("tick"))})
+    return linked.select(
+        "page_id", "eid", "step", F.when(F.col("_before").isNull(), "added").otherwise("updated").alias("op"),
+        (F.col("tick") + 1).alias("gone_from"), F.coalesce("_after", F.col("last_tick") + 1).alias("gone_until"))
+
+
 def registry_update(eids: DataFrame, captures: DataFrame) -> DataFrame:
     """added / updated / removed ids of every capture.
 
     ``eids`` has (page_id, step, eid), ``captures`` every (page_id, step).  An id is added at its
     first step and updated at later ones.  Once seen, an id stays known, so each capture without it
-    reports it removed again; that output is inherent, one row per known id and capture."""
-    seen = eids.select("page_id", "step", "eid").distinct()
-    first = seen.groupBy("page_id", "eid").agg(F.min("step").alias("first_step"))
-    now = seen.join(first, ["page_id", "eid"]).select(
-        "page_id", "step", "eid",
-        F.when(F.col("step") == F.col("first_step"), "added").otherwise("updated").alias("op"))
-    # The captures after an id's first one, each id expanded once from its own compact list.
-    steps = captures.select("page_id", "step").distinct()
-    removed = (
-        first.join(steps, "page_id").filter(F.col("step") > F.col("first_step"))
-        .select("page_id", "step", "eid")
-        .join(seen, ["page_id", "step", "eid"], "left_anti").withColumn("op", F.lit("removed"))
-    )
-    return now.unionByName(removed)
+    reports it removed again. ``registry_intervals`` keeps that as ranges of captures; here they are written out, and
+    numbers become steps again in a join on page and number, which spreads a busy page."""
+    clock = capture_clock(eids, captures)
+    rows = registry_intervals(eids, clock)
+    first, last = F.col("gone_from"), F.col("gone_until") - 1
+    gone = (
+        rows.filter(first <= last)
+        .select("page_id", "eid", first.alias("a"), last.alias("z"),
+                F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))).alias("b"))
+        .select("page_id", "eid", F.explode(F.sequence(
+            F.greatest("a", F.col("b") * BLOCK), F.least("z", F.col("b") * BLOCK + BLOCK - 1))).alias("tick")))
+    removed = gone.join(clock.filter("is_capture").select("page_id", "tick", "step"), ["page_id", "tick"]).select(
+        "page_id", "step", "eid", F.lit("removed").alias("op"))
+    return rows.select("page_id", "step", "eid", "op").unionByName(removed)
 
 
 def last_seen(eids: DataFrame) -> DataFrame:

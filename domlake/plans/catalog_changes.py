@@ -60,6 +60,16 @@ def _(spark, d):
                                                                       "op")
 
 
+@query("d5_registry_intervals", CAPS + """, t AS (SELECT page_id, step, row_number() OVER (PARTITION BY page_id
+    ORDER BY step) AS tick, count(*) OVER (PARTITION BY page_id) AS top FROM (SELECT DISTINCT page_id, step FROM caps))
+    SELECT page_id, eid, step, CASE WHEN lag(step) OVER w IS NULL THEN 'added' ELSE 'updated' END AS op, tick + 1 AS
+    gone_from, coalesce(lead(tick) OVER w, top + 1) AS gone_until FROM ids JOIN t USING (page_id, step)
+    WINDOW w AS (PARTITION BY page_id, eid ORDER BY step)""")
+def _(spark, d):
+    ids = identity.with_eids(a.capture_nodes(spark, d), F.lit("main"))
+    return identity.registry_intervals(ids, identity.capture_clock(ids, a.captures(spark, d)))
+
+
 @query("d6_stale", CAPS + """, t AS (SELECT page_id, step, row_number() OVER (PARTITION BY page_id
     ORDER BY step) AS tick FROM (SELECT DISTINCT page_id, step FROM caps)), now AS (SELECT page_id,
     max(tick) AS now FROM t GROUP BY page_id) SELECT page_id, eid, now - tick AS age,

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from domlake.operators import dependencies, diff, forms, layers, network, observe, query, scan
+from domlake.operators import dependencies, diff, forms, identity, layers, network, observe, query, scan
 from domlake.plans import adapters as a
 from domlake.schema import bbox, make_nodes
 
@@ -249,3 +249,20 @@ def test_plans_do_not_grow_with_requests(spark, data):
         return df, len(df._jdf.queryExecution().optimizedPlan().toString())
     assert plan(10)[1] == plan(10_000)[1]
     assert plan(10_000)[0].groupBy("request_id").count().count() >= 0
+
+
+def test_registry_intervals_and_their_removals(spark):
+    """Gaps, ids gone for good, a step that only the ids have, and more captures than a block."""
+    captures = [(1, s) for s in range(0, 6000, 2)] + [(2, 1), (3, 5)]
+    seen = [(1, s, "always") for s in range(0, 6000, 2)] + [(1, 0, "once"), (1, 10, "twice"), (1, 4000, "twice"), (1, 7, "odd"), (2, 1, "x"), (2, 1, "x")]
+    eids = spark.createDataFrame(seen, "page_id long, step int, eid string")
+    caps = spark.createDataFrame(captures, "page_id long, step int")
+    got = sorted(map(tuple, identity.registry_update(eids, caps).collect()))
+    first, at = {}, set(seen)
+    for p, s, e in sorted(at):
+        first[p, e] = min(s, first.get((p, e), s))
+    want = [(p, s, e, "added" if s == first[p, e] else "updated") for p, s, e in at]
+    want += [(p, s, e, "removed") for (p, e), f in first.items() for q, s in captures if q == p and s > f and (p, s, e) not in at]
+    assert got == sorted(want)
+    rows = identity.registry_intervals(eids, identity.capture_clock(eids, caps))
+    assert rows.count() == len(at)
