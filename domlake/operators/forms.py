@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.privacy import mask_runtime_value
 from ..functions.text import blank_to_null, contains_any, literal_rows, lookup, trim_ws
-
-CELL = 256
-MAX_CELLS = 4096
+from .grid import points_in_boxes
 
 
 def _yes(c: Column) -> Column:
@@ -36,25 +34,13 @@ def explicit_forms(nodes: DataFrame) -> DataFrame:
 def _near(forms: DataFrame, nodes: DataFrame, pad: tuple[int, int, int, int], form_box: str,
           keys: list[str]) -> DataFrame:
     """(form_key, node_id) where the node's corner lies in the form's box widened by pad
-    (left, top, right, bottom).  Grid join; boxes over too many cells are compared per capture."""
-    f, n = forms.alias("f"), nodes.alias("n")
-    b = {k: F.col(f"f.{form_box}.{k}") for k in "xywh"}
-    x0, x1 = b["x"] - pad[0], b["x"] + b["w"] + pad[2]
-    y0, y1 = b["y"] - pad[1], b["y"] + b["h"] + pad[3]
-    nx, ny = F.col("n.layout.bbox.x"), F.col("n.layout.bbox.y")
-    at = lambda v: F.floor(v / CELL)
-    small = (at(x1) - at(x0) + 1) * (at(y1) - at(y0) + 1) <= MAX_CELLS
-    test = (nx >= x0) & (nx <= x1) & (ny >= y0) & (ny <= y1)
-    for k in keys:
-        test = test & (F.col(f"f.{k}") == F.col(f"n.{k}"))
-    out = [F.col("f.snapshot_id"), F.col("f.form_key"), F.col("n.node_id")]
-    grid = (
-        f.filter(small).withColumn("gx", F.explode(F.sequence(at(x0), at(x1))))
-        .withColumn("gy", F.explode(F.sequence(at(y0), at(y1)))).alias("f")
-        .join(n.withColumn("gx", at(nx)).withColumn("gy", at(ny)).alias("n"),
-              test & (F.col("f.gx") == F.col("n.gx")) & (F.col("f.gy") == F.col("n.gy")))
-        .select(*out))
-    return grid.unionByName(f.filter(~small).join(n, test).select(*out))
+    (left, top, right, bottom)."""
+    b = {k: F.col(f"{form_box}.{k}") for k in "xywh"}
+    f = forms.select(*dict.fromkeys([*keys, "form_key"]), F.struct(*[b[k].alias(k) for k in "xywh"]).alias("_b"))
+    n = nodes.select(*keys, "node_id", F.col("layout.bbox").alias("_b"))
+    x, y, w, h = (F.col(f"_b.{k}") for k in "xywh")
+    out = points_in_boxes(f, n, keys, (x - pad[0], y - pad[1]), (x + w + pad[2], y + h + pad[3]), (x, y))
+    return out.select("snapshot_id", F.col("box.form_key").alias("form_key"), F.col("point.node_id").alias("node_id"))
 
 
 def _placed(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import fuzzy_score, lookup, squeeze, tokenize, trim_ws
+from .grid import points_in_boxes
 from .scan import in_pieces, micros, ordered_scan, rank_ranges, top_n
 from .staging import materialize
 
@@ -292,36 +293,17 @@ def link_counts(links: DataFrame) -> DataFrame:
                      F.count("*").alias("total"))
 
 
-def boxes_inside(containers: DataFrame, nodes: DataFrame, keys: list[str], cell: int = 256,
-                 max_cells: int = 4096) -> DataFrame:
-    """(keys, container, node) pairs where the node's box lies inside the container's.
-
-    Boxes meet through a grid: a node files under the cell of its corner, a container under every
-    cell it covers.  Boxes that cover too many cells are compared per capture instead."""
-    box = lambda p: [F.col(f"{p}.layout.bbox.{f}") for f in "xywh"]
-    at = lambda v: F.floor(v / cell)
-    c, n = containers.alias("c"), nodes.alias("n")
-    cx, cy, cw, ch = box("c")
-    nx, ny, nw, nh = box("n")
-    cols, rows = at(cx + cw) - at(cx) + 1, at(cy + ch) - at(cy) + 1
-    small = cols * rows <= max_cells
-    inside = (
-        (nx >= cx) & (ny >= cy) & (nx + nw <= cx + cw) & (ny + nh <= cy + ch)
-        & (F.col("c.node_id") != F.col("n.node_id")))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"c.{k}") == F.col(f"n.{k}"))
-    gridded = (
-        c.filter(small).withColumn("gx", F.explode(F.sequence(at(cx), at(cx + cw))))
-        .withColumn("gy", F.explode(F.sequence(at(cy), at(cy + ch)))).alias("c")
-        .join(n.withColumn("gx", at(nx)).withColumn("gy", at(ny)).alias("n"),
-              same & (F.col("c.gx") == F.col("n.gx")) & (F.col("c.gy") == F.col("n.gy")) & inside)
-    )
-    out = [*[F.col(f"c.{k}") for k in keys], F.col("c.node_id").alias("container_id"),
-           F.col("n.node_id").alias("node_id"), F.col("n.kind").alias("kind"),
-           F.col("n.label").alias("label"), F.col("n.doc_order").alias("doc_order")]
-    wide = c.filter(~small).join(n, same & inside)
-    return gridded.select(*out).unionByName(wide.select(*out))
+def boxes_inside(containers: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, container, node) pairs where the node's box lies inside the container's."""
+    place = F.col("layout.bbox").alias("b")
+    c = containers.select(*keys, "node_id", place)
+    n = nodes.select(*keys, "node_id", "kind", "label", "doc_order", place)
+    x, y, w, h = (F.col(f"b.{f}") for f in "xywh")
+    outer, inner = (lambda f: F.col(f"box.b.{f}")), (lambda f: F.col(f"point.b.{f}"))
+    fits = (inner("x") + inner("w") <= outer("x") + outer("w")) & (inner("y") + inner("h") <= outer("y") + outer("h"))
+    return points_in_boxes(c, n, keys, (x, y), (x + w, y + h), (x, y)).filter(
+        fits & (F.col("box.node_id") != F.col("point.node_id"))).select(
+        *keys, F.col("box.node_id").alias("container_id"), *[F.col(f"point.{f}") for f in ("node_id", "kind", "label", "doc_order")])
 
 
 def observation_children(containers: DataFrame, nodes: DataFrame, keys: list[str],

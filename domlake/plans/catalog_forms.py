@@ -295,11 +295,25 @@ def _radio_fields(spark, d):
         F.col("where.group_id").alias("group_id"))
 
 
-@query("f12_link_radio_groups")
+# Radios of a form are taken in order; each joins the first group whose first member it agrees with, or opens one.
+_HEAD = "struct_pack(name := o.name, heading := o.heading, grp := o.grp)"
+_JOINS = """coalesce(list_indexof(list_transform(heads, lambda hd: CASE WHEN hd.name IS NOT NULL AND o.name IS NOT NULL
+    THEN hd.name = o.name ELSE hd.heading = o.heading OR hd.grp IS NOT DISTINCT FROM o.grp END), true), 0)"""
+
+
+@query("f12_link_radio_groups", RADIO.replace("WITH", "WITH RECURSIVE", 1) + f""", ord AS (SELECT *, row_number() OVER (PARTITION BY
+    snapshot_id, region ORDER BY node_id) AS i FROM r), walk AS (
+    SELECT snapshot_id, region, i, node_id, 1 AS member, [{_HEAD}] AS heads FROM ord o WHERE i = 1
+    UNION ALL SELECT o.snapshot_id, o.region, o.i, o.node_id, CASE WHEN {_JOINS} = 0 THEN len(heads) + 1 ELSE {_JOINS} END,
+      CASE WHEN {_JOINS} = 0 THEN list_append(heads, {_HEAD}) ELSE heads END
+    FROM walk JOIN ord o ON o.snapshot_id = walk.snapshot_id AND o.region = walk.region AND o.i = walk.i + 1),
+    g AS (SELECT *, count(*) OVER (PARTITION BY snapshot_id, region, member) AS n, min(i) OVER (PARTITION BY snapshot_id,
+      region, member) AS first FROM walk)
+    SELECT snapshot_id, region AS form_key, node_id, 'radio-group-' || (dense_rank() OVER (PARTITION BY snapshot_id, region
+      ORDER BY first) - 1) AS radio_group, CAST(n - 1 AS INT) AS peers FROM g WHERE n > 1""")
 def _(spark, d):
-    # Grouping by first match depends on the order of comparison, so there is no SQL twin.
     return forms.link_radio_groups(_radio_fields(spark, d)).select(
-        "snapshot_id", "form_key", "node_id", "radio_group", F.size("peers").alias("peers"))
+        "snapshot_id", "form_key", F.col("node_id").cast("bigint").alias("node_id"), "radio_group", F.size("peers").alias("peers"))
 
 
 @query("f12_link_named_radio_groups", RADIO + """, n AS (SELECT snapshot_id, region, coalesce(name,
@@ -320,10 +334,13 @@ def _(spark, d):
       p_size::VARCHAR AS current_value, NOT (p_size % 3 = 0) OR p_size % 5 = 0 AS enabled FROM part
     UNION ALL SELECT p_partkey, 'Secret code', true, true, '••••••••', true FROM part
     UNION ALL SELECT p_partkey, 'Gift wrap', p_size % 4 = 0, true, NULL, true FROM part
-    UNION ALL SELECT p_partkey, 'Mail ' || p_size, false, p_size % 2 = 0, NULL, true FROM part)""")
+    UNION ALL SELECT p_partkey, 'Mail ' || p_size, false, p_size % 2 = 0, NULL, true FROM part
+    UNION ALL SELECT p_partkey, 'color', false, true, NULL, true FROM part
+    UNION ALL SELECT p_partkey, 'First ' || p_size || ' Second', false, true, NULL, true FROM part
+    UNION ALL SELECT p_partkey, 'note-' || p_partkey, false, true, NULL, true FROM part)""")
 def _(spark, d):
     fields = _product_fields(spark, d)
-    return fields.filter(F.col("label").rlike("^(Quantity|Secret|Gift|Mail)")).select(
+    return fields.select(
         F.col("snapshot_id").alias("page_id"), "label", "field_state.filled", "field_state.valid",
         "field_state.current_value", "field_state.enabled")
 
@@ -374,10 +391,13 @@ def _(spark, d):
     (SELECT p_partkey, 'Quantity ' || p_size AS label, p_size % 2 = 1 AS filled,
       'runtime' AS source, CASE WHEN p_size % 2 = 1 THEN 'v' ELSE '' END AS shown FROM part
     UNION ALL SELECT p_partkey, 'Secret code', p_size % 2 = 1, 'runtime', '********' FROM part
-    UNION ALL SELECT p_partkey, 'Gift wrap', p_size % 4 = 0, NULL, NULL FROM part)""")
+    UNION ALL SELECT p_partkey, 'Gift wrap', p_size % 4 = 0, NULL, NULL FROM part
+    UNION ALL SELECT p_partkey, unnest(['Mail ' || p_size, 'First ' || p_size || ' Second', 'note-' || p_partkey]),
+      p_size % 2 = 1, 'runtime', CASE WHEN p_size % 2 = 1 THEN 'v' ELSE '' END FROM part
+    UNION ALL SELECT p_partkey, 'color', false, NULL, NULL FROM part)""")
 def _(spark, d):
-    fields = _product_fields(spark, d).filter(F.col("label").rlike("^(Quantity|Secret|Gift)"))
-    seen = fields.filter(~F.startswith("label", F.lit("Gift"))).join(
+    fields = _product_fields(spark, d)
+    seen = fields.filter(~F.col("kind").isin("checkbox", "combobox")).join(
         a.products(spark, d).select(F.col("page_id").alias("snapshot_id"), "p_size"),
         "snapshot_id").select("snapshot_id", "node_id", F.when(
             F.col("p_size") % 2 == 1, "v").otherwise("").alias("value"))
@@ -387,9 +407,10 @@ def _(spark, d):
         F.col("field_state.current_value").alias("shown"))
 
 
-@query("f19_field_context", """SELECT p_partkey AS page_id, 'Quantity ' || p_size AS label,
-    'e' || p_size % 3 AS source, CASE WHEN p_size % 4 = 0 THEN 'Mail ' || p_size ELSE 'Gift wrap' END
-    AS next FROM part""")
+@query("f19_field_context", """SELECT p_partkey AS page_id, label, CASE WHEN starts_with(label, 'Quantity') THEN 'e' ||
+    p_size % 3 END AS source, CASE WHEN p_size % 4 = 0 THEN 'Mail ' || p_size ELSE 'Gift wrap' END AS next FROM (SELECT
+    p_partkey, p_size, unnest(['Quantity ' || p_size, 'Secret code', 'Gift wrap', 'Mail ' || p_size, 'color', 'First ' || p_size
+    || ' Second', 'note-' || p_partkey]) AS label FROM part)""")
 def _(spark, d):
     fields = _product_fields(spark, d)
     flat = forms.flat_fields(fields)
@@ -407,7 +428,7 @@ def _(spark, d):
                     "depends_on"), nexts)
     names = fields.select("snapshot_id", F.col("node_id").alias("next_node_id"),
                           F.col("label").alias("next"))
-    return out.filter(F.col("depends_on").isNotNull()).join(
+    return out.join(
         names, ["snapshot_id", "next_node_id"]).select(
         F.col("snapshot_id").alias("page_id"), "label", F.col("depends_on").alias("source"), "next")
 

@@ -162,7 +162,7 @@ def _(spark, d):
     AS loader_id, true AS is_main FROM part UNION ALL SELECT p_partkey, 'F2',
     CASE WHEN p_size % 2 = 0 THEN 'LX' END, false FROM part""")
 def _(spark, d):
-    return frame_loaders(a.capture_json(spark, d), "frame_json")
+    return frame_loaders(a.capture_json(spark, d), "frame_json").drop("error")
 
 
 @query("t6_ancestors", CORPUS + """SELECT page_id, tag, depth, count(*) AS n FROM (
@@ -585,7 +585,7 @@ def _(spark, d):
                          F.lit(5).alias("y"), F.lit(50).alias("w"), F.lit(20).alias("h"))
     nodes = compile_elements(
         flatten_dom_json(src, "dom_json"), ax_nodes(src, "ax_json"), layouts=layouts,
-        frames=frame_loaders(src, "frame_json"))
+        frames=frame_loaders(src, "frame_json").filter("error IS NULL").drop("error"))
     return nodes.select(
         "snapshot_id", F.col("backend_node_id").alias("id"), "kind", "label", "state.enabled",
         "state.focused", "state.invalid", F.col("where.heading_context").alias("heading"),

@@ -89,8 +89,8 @@ def _(spark, d):
 
 
 @query("u1_mask_value", r"""WITH v AS (SELECT conv_id, turn, role,
-      trim(regexp_replace(substr(text, 1, 40 + turn), '[\r\n]', ' ', 'g')) AS v,
-      lower(substr(text, 1, 30)) AS label,
+      trim(regexp_replace(text, '[\r\n]', ' ', 'g')) AS v,
+      lower(text) AS label,
       CASE (conv_id + turn) % 4 WHEN 0 THEN 'password' WHEN 1 THEN 'email' WHEN 2 THEN 'text'
       END AS kind FROM conversations)
     SELECT conv_id, turn, CASE WHEN v = '' THEN '' WHEN kind = 'password' THEN '••••••••'
@@ -104,9 +104,8 @@ def _(spark, d):
     kind = F.get(F.array(F.lit("password"), F.lit("email"), F.lit("text"),
                          F.lit(None).cast("string")), ((F.col("conv_id") + F.col("turn")) % 4)
                  .cast("int"))
-    value = F.substring("text", F.lit(1), 40 + F.col("turn").cast("int"))
     return table(spark, d, "conversations").select(
-        "conv_id", "turn", p.mask_value(value, kind, F.substring("text", 1, 30)).alias("masked"))
+        "conv_id", "turn", p.mask_value("text", kind, "text").alias("masked"))
 
 
 @query("u2_partial_mask", """SELECT p_partkey, CASE WHEN length(p_name) <= 4 THEN '••••'

@@ -85,28 +85,33 @@ def split_snapshots(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def frame_loaders(df: DataFrame, column: str, key: str = "snapshot_id") -> DataFrame:
-    """(snapshot_id, frame_id, loader_id, is_main) from nested frame-tree JSON; the main frame is
-    the one without a parent."""
+    """(snapshot_id, frame_id, loader_id, is_main, error) from nested frame-tree JSON; the main frame is
+    the one without a parent. A tree that cannot be read gives one row with its error and nothing else."""
     source = df.select(F.col(key).alias("snapshot_id"), F.col(column).alias("doc"))
     kind = source.schema["snapshot_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("snapshot_id", "frame_id", "loader_id",
-                                                    "is_main")}
+                                                    "is_main", "error")}
             for k, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                todo = [json.loads(doc)] if doc else []
-                while todo:
-                    tree = todo.pop()
-                    frame = tree["frame"]
-                    for name, value in zip(out, (k, frame["id"], frame.get("loaderId"),
-                                                 not frame.get("parentId"))):
+                rows = []
+                try:
+                    todo = [json.loads(doc)] if doc else []
+                    while todo:
+                        tree = todo.pop()
+                        frame = tree["frame"]
+                        rows.append((k, frame["id"], frame.get("loaderId"), not frame.get("parentId"), None))
+                        todo.extend(tree.get("childFrames") or [])
+                except (ValueError, KeyError, TypeError, AttributeError) as e:
+                    rows = [(k, None, None, None, f"{type(e).__name__}: {e}")]
+                for row in rows:
+                    for name, value in zip(out, row):
                         out[name].append(value)
-                    todo.extend(tree.get("childFrames") or [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["snapshot_id"], batch.schema.field(0).type),
                  pa.array(out["frame_id"], pa.string()), pa.array(out["loader_id"], pa.string()),
-                 pa.array(out["is_main"], pa.bool_())], names=list(out))
+                 pa.array(out["is_main"], pa.bool_()), pa.array(out["error"], pa.string())], names=list(out))
 
     return source.mapInArrow(
-        run, f"snapshot_id {kind}, frame_id string, loader_id string, is_main boolean")
+        run, f"snapshot_id {kind}, frame_id string, loader_id string, is_main boolean, error string")

@@ -82,6 +82,10 @@ _AUTO_CLOSE = {
 }
 
 
+class BrokenCapture(ValueError):
+    """A document tree that cannot be read."""
+
+
 class _NodeBatch:
     """Columns of the node table under construction, plus the stack of open nodes."""
 
@@ -101,6 +105,12 @@ class _NodeBatch:
         self._first = len(self.id)
         self._labels: list[tuple[int, list]] = []
 
+    def drop(self) -> None:
+        """Forget the document that was started last."""
+        for column in vars(self).values():
+            if isinstance(column, list) and column not in (self._stack, self._labels):
+                del column[self._first:]
+
     def open(self, name, node_type, attrs=None, value=None, node_id=None, frame_id=None,
              frame_path=(), shadow_path=()) -> int:
         """Add a node under the innermost open one and leave it open."""
@@ -431,7 +441,11 @@ def _explode_documents(df: DataFrame, key: str, column: str, feed,
                 if doc is None:
                     continue
                 nodes.start(k, text_everywhere)
-                feed(nodes, doc)
+                try:
+                    feed(nodes, doc)
+                except BrokenCapture:
+                    nodes.drop()
+                    continue
                 nodes.finish()
                 if len(nodes.id) >= FLUSH_NODES:
                     yield nodes.batch(schema)
@@ -448,7 +462,36 @@ def html_to_dom(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 def flatten_dom_json(df: DataFrame, column: str, key: str = "snapshot_id") -> DataFrame:
     """The same table from nested capture JSON: light children first, then shadow roots, then the
-    frame's document."""
-    return _explode_documents(
-        df, key, column, lambda nodes, doc: _read_json(nodes, json.loads(doc)),
-        text_everywhere=True)
+    frame's document. A broken capture has no rows; ``broken_captures`` lists it."""
+    return _explode_documents(df, key, column, _feed_json, text_everywhere=True)
+
+
+def _feed_json(nodes: _NodeBatch, doc: str) -> None:
+    try:
+        _read_json(nodes, json.loads(doc))
+    except (ValueError, KeyError, TypeError, AttributeError, IndexError) as e:
+        raise BrokenCapture(f"{type(e).__name__}: {e}") from e
+
+
+def broken_captures(df: DataFrame, column: str, key: str = "snapshot_id") -> DataFrame:
+    """(key, error) of each capture whose document tree cannot be read: no JSON, or nodes without id, name or type. Null
+    is no capture, and no error."""
+    source = df.select(key, F.col(column).alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _NodeBatch()
+        for batch in batches:
+            keys, errors = [], []
+            for k, doc in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if (doc := doc.as_py()) is None:
+                    continue
+                nodes.reset()
+                nodes.start(k)
+                try:
+                    _feed_json(nodes, doc)
+                except BrokenCapture as e:
+                    keys.append(k)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(errors, pa.string())], names=[key, "error"])
+
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, error string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from domlake.operators import logs
 from domlake.plans import adapters as a
-from domlake.sources import sinks
+from domlake.sources import captures, html, sinks
 from domlake.sources.captures import read_ax_json, read_snapshots_json
 from domlake.sources.session_log import read_session_log
 
@@ -77,3 +77,14 @@ def test_baseline_rule(spark):
     df = spark.createDataFrame([(big,), ("<baseline />",), (None,)], "response string")
     assert [r.b for r in df.select(logs.is_baseline().alias("b")).collect()] == [
         True, False, False]
+
+
+def test_broken_captures_are_rows_not_failures(spark):
+    good = '{"root":{"backendNodeId":1,"nodeType":9,"nodeName":"#document","children":[{"backendNodeId":2,"nodeType":1,"nodeName":"P"}]}}'
+    bad = '{"root":{"backendNodeId":1,"nodeType":9,"nodeName":"#document","children":[{"backendNodeId":2,"nodeType":1,"nodeName":"P"},{"nodeType":1}]}}'
+    df = spark.createDataFrame([(1, good), (2, bad), (3, "{"), (4, None), (5, "[]"), (6, good)], "snapshot_id long, doc string").coalesce(1)
+    assert sorted((r.snapshot_id, r.id) for r in html.flatten_dom_json(df, "doc").collect()) == [(1, 1), (1, 2), (6, 1), (6, 2)]
+    assert sorted(r.snapshot_id for r in html.broken_captures(df, "doc").collect()) == [2, 3, 5]
+    frames = spark.createDataFrame([(1, '{"frame":{"id":"F"}}'), (2, '{"frame":{"id":"F"},"childFrames":[{}]}'), (3, "nope"), (4, None)], "snapshot_id long, doc string")
+    got = sorted((r.snapshot_id, r.frame_id, r.error is not None) for r in captures.frame_loaders(frames, "doc").collect())
+    assert got == [(1, "F", False), (2, None, True), (3, None, True)]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from domlake.operators import dependencies, diff, forms, identity, layers, network, observe, query, scan
+from domlake.operators import dependencies, diff, forms, grid, identity, layers, network, observe, query, scan
 from domlake.plans import adapters as a
 from domlake.schema import bbox, make_nodes
 
@@ -266,3 +266,18 @@ def test_registry_intervals_and_their_removals(spark):
     assert got == sorted(want)
     rows = identity.registry_intervals(eids, identity.capture_clock(eids, caps))
     assert rows.count() == len(at)
+
+
+def test_large_boxes_meet_only_what_lies_in_them(spark):
+    """Boxes of all sizes give the pairs of a comparison of all with all; a page-sized box takes few cells."""
+    rng = random.Random(3)
+    boxes = [(c % 2, i, x, y, x + w, y + w * rng.random()) for c in range(2) for i in range(40)
+             for x, y, w in [(rng.uniform(-500, 5000), rng.uniform(-500, 9000), 10 ** rng.uniform(0, 6))]] + [(0, 99, None, 0.0, 1.0, 1.0)]
+    points = [(i % 2, i, rng.uniform(-500, 5000), rng.uniform(-500, 9000)) for i in range(600)] + [(0, 999, 0.0, None), (1, 998, 256.0, 256.0)]
+    b = spark.createDataFrame(boxes, "k int, i int, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame(points, "k int, j int, x double, y double")
+    got = grid.points_in_boxes(b, p, ["k"], (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1")), (F.col("x"), F.col("y")))
+    got = [(r.k, r.box.i, r.point.j) for r in got.collect()]
+    want = {(k, i, j) for k, i, x0, y0, x1, y1 in boxes for q, j, x, y in points
+            if q == k and None not in (x0, y) and x0 <= x <= x1 and y0 <= y <= y1}
+    assert len(got) == len(set(got)) and set(got) == want
