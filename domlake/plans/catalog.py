@@ -43,3 +43,4 @@ def load() -> None:
         catalog_changes, catalog_forms, catalog_layers, catalog_logs, catalog_pages, catalog_query,
         catalog_text,
     )
+    from . import catalog_markup  # noqa: F401  (after those whose SQL it builds on)
