@@ -14,16 +14,11 @@ from .. import rules
 from ..functions.privacy import url_path
 from ..functions.text import trim_ws
 from . import identity
-from .scan import Ranks, ordered_scan, rank_ranges
+from .scan import Ranks, ordered_scan
 
 KEYS = ["page_id", "step"]
 
 
-def capture_ranks(captures: DataFrame) -> Ranks:
-    """Cuts of the captures of busy pages; all tables with a row per capture share them."""
-    return rank_ranges(captures.select(*KEYS), ["page_id"], ["step"])
-
-
 def step_links(captures: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """(page_id, step) with the steps of the captures before and after."""
     steps = captures.select(*KEYS).distinct()
@@ -198,7 +193,7 @@ def diff_mutations(nodes: DataFrame, captures: DataFrame, longest: int | None =
 def compute_diff(nodes: DataFrame, captures: DataFrame, stacks: DataFrame | None = None
                  ) -> DataFrame:
     """All changes as one long table (page_id, step, op, eid, k, from, to)."""
-    ranks = capture_ranks(captures)
+    ranks = identity.capture_ranks(captures)
     pairs = element_pairs(nodes, captures, ranks)
     none = F.lit(None).cast("string")
 

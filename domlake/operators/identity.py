@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.privacy import url_origin, url_path
 from ..functions.text import WS, trim_ws
-from .scan import ordered_scan
+from .scan import Ranks, ordered_scan, rank_ranges
 
 
 def _col(c) -> Column:
@@ -81,23 +81,27 @@ def with_eids(nodes: DataFrame, layer: Column | None = None,
 BLOCK = 1024
 
 
-def capture_clock(eids: DataFrame, captures: DataFrame) -> DataFrame:
+def capture_clock(eids: DataFrame, captures: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """(page_id, step, is_capture, tick, last_tick): captures of a page numbered in step order, from 1. Steps that only
     ``eids`` has are numbered too."""
     steps = captures.select("page_id", "step", F.lit(True).alias("c")).unionByName(
         eids.select("page_id", "step", F.lit(False).alias("c"))).groupBy("page_id", "step").agg(F.max("c").alias("is_capture"))
-    steps = steps.withColumn("_back", -F.col("step"))
-    clock = ordered_scan(steps, ["page_id"], ["step"], {"tick": ("sum", F.lit(1))})
-    clock = ordered_scan(clock, ["page_id"], ["_back"], {"_left": ("sum", F.lit(1))})
-    return clock.select("page_id", "step", "is_capture", "tick", (F.col("tick") + F.col("_left") - 1).alias("last_tick"))
+    ranks = capture_ranks(captures) if ranks is None else ranks
+    return ordered_scan(steps, ["page_id"], ["step"], {"tick": ("sum", F.lit(1)), "last_tick": ("total", F.lit(1))}, ranks)
 
 
-def registry_intervals(eids: DataFrame, clock: DataFrame) -> DataFrame:
+def capture_ranks(captures: DataFrame) -> Ranks:
+    """Cuts of the captures of busy pages; all tables with at most a row per capture of a page, or of something on it,
+    share them."""
+    return rank_ranges(captures.select("page_id", "step"), ["page_id"], ["step"])
+
+
+def registry_intervals(eids: DataFrame, clock: DataFrame, ranks: Ranks | None = None) -> DataFrame:
     """(page_id, eid, step, op, gone_from, gone_until): an id at each step that has it, added or updated, and the ticks
     after it at which it is gone (up to but not with ``gone_until``). One row per sighting, whatever the captures."""
     seen = eids.select("page_id", "step", "eid").distinct().join(clock, ["page_id", "step"])
     linked = ordered_scan(seen, ["page_id", "eid"], ["step"], {
-        "_before": ("lag", F.col("step")), "_after": ("lead", F.col("tick"))})
+        "_before": ("lag", F.col("step")), "_after": ("lead", F.col("tick"))}, ranks)
     return linked.select(
         "page_id", "eid", "step", F.when(F.col("_before").isNull(), "added").otherwise("updated").alias("op"),
         (F.col("tick") + 1).alias("gone_from"), F.coalesce("_after", F.col("last_tick") + 1).alias("gone_until"))
@@ -110,8 +114,9 @@ def registry_update(eids: DataFrame, captures: DataFrame) -> DataFrame:
     first step and updated at later ones.  Once seen, an id stays known, so each capture without it
     reports it removed again. ``registry_intervals`` keeps that as ranges of captures; here they are written out, and
     numbers become steps again in a join on page and number, which spreads a busy page."""
-    clock = capture_clock(eids, captures)
-    rows = registry_intervals(eids, clock)
+    ranks = capture_ranks(captures)
+    clock = capture_clock(eids, captures, ranks)
+    rows = registry_intervals(eids, clock, ranks)
     first, last = F.col("gone_from"), F.col("gone_until") - 1
     gone = (
         rows.filter(first <= last)

@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import rules
 from ..functions.text import fuzzy_score, normalize_literal, normalize_text, squeeze, tokenize
@@ -275,7 +278,12 @@ def request_table(spark: SparkSession, requests: list[dict]) -> DataFrame:
             flt and flt.prefix, flt and float(flt.sim), flt and flt.max_tokens, r.get("limit"),
             None if r.get("min_score") is None else float(r["min_score"]), bool(r.get("sort_by_relevance")),
             float(max_score(r))))
-    return spark.createDataFrame(rows, REQUEST_TABLE)
+    # Arrow tables become local relations, whose size the planner knows
+    schema = to_arrow_schema(StructType.fromDDL(REQUEST_TABLE))
+    named = [dict(zip(schema.names, row, strict=True)) for row in rows]
+    for row in named:
+        row["states"] = [{"flag": k, "want": v} for k, v in row["states"]]
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema))
 
 
 def complete_requests(requests: DataFrame) -> DataFrame:

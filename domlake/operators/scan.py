@@ -91,7 +91,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str],
 
     ``sum``   running total including the row      ``last``  latest non-null value up to the row
     ``lag``   value of the row before              ``lead``  value of the row after
-    ``next``  earliest non-null value after the row
+    ``next``  earliest non-null value after the row     ``total`` sum over all rows of the key
 
     ``order`` must be a total order within a key. ``ranks`` are cuts in that order, of the keys or of fewer keys, which
     several scans of one log share; without them the log is counted here."""
@@ -113,6 +113,9 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str],
         if fn == "sum":
             here = F.coalesce(F.sum(v).over(upto), F.lit(0))
             here = here if whole else here + F.coalesce(c, F.lit(0))
+        elif fn == "total":
+            here = F.coalesce(F.sum(v).over(W.partitionBy(*keys, *pieces)), F.lit(0))
+            here = here if whole else here + F.coalesce(c, F.lit(0))
         elif fn in ("last", "next"):
             here = F.last(v, ignorenulls=True).over(upto if fn == "last" else back)
             here = here if whole else F.coalesce(here, c)
@@ -138,6 +141,8 @@ def _carry(d: DataFrame, keys: list[str], order: list[str], outputs: dict[str, t
         v, t, c = F.col(f"_in_{name}"), f"_total_{name}", f"_carry_{name}"
         if fn == "sum":
             total, carry = F.sum(v), F.sum(t).over(earlier)
+        elif fn == "total":
+            total, carry = F.sum(v), F.sum(t).over(W.partitionBy(*keys)) - F.col(t)
         elif fn == "last":
             total, carry = F.max_by(v, F.when(v.isNotNull(), position)), F.last(t, ignorenulls=True).over(earlier)
         elif fn == "next":

@@ -67,7 +67,9 @@ def _(spark, d):
     WINDOW w AS (PARTITION BY page_id, eid ORDER BY step)""")
 def _(spark, d):
     ids = identity.with_eids(a.capture_nodes(spark, d), F.lit("main"))
-    return identity.registry_intervals(ids, identity.capture_clock(ids, a.captures(spark, d)))
+    caps = a.captures(spark, d)
+    ranks = identity.capture_ranks(caps)
+    return identity.registry_intervals(ids, identity.capture_clock(ids, caps, ranks), ranks)
 
 
 @query("d6_stale", CAPS + """, t AS (SELECT page_id, step, row_number() OVER (PARTITION BY page_id
