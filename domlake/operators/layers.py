@@ -138,17 +138,18 @@ def with_active_layer(nodes: DataFrame, keys: tuple[str, ...] = ("snapshot_id",)
 
 
 def select_actionables(nodes: DataFrame, max_count: int | None = None, active: str | Column = "active",
-                       keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
-    """The best ``max_count`` (all, if None) actionable elements of each capture with ``score`` and ``rank``."""
+                       keys: tuple[str, ...] = ("snapshot_id",), primary: Column | None = None) -> DataFrame:
+    """The best ``max_count`` (all, if None) actionable elements of each capture with ``score`` and ``rank``. ``primary``
+    marks the main call to action."""
     act = F.col(active) if isinstance(active, str) else active
     w = W.partitionBy(*keys).orderBy(F.desc("score"), F.asc("doc_order"))
-    out = nodes.filter(_actionable(act)).withColumn("score", score_actionable()).withColumn(
+    out = nodes.filter(_actionable(act)).withColumn("score", score_actionable(primary)).withColumn(
         "rank", F.row_number().over(w))
     return out if max_count is None else out.filter(F.col("rank") <= max_count)
 
 
 def focus_guarantee(nodes: DataFrame, max_count: int | None = None, active: str = "active",
-                    keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
+                    keys: tuple[str, ...] = ("snapshot_id",), primary: Column | None = None) -> DataFrame:
     """Actionables with the focused element first, then up to two ways to close a modal, then the
     ranked rest."""
     act = F.col(active)
@@ -166,7 +167,7 @@ def focus_guarantee(nodes: DataFrame, max_count: int | None = None, active: str
         .withColumn("_close", close & (F.count_if(close).over(upto) <= 2))
         .withColumn("_ranked", _actionable(act))
         .filter("_focus OR _close OR _ranked")
-        .withColumn("score", score_actionable())
+        .withColumn("score", score_actionable(primary))
         .withColumn("tier", F.when(F.col("_focus"), 0).when(F.col("_close"), 1).otherwise(2))
     )
     pick = F.when(F.col("tier") == 0, F.lit(0.0)).when(F.col("tier") == 1, F.lit(0.0)).otherwise(

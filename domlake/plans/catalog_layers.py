@@ -89,6 +89,33 @@ def _(spark, d):
     return rows.select("snapshot_id", F.col("doc_order").alias("node_id"), "tier", "rank")
 
 
+@query("l6_primary_bonus", RANKED + """SELECT snapshot_id, node_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY
+    CASE WHEN node_id % 9 = 0 THEN 1.0 ELSE score END DESC, node_id) AS rank FROM c QUALIFY rank <= 12""")
+def _(spark, d):
+    # 0.95 is the least an element with a name has, so the bonus always lifts it to the top score
+    nodes = layers.with_active_layer(a.box_nodes(spark, d))
+    return layers.select_actionables(nodes, 12, primary=F.col("doc_order") % 9 == 0).select(
+        "snapshot_id", F.col("doc_order").alias("node_id"), "rank")
+
+
+@query("l7_close_affordances", RANKED + f""", m AS (SELECT * REPLACE ({_LAYER} AS layer) FROM (SELECT * REPLACE (CASE WHEN
+    snapshot_id % 2 = 0 THEN 'modal' ELSE active END AS active) FROM n)), f AS (SELECT *, CASE WHEN foc AND fo = 1 THEN 0 WHEN clo AND cc <= 2 THEN 1 ELSE 2
+    END AS tier FROM (SELECT *, count(CASE WHEN foc THEN 1 END) OVER w AS fo, count(CASE WHEN clo THEN 1 END) OVER w AS cc FROM
+    (SELECT *, ok AND node_id % 13 = 0 AS foc, ok AND active = 'modal' AND node_id % 6 IN (1, 2) AS clo FROM (SELECT *, kind IN
+    ('link', 'button', 'input', 'textarea', 'select') AND (active IN ('popover', 'drawer') OR layer = active) AS ok FROM m))
+    WINDOW w AS (PARTITION BY snapshot_id ORDER BY node_id ROWS UNBOUNDED PRECEDING)) WHERE ok), g AS (SELECT snapshot_id, node_id,
+    tier, row_number() OVER (PARTITION BY snapshot_id ORDER BY tier, CASE WHEN tier < 2 THEN 0 ELSE
+    -least(1.0::DOUBLE, score + CASE WHEN foc THEN 0.2 ELSE 0.0 END) END, node_id) AS rank FROM f)
+    SELECT snapshot_id, node_id, tier, rank FROM g WHERE rank <= 12 OR tier < 2""")
+def _(spark, d):
+    # No overlay of the box view is a dialog that keeps the page from use, so every other capture is taken to show one.
+    nodes = layers.with_active_layer(_focused(spark, d)).withColumn(
+        "active", F.when(F.col("snapshot_id") % 2 == 0, "modal").otherwise(F.col("active")))
+    label = F.when(F.col("doc_order") % 6 == 1, "Close it").when(F.col("doc_order") % 6 == 2, "×").otherwise(F.col("label"))
+    rows = layers.focus_guarantee(nodes.withColumn("label", label), 12)
+    return rows.select("snapshot_id", F.col("doc_order").alias("node_id"), "tier", "rank")
+
+
 @query("l8_format_actionables", """SELECT p_partkey AS page_id, kind, name, val_hint, href, type,
     ena, chk, req, locator_ax FROM (
     SELECT p_partkey, 'slider' AS kind, 'Quantity ' || p_size AS name, p_size::VARCHAR AS val_hint,
