@@ -135,11 +135,11 @@ def _site(spark, d):
         F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("title"))
 
 
-@query("d9_diff_document", _SITE + """SELECT page_id, step, u AS from_url, url AS to_url, CASE WHEN
+@query("d9_diff_document", _SITE + """SELECT page_id, step, u AS from_url, url AS to_url, t AS from_title, title AS to_title, CASE WHEN
     regexp_extract(u, '^https?://[^/]+([^?#]*)', 1) = path THEN 'soft' ELSE 'hard' END AS nav_type
     FROM p WHERE u IS NOT NULL AND (u <> url OR t <> title)""")
 def _(spark, d):
-    return diff.diff_document(_site(spark, d)).select("page_id", "step", "from_url", "to_url",
+    return diff.diff_document(_site(spark, d)).select("page_id", "step", "from_url", "to_url", "from_title", "to_title",
                                                       "nav_type")
 
 

@@ -465,17 +465,16 @@ def _effects(spark, d):
     return dep.observed_effect(a.capture_nodes(spark, d), a.captures(spark, d), actions)
 
 
-@query("f20_observed_effect", EFFECT + """SELECT page_id, step, trigger AS trigger_eid,
-    coalesce(string_agg(node_id, ',' ORDER BY NOT old, pos, node_id) FILTER (e = 'enabled'), '') AS
-    enabled, coalesce(string_agg(node_id, ',' ORDER BY NOT old, pos, node_id) FILTER (e =
-    'disappeared'), '') AS disappeared, coalesce(string_agg(node_id, ',' ORDER BY NOT old, pos,
-    node_id) FILTER (e = 'value_changed'), '') AS value_changed, round(least(1.0, 0.5 + count(*) *
-    0.1), 6)::DOUBLE AS confidence FROM hit GROUP BY ALL""")
+_LISTS = ["enabled", "disabled", "appeared", "disappeared", "value_changed"]
+
+
+@query("f20_observed_effect", EFFECT + "SELECT page_id, step, trigger AS trigger_eid, " + ", ".join(
+    f"coalesce(string_agg(node_id, ',' ORDER BY NOT old, pos, node_id) FILTER (e = '{x}'), '') AS {x}" for x in _LISTS)
+    + ", round(least(1.0, 0.5 + count(*) * 0.1), 6)::DOUBLE AS confidence FROM hit GROUP BY ALL")
 def _(spark, d):
     e = _effects(spark, d)
-    return e.select("page_id", "step", "trigger_eid", *[
-        F.array_join(c, ",").alias(c) for c in ("enabled", "disappeared", "value_changed")],
-        F.round("confidence", 6).alias("confidence"))
+    return e.select("page_id", "step", "trigger_eid", *[F.array_join(c, ",").alias(c) for c in _LISTS],
+                    F.round("confidence", 6).alias("confidence"))
 
 
 EDGES = EFFECT + """, edge AS (SELECT page_id, trigger AS source_eid, node_id AS target_eid, CASE WHEN
@@ -486,10 +485,10 @@ conf AS (SELECT *, least(1.0, 0.3 + least(1.0, observations / 3.0) * 0.5 + CASE
 """
 
 
-@query("f21_dependency_edges", EDGES + """SELECT page_id, source_eid, target_eid, type, observations,
-    last_step FROM edge""")
+@query("f21_dependency_edges", EDGES + """SELECT page_id, source_eid, target_eid, type, observations, last_step, CASE type
+    WHEN 'reveals' THEN 'observed_mutation' ELSE 'observed_state_change' END AS method FROM edge""")
 def _(spark, d):
-    return dep.dependency_edges(_effects(spark, d)).drop("method")
+    return dep.dependency_edges(_effects(spark, d))
 
 
 @query("f22_dependency_confidence", EDGES + """SELECT page_id, source_eid, target_eid, type,
