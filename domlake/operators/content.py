@@ -18,9 +18,9 @@ TAG_BONUS = {"ARTICLE": 25.0, "MAIN": 15.0, "DIV": 5.0, "TD": 3.0, "BODY": -5.0}
 MIN_TEXT = 100
 
 
-def read_page(pages: DataFrame, dom: DataFrame, key: str = "page_id") -> DataFrame:
+def read_page(pages: DataFrame, dom: DataFrame, key: str = "page_id", min_text: int = MIN_TEXT) -> DataFrame:
     """One row per page: title, byline, excerpt, site_name, lang, text, length, or an error when
-    there is no article-like content.
+    there is no article-like content, which takes a container with ``min_text`` characters.
 
     Every text node adds to the containers above it: the nearest one fully, the next half, then a
     third per level; text in links counts against a container.  Both uses of the text rows read the
@@ -50,7 +50,7 @@ def read_page(pages: DataFrame, dom: DataFrame, key: str = "page_id") -> DataFra
         F.sum("len").alias("len"),
         F.sum(F.when(F.col("in_link"), F.col("len")).otherwise(0)).alias("link_len"),
         F.max(bonus).alias("bonus"))
-    best = blocks.filter(F.col("len") >= MIN_TEXT).withColumn(
+    best = blocks.filter(F.col("len") >= min_text).withColumn(
         "score", (F.col("raw") + F.col("bonus")) * (1 - F.col("link_len") / F.col("len"))
     ).groupBy("snapshot_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("top"))
     near_block = F.get(F.filter("up", lambda a: a.tag.isin(BLOCKS)), F.lit(0)).id

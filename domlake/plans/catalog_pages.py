@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import content, observe, tree
 from ..sources.captures import ax_nodes, frame_loaders, read_pages, split_snapshots
-from ..sources.html import flatten_dom_json
+from ..sources.html import flatten_dom_json, html_to_dom
 from . import adapters as a
 from .catalog import query
 from .compile import compile_captures, compile_elements
@@ -638,3 +638,24 @@ def _(spark, d):
     out = content.read_page(pages, dom_nodes(spark, d))
     return out.select("page_id", "title", "lang",
                       F.md5(F.regexp_replace("text", r"\s+", " ")).alias("hash"))
+
+
+# The corpus with an author, a site and a description; every second page says next to nothing.
+@query("r1_read_page_meta", CORPUS + f"""SELECT page_id, 'Writer ' || page_id AS byline, 'About ' || page_id AS excerpt, 'Site ' ||
+    page_id % 7 AS site_name, CASE WHEN page_id % 2 = 0 THEN 9 ELSE coalesce(length(regexp_replace(CASE WHEN
+    length(array_to_string({_PARTS % _ART}, '')) >= 100 THEN array_to_string({_PARTS % _ART}, ' ')
+    WHEN length(array_to_string({_PARTS % _BODY}, '')) >= 100 THEN array_to_string(
+    {_PARTS % _BODY}, ' ') END, '\\s+', ' ', 'g')), 0) END::INT AS length, CASE WHEN page_id % 2 = 1 AND
+    length(array_to_string({_PARTS % _BODY}, '')) < 100 THEN 'Could not extract readable content from this page.' END AS error
+    FROM base""")
+def _(spark, d):
+    pages = read_pages(spark, f"{d}/pages.parquet")
+    number = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<head><meta name="author" content="Writer '), number, F.lit('"><meta property="og:site_name" content="Site '),
+                    (F.col("page_id") % 7).cast("string"), F.lit('"><meta name="description" content="About '), number, F.lit('">'))
+    html = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<html>"), head, F.lit("</head><body><p>Next to 0</p></body></html>"))).otherwise(
+        F.replace("html", F.lit("<head>"), head))
+    pages = pages.withColumn("html", html)
+    long_, brief = pages.filter("page_id % 2 = 1"), pages.filter("page_id % 2 = 0")
+    out = content.read_page(long_, html_to_dom(long_)).unionByName(content.read_page(brief, html_to_dom(brief), min_text=5))
+    return out.select("page_id", "byline", "excerpt", "site_name", "length", "error")
