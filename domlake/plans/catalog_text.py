@@ -16,6 +16,17 @@ def _(spark, d):
     return texts(spark, d).select("doc_id", t.normalize_text("text").alias("norm"))
 
 
+@query("x1_normalize_compat", f"SELECT doc_id, {_SQ % 'text'} AS norm FROM documents")
+def _(spark, d):
+    # Each text in forms that composition has to undo: wide letters and digits, the ligature of f and i, e and u with loose marks.
+    plain = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "eu")
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
+    other = F.replace(F.replace(F.replace("text", F.lit("fi"), F.lit(chr(0xFB01))), F.lit(chr(0xE9)), F.lit("e" + chr(0x301))),
+                      F.lit(chr(0xFC)), F.lit("u" + chr(0x308)))
+    changed = texts(spark, d).select("doc_id", F.translate(other, plain, wide).alias("text"))
+    return changed.select("doc_id", t.normalize_text("text").alias("norm"))
+
+
 @query("x2_truncate", """SELECT doc_id, CASE WHEN length(text) <= 120 THEN text
     ELSE substr(text, 1, 119) || '…' END AS short FROM documents""")
 def _(spark, d):
