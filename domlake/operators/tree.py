@@ -560,18 +560,14 @@ def heading_context_local(el: DataFrame) -> DataFrame:
 
 def with_group_id(el: DataFrame) -> DataFrame:
     """Adds ``group_id``.  Containers without a name of their own hand their local heading to the
-    nodes they group; only those few travel in the per-capture lookup."""
-    def unnamed(c):
-        return F.coalesce(c.ax_name, c.aria_label, c.html_id).isNull()
-
-    own = F.struct(*[F.col(a).alias(b) for a, b in (
-        ("ax_name", "ax_name"), ("aria_label", "aria_label"), ("html_id", "html_id"))])
-    giver = F.col("is_container") & unnamed(own) & (F.length("heading_local") > 0)
-    table = F.collect_list(F.when(giver, F.struct("id", "heading_local"))).over(
-        W.partitionBy("snapshot_id"))
-    heading = F.get(F.filter("_given", lambda g: g.id == F.col("group.id")), F.lit(0)).heading_local
-    return el.withColumn("_given", table).withColumn(
-        "group_id", group_id(F.col("group"), heading)).drop("_given")
+    nodes they group: such a container comes twice, once as itself and once among those nodes."""
+    named = F.coalesce("ax_name", "aria_label", "html_id").isNotNull()
+    gives = F.coalesce(F.col("is_container") & ~named & (F.length("heading_local") > 0), F.lit(False))
+    rows = el.withColumn("_hands", F.explode(F.when(gives, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    family = W.partitionBy("snapshot_id", F.when(F.col("_hands"), F.col("id")).otherwise(F.col("group.id")))
+    handed = F.max(F.when(F.col("_hands"), F.col("heading_local"))).over(family)
+    return rows.withColumn("_handed", handed).filter(~F.col("_hands")).withColumn(
+        "group_id", group_id(F.col("group"), F.col("_handed"))).drop("_hands", "_handed")
 
 
 def extract_state(visible: Column | None = None) -> Column:
