@@ -20,12 +20,16 @@ def files(df, path, column, parts=3):
     return path
 
 
-def drain(df, mode, name, spark, tmp):
+def drain(df, mode, name, spark, tmp, endless=False):
+    """``endless`` is for state with a lifetime, whose query goes on without input to clear it away."""
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option(
         "checkpointLocation", f"{tmp}/ck-{name}").trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    for _ in range(48):
+        if q.awaitTermination(5) or (endless and q.lastProgress and not q.lastProgress["numInputRows"]):
+            break
     assert q.exception() is None
+    q.stop()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     return spark.table(name)
 
@@ -80,7 +84,7 @@ def test_latest_captures(spark, data, tmp_path):
     caps = a.captures(spark, data).select("page_id", "step", "snapshot_id", "captured_at")
     path = files(caps, str(tmp_path / "caps"), "step")
     out = drain(stateful.latest_captures(stream_files(spark, path, caps.schema), 3_600_000),
-                "update", "latest", spark, tmp_path)
+                "update", "latest", spark, tmp_path, endless=True)
     got = out.groupBy("page_id").agg(F.max("step").alias("step"))
     want = identity.latest_snapshot(caps).select("page_id", "step")
     assert rows(got, "page_id", "step") == rows(want, "page_id", "step")
