@@ -35,12 +35,6 @@ TOGETHER = 64
 _NONE = 1 << 62
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """The ranks of a file of lines `base64 rank`, read where the session reads files."""
-    rows = spark.read.text(path).where("value <> ''").collect()  # a vocabulary, whose size no corpus moves
-    return {base64.b64decode(token): int(rank) for token, rank in (r["value"].split() for r in rows)}
-
-
 def character_classes() -> bytes:
     """The class of each code point by the Unicode tables of the tokenizer library, which the library itself tells
     by what it finds in a text of all code points. Surrogates are in no text."""
