@@ -80,7 +80,7 @@ _HTML = "".join(f'{m} id="{n}" aria-label="{n}"><button>Go {n}</button></{m[1:].
 def _(spark, d):
     pages = a.table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), "p_size", F.concat(
         F.lit("<html><body>"), F.lit(_HTML), F.lit("</body></html>")).alias("html"))
-    dom = html_to_dom(pages)
+    dom = html_to_dom(a.spread(spark, d, pages.select("page_id", "html"), "page_id"))
     place = F.create_map(*[x for n, _, (x, y, z), *_ in _OVERLAYS for x in (F.lit(n), F.struct(
         F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")))])
     at = F.try_element_at(place, F.try_element_at("attributes", F.lit("id")))
