@@ -44,4 +44,5 @@ def test_forms_keep_only_what_they_read(spark, parts, monkeypatch):
     monkeypatch.setattr(adapters, "materialize", lambda df: kept.append(df) or df)
     catalog.QUERIES["f13_extract_fields"](spark, parts)
     assert "find" not in kept[0].columns
-    assert {r.kind for r in kept[0].select("kind").distinct().collect()} == {"input", "checkbox", "slider", "combobox"}
+    assert {r.kind for r in kept[0].select("kind").distinct().collect()} == {
+        "form", "input", "checkbox", "slider", "combobox", "button"}
