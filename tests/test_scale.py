@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import Row
 
+from domlake import rules
+from domlake.operators import forms
 from domlake.plans import adapters, catalog
 
 
@@ -46,3 +48,17 @@ def test_forms_keep_only_what_they_read(spark, parts, monkeypatch):
     assert "find" not in kept[0].columns
     assert {r.kind for r in kept[0].select("kind").distinct().collect()} == {
         "form", "input", "checkbox", "slider", "combobox", "button"}
+
+
+def test_intent_reads_its_text_once(spark):
+    texts = spark.createDataFrame([("Log in to pay: Payment of your ORDER",), ("",), (None,), ("Sign up",)], "t string")
+    got = texts.select("t", forms.infer_intent("t").alias("i"))
+    assert got._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert [r.i for r in got.collect()] == [_intent(r.t) for r in texts.collect()]
+
+
+def _intent(text):
+    scores = {i: sum(w for word, w in words if word in (text or "").lower())
+              for i, words in rules.INTENT_KEYWORDS.items()}
+    top = max(scores.values())
+    return next((i for i, v in scores.items() if v == top), "unknown") if top else "unknown"
