@@ -62,3 +62,22 @@ def _intent(text):
               for i, words in rules.INTENT_KEYWORDS.items()}
     top = max(scores.values())
     return next((i for i, v in scores.items() if v == top), "unknown") if top else "unknown"
+
+
+def test_a_node_is_looked_at_once_for_its_descendants(monkeypatch):
+    import pyarrow as pa
+
+    from domlake.sources import html
+
+    seen, hides = [], html.hides
+    monkeypatch.setattr(html, "hides", lambda name, attrs: seen.append(name) or hides(name, attrs))
+    nodes = html._NodeBatch()
+    nodes.start(1)
+    html._read_html(nodes, "<div hidden id=a><p role=note title=t>x<b aria-label=l>y</b></p></div>")
+    nodes.finish()
+    rows = nodes.batch(html._arrow_schema(pa.int64())).to_pylist()
+    assert len(seen) == len(rows) == 6
+    deep = next(r for r in rows if r["node_value"] == "y")
+    assert [(a["tag"], a["role"], a["aria_label"], a["title"], a["html_id"], a["hidden"]) for a in deep["ancestors"]] == [
+        ("B", None, "l", None, None, False), ("P", "note", None, "t", None, False),
+        ("DIV", None, None, None, "a", True), ("#document", None, None, None, None, False)]
