@@ -11,14 +11,19 @@ import numpy as np
 import pyarrow.fs as pafs
 
 
+def _kind(name: str) -> np.dtype:
+    return np.dtype("<" + (name.partition("~")[2] or "f8"))
+
+
 def save(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """One sorted array as a file; written aside and moved, so a repeated task leaves the same file."""
+    """One sorted array as a file; written aside and moved, so a repeated task leaves the same file. Values are doubles,
+    or what the end of the name says (~u1: bytes)."""
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     aside = f"{base}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(aside) as f:
         f.write(keys.astype("<u8").tobytes())
-        f.write(values.astype("<f8").tobytes())
+        f.write(values.astype(_kind(name)).tobytes())
     fs.move(aside, f"{base}/{name}")
 
 
@@ -43,8 +48,8 @@ def mapped(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
                     copy.write(piece)
             data = np.memmap(copy.name, np.uint8, "r")
             os.unlink(copy.name)
-        n = len(data) // 16
-        _OPEN[at] = data[: 8 * n].view("<u8"), data[8 * n:].view("<f8")
+        n = len(data) // (8 + _kind(name).itemsize)
+        _OPEN[at] = data[: 8 * n].view("<u8"), data[8 * n:].view(_kind(name))
     return _OPEN[at]
 
 

@@ -379,6 +379,41 @@ def test_lm_scores(spark, docs, none):
     assert kneser_ney.score(none, model).count() == 0
 
 
+def test_words_are_given_the_one_before(spark, docs):
+    model = kneser_ney.learn(docs)
+    two, follows, known = Counter(), Counter(), Counter()
+    for r in ROWS:
+        if not crc(r[0], 7):
+            w = ["", *spaced(r[1]), "\n"]
+            two.update(zip(w, w[1:]))
+    follows.update(y for _, y in two)
+    known.update(x for x, _ in two)
+    rare = lambda c: [sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]
+    cut, low = kneser_ney.discounts(*rare(two)), kneser_ney.discounts(*rare(follows))
+    off = lambda n, d: d[min(n, 3) - 1] if n else 0
+    total, left = Counter(), Counter()
+    for (x, _), n in two.items():
+        total[x] += n
+        left[x] += off(n, cut)
+
+    def word(y):
+        b = y.encode()
+        codes, _ = kneser_ney.spelled(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+        return (follows[y] - off(follows[y], low) + sum(off(n, low) for n in follows.values()) * 10 ** model.log10(codes).sum()) / len(two)
+
+    def given(x, y):
+        return (two[x, y] - off(two[x, y], cut) + left[x] * word(y)) / total[x] if known[x] else word(y)
+    texts = [r[1] for r in ROWS if len(r[1] or "") < 400] + ["unseen a", "a unseen", "other a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in kneser_ney.score(df, model).collect():
+        w = ["", *spaced(texts[r.doc_id]), "\n"]
+        assert math.isclose(r.score, sum(math.log10(given(x, y)) for x, y in zip(w, w[1:])), rel_tol=1e-9), texts[r.doc_id]
+    train = spark.createDataFrame([(i, "red apple") for i in range(20)], "doc_id long, text string")
+    turned = spark.createDataFrame([(1, "red apple"), (2, "apple red")], "doc_id long, text string")
+    one, other = (r.score for r in kneser_ney.score(turned, kneser_ney.learn(train)).orderBy("doc_id").collect())
+    assert one > other + 1
+
+
 def test_spelling_sums_to_one(docs):
     model = kneser_ney.learn(docs)
     for context in (b"    ", b"   e", b"nisr", b"zzzz"):
