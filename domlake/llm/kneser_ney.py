@@ -84,10 +84,10 @@ def added_up(keys: np.ndarray, counts: np.ndarray, *same: np.ndarray) -> tuple[n
 
 
 class Held:
-    """Counts by key, added up whenever HELD entries have come in."""
+    """Counts by key, added up whenever so many entries have come in."""
 
-    def __init__(self, same: int = 0):
-        self.parts, self.n = [], 0
+    def __init__(self, same: int = 0, most: int = HELD):
+        self.parts, self.n, self.most = [], 0, most
         self.none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * same)
 
     def add(self, *columns: np.ndarray) -> None:
@@ -95,10 +95,10 @@ class Held:
         self.n += len(columns[0])
 
     def full(self) -> bool:
-        if self.n > HELD:
+        if self.n > self.most:
             self.parts = [self.sum()]
             self.n = len(self.parts[0][0])
-        return self.n > HELD
+        return self.n > self.most
 
     def sum(self) -> tuple[np.ndarray, ...]:
         got = added_up(*(np.concatenate(x) for x in zip(*(self.parts or [self.none]), strict=True)))
@@ -165,7 +165,7 @@ def counted(docs: DataFrame, bits: int, pair_bits: int) -> DataFrame:
             names=["kind", "bucket", "keys", "counts"])
 
     def count(batches):
-        held, ends = (Held(), Held(), Held(2)), 0
+        held, ends = (Held(), Held(), Held(2, 2 * HELD)), 0
         for b in batches:
             for t in common.texts(b.column("text")):
                 w = common.words(t)
@@ -225,8 +225,10 @@ class Model:
         """log10 probability of words by what stands before them, from that whatever stands before."""
         counts, _ = self.find("pair", pair_key(before, after), pair_route(before, after))
         some, back = np.unique(before, return_inverse=True)
-        total, had = self.find("context", some)
-        weight, _ = self.find("weight", some)
+        total = np.where(some == START, self.texts, self.find("w", some)[0])
+        off = sum(cut * self.find(name, some)[0] for name, cut in zip(("one", "two", "more"), self.pair_cut, strict=True))
+        had = total > 0
+        weight = off / np.where(had, total, 1)
         with np.errstate(divide="ignore"):
             seen = np.log((counts - taken(counts, self.pair_cut)) / np.where(had, total, 1.0)[back])
             rest = np.log(np.where(had, weight, 1.0))[back] + word_log * np.log(10)
@@ -319,55 +321,48 @@ def learn(docs: DataFrame) -> Model:
         if kind == 0:
             keys, n = unpacked(table)
             keys, n = added_up(keys, n[0])
-            arrays.save(folder, f"w-{bucket}", keys, n)
+            arrays.save(folder, f"w-{bucket}{narrow(n.max())}", keys, n)
             return pa.Table.from_pylist(figures(table, n), schema)
         if kind == 2:
             before, after, n = unpacked_pairs(table)
             keys, n, before, after = added_up(pair_key(before, after), n, before, after)
             arrays.save(folder, f"pair-{bucket}{narrow(n.max())}", keys, n)
-            held = np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64)
+            held = np.stack([n == 1, n == 2, n > 2]).astype(np.int64)
             contexts, held = added_up(before, held)
             words, first = added_up(after, np.ones(len(after), np.int64))
             return pa.Table.from_pylist(figures(table, n, *packed(3, bits, contexts, contexts, held),
                                                 *packed(4, bits, words, words, first)), schema)
         keys, n = unpacked(table)
         keys, n = added_up(keys, n[0])
-        return pa.table([pa.array(np.full(len(keys), 1, np.int32)), *[pa.nulls(len(keys), f.type) for f in list(schema)[1:4]],
-                         pa.array(n, pa.int64()), *[pa.nulls(len(keys), f.type) for f in list(schema)[5:8]],
-                         pa.array(keys.view(np.int64))], schema=schema)
+        full = {"kind": np.full(len(keys), kind), "bucket": np.full(len(keys), bucket), "c": n, "code": keys.view(np.int64)}
+        return pa.table([pa.array(full[f.name], f.type) if f.name in full else pa.nulls(len(keys), f.type) for f in schema], schema=schema)
 
-    got = common.staged(counted(train, bits, pair_bits).groupBy("kind", "bucket").applyInArrow(merge, f"{packs}, {stats}, code long"))
-    model = Model(folder, {x: bits for x in ("w", "context", "weight", "follows")} | {"pair": pair_bits}
+    def finish(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        if kind < 3:
+            return table
+        keys, n = unpacked(table, 3 if kind == 3 else 1)
+        keys, n = added_up(keys, n)
+        for name, line in zip(("one", "two", "more") if kind == 3 else ("follows",), n, strict=True):
+            arrays.save(folder, f"{name}-{bucket}{narrow(n.max())}", keys[line > 0], line[line > 0])
+        return pa.Table.from_pylist(figures(table, n.max(axis=0)), schema)
+
+    columns = f"{packs}, {stats}, code long"
+    got = common.staged(counted(train, bits, pair_bits).groupBy("kind", "bucket").applyInArrow(merge, columns)
+                        .groupBy("kind", "bucket").applyInArrow(finish, columns))
+    model = Model(folder, {x: bits for x in ("w", "one", "two", "more", "follows")} | {"pair": pair_bits}
                   | {f"{t}{n}": few for t in "pg" for n in range(1, ORDER + 1)})
-    of = got.where("kind <> 1 and n is not null").select("kind", "bucket", "c", "n", "most", "rare").collect()  # a row for each range of hashes
-    words, paired = [r for r in of if r["kind"] == 0], [r for r in of if r["kind"] == 2]
+    of = got.where("kind <> 1").select("kind", "bucket", "c", "n", "most", "rare").collect()  # a row for each range of hashes
+    words, paired, after = ([r for r in of if r["kind"] == kind] for kind in (0, 2, 4))
     model.texts = texts
-    model.files["w"] = {r["bucket"]: f"w-{r['bucket']}" for r in words}
-    model.files["pair"] = {r["bucket"]: f"pair-{r['bucket']}{narrow(r['most'])}" for r in paired}
+    for kind, names in ((0, ("w",)), (2, ("pair",)), (3, ("one", "two", "more")), (4, ("follows",))):
+        for name in names:
+            model.files[name] = {r["bucket"]: f"{name}-{r['bucket']}{narrow(r['most'])}" for r in of if r["kind"] == kind}
     model.tokens = sum(r["c"] for r in words) + model.texts
     model.distinct = sum(r["n"] for r in words) + (model.texts > 0)
     if model.texts:
-        model.pair_cut = cut = discounts(*(sum(r["rare"][i] for r in paired) for i in range(4)))
-
-    def finish(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        keys, n = unpacked(table, 4 if kind == 3 else 1)
-        keys, n = added_up(keys, n)
-        if kind == 3:
-            arrays.save(folder, f"context-{bucket}", keys, n[0])
-            arrays.save(folder, f"weight-{bucket}", keys, np.array(cut) @ n[1:] / n[0])
-        else:
-            arrays.save(folder, f"follows-{bucket}", keys, n[0])
-        return pa.Table.from_pylist(figures(table, n[0]), pa.schema(fields))
-
-    if model.texts:
-        blocks = got.where("kind in (3, 4)").select("kind", "bucket", "keys", "counts")
-        done = blocks.groupBy("kind", "bucket").applyInArrow(finish, f"{packs}, {stats}").select("kind", "bucket", "c", "n", "rare").collect()
-        after = [r for r in done if r["kind"] == 4]
-        for kind, names in ((3, ("context", "weight")), (4, ("follows",))):
-            for name in names:
-                model.files[name] = {r["bucket"]: f"{name}-{r['bucket']}" for r in done if r["kind"] == kind}
-        model.followed, own = sum(r["c"] for r in after), [sum(r["rare"][i] for r in after) for i in range(4)]
+        many = lambda some: [sum(r["rare"][i] for r in some) for i in range(4)]
+        model.pair_cut, model.followed, own = discounts(*many(paired)), sum(r["c"] for r in after), many(after)
         model.cut = discounts(*own)
         often = sum(r["n"] for r in after) - own[0] - own[1]
         model.left = (model.cut[0] * own[0] + model.cut[1] * own[1] + model.cut[2] * often) / model.followed
