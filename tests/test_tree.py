@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from domlake.functions import text
 from domlake.operators import tree
 from domlake.plans.compile import compile_elements
 from domlake.sources.html import html_to_dom
@@ -118,3 +119,42 @@ def test_names_from_deep_content(spark):
     assert labels["link"] == "to the shop" and labels["button"] == "Buy"
     short = tree.with_derived_ax(dom, name_depth=3).filter("ax_role = 'link'").first().ax_name
     assert short == "to"
+
+
+ODD_PAGES = [
+    (1, "<html><body><!-- note --><main><label>Name <b>first</b> <input name=a></label><label>Alone</label><input name=b>"
+        "<nav role='  Navigation  menu' aria-label='Top  bar'><ul><li><a href=/x>Go \u200b\u00a0there</a></li><li></li></ul></nav>"
+        "<div role=' '><button>  A&amp;B\t</button></div><div role='GROUP' id=g><h2>Head</h2><p>Some \uff21 text</p></div>"
+        "<select><optgroup><option>Red</option></optgroup></select><input title='caf\u00e9  x' placeholder='p\x7fq'></main>"
+        "<div id=h><template shadowrootmode=open><label for=q>In</label><input id=q></template></div>"
+        "<div hidden><a href=/y>no</a></div><iframe srcdoc='&lt;h3&gt;F&lt;/h3&gt;&lt;p&gt;t'></iframe></body></html>"),
+    (2, "just text"), (3, ""), (4, None), (4, "<p>one<p>two<label>x<!-- y --></label><textarea>z</textarea>"),
+]
+
+
+def test_pages_without_text_rows(spark):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    dom, bare = html_to_dom(pages), html_to_dom(pages, texts=False)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(bare) == rows(dom.filter("node_type NOT IN (3, 8)")) and dom.filter("node_type = 3").count() > 10
+    assert rows(compile_elements(bare)) == rows(compile_elements(dom))
+
+
+def test_ancestor_roles_follow_the_rule_of_elements(spark):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    up = html_to_dom(pages).select(F.explode("ancestors").alias("a")).select(
+        "a.ax_role", "a.role", tree.derived_role(F.col("a.role"), F.upper("a.tag")).alias("want")).collect()
+    assert all(r.ax_role == r.want for r in up) and {"navigation", "group", "main", None} <= {r.ax_role for r in up}
+
+
+def test_unread_places_are_not_worked_out(spark):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    read = compile_elements(html_to_dom(pages, texts=False)).select("label", "where.heading_context")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "where_region" not in plan and "group_path" not in plan and "heading_name" in plan
+
+
+def test_short_text_is_squeezed_alike(spark):
+    odd = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n", "a\tb", "\x7f", "caf\u00e9", "a\u200bb", "a\u00a0b", "~!", None]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    assert df.filter(~text.squeeze("v").eqNullSafe(text.squeeze_short("v"))).count() == 0
