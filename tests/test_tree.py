@@ -154,6 +154,18 @@ def test_unread_places_are_not_worked_out(spark):
     assert "where_region" not in plan and "group_path" not in plan and "heading_name" in plan
 
 
+def test_state_and_locators_are_worked_out_once_or_not_at_all(spark):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    nodes = compile_elements(html_to_dom(pages, texts=False))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aria-disabled" not in plan(nodes.select("label", "where.group_id"))
+    assert plan(nodes.select("find")).count('[data-testid="') <= 2  # itself, and whether it is there
+    assert all(r.state.visible for r in nodes.select("state").collect())
+    group = tree.group_id(F.lit(None).cast("struct<id:long,ax_role:string,role:string,tag:string,ax_name:string,"
+                                           "aria_label:string,html_id:string>"), F.lit("One Two"))
+    assert spark.range(1).select(group).first()[0] is None
+
+
 def test_short_text_is_squeezed_alike(spark):
     odd = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n", "a\tb", "\x7f", "caf\u00e9", "a\u200bb", "a\u00a0b", "~!", None]
     df = spark.createDataFrame([(v,) for v in odd], "v string")
