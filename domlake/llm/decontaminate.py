@@ -57,6 +57,17 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
             .select(*others, F.col("said.word").alias("words"), F.col("said.code").alias("codes")))
 
 
+def _rolled(values: Column, length: int, both) -> Column:
+    """For each place of an array, ``both`` over the ``length`` values from there, put together from halves: a slice for
+    each window would read the whole array each time. The last length - 1 places hold less."""
+    if length == 1:
+        return values
+    half, join = length // 2, lambda x, y: both(x, y)
+    # a lambda over one array holds the halves, or they would be worked out twice
+    out = F.get(F.transform(F.array(_rolled(values, half, both)), lambda h: F.zip_with(h, F.slice(h, half + 1, F.size(h)), join)), F.lit(0))
+    return F.zip_with(out, F.slice(values, length, F.size(values)), join) if length % 2 else out
+
+
 def windows(df: DataFrame, length: int = WINDOW) -> DataFrame:
     """df (with words and codes) with at, template (its number) and hash, rows for each window of length tokens
     in each template, in place of words and codes; the same hash may come twice. Windows of numbers and units
@@ -72,9 +83,10 @@ def windows(df: DataFrame, length: int = WINDOW) -> DataFrame:
         F.col("plain"), masked("open").alias("open"), F.when(both, masked("named")).alias("named"),
         F.when(bare, F.transform("words", lambda w: F.xxhash64(w))).alias("raw")))).alias("h"))
     n = F.size("codes") - length + 1
-    hashes = lambda name: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(f"h.{name}", i, length)))
-    mixed = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.array_max(F.slice("codes", i, length)) < NAME, F.xxhash64(
-        F.slice("h.raw", i, length))).otherwise(F.xxhash64(F.slice("h.plain", i, length))))
+    hashes = lambda name: F.slice(_rolled(F.col(f"h.{name}"), length, F.xxhash64), 1, n)
+    most = F.slice(_rolled(F.col("codes"), length, F.greatest), 1, n)
+    mixed = F.zip_with(F.zip_with(hashes("raw"), hashes("plain"), lambda r, p: F.struct(r.alias("r"), p.alias("p"))), most,
+                       lambda h, c: F.when(c < NAME, h["r"]).otherwise(h["p"]))
     none = F.array().cast("array<bigint>")
     found = F.concat(F.when(F.col("h.raw").isNull(), hashes("plain")).otherwise(mixed), hashes("open"),
                      F.when(F.col("h.named").isNotNull(), hashes("named")).otherwise(none))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from domlake.llm import byte_bpe, common, phrases, whitening
+from domlake.llm import byte_bpe, common, decontaminate, phrases, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, component string, n string"
 
@@ -257,3 +257,15 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         for i in range(t.rows):
             assert ids[rows[i]:rows[i + 1]].tolist() == ENCODING.encode_ordinary(texts[t.first + i])
         assert len(coder.known) < 600
+
+
+def test_window_hashes_do_not_read_the_text_for_each_window(spark):
+    rows = [(1, list("abcabcabcabd"), [4] * 12), (2, list("xabcabcabcab"), [4] * 12), (3, ["a"], [4]), (4, ["1", "2"] * 6, [0] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, words array<string>, codes array<int>")
+    for length in range(1, 10):
+        found = decontaminate.windows(df, length)
+        assert "xxhash64(slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.doc_id, r["at"]): r.hash for r in found.where("template = 0").collect()}
+        want = {(i, at): tuple(w[at: at + length]) for i, w, _ in rows for at in range(len(w) - length + 1)}
+        assert got.keys() == want.keys()
+        assert len(set(got.values())) == len(set(want.values())) == len(set(zip(got.values(), (want[k] for k in got), strict=True)))
