@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most keys a semi-join may broadcast; beyond it both sides are shuffled.
 BROADCAST_KEYS = 500_000
+#: Links that a task of the component search reads.
+LINKS_A_TASK = 100_000
 #: Bytes of text that numpy works on at once.
 CHUNK = 1 << 19
 #: Space and the control characters tab to carriage return end a word.
@@ -76,9 +78,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star (Kiveris et al. 2014) until nothing changes, so paths shrink
     by halves. A node with many links is only ever grouped for a minimum, which combines before the
-    shuffle, and joined back. An empty table gives an empty table."""
+    shuffle, and joined back. Links never grow in number, so a few are not read by more tasks than they need, each
+    of which would leave files of its own for every shuffle. An empty table gives an empty table."""
     links = checkpoint(edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = links.count() // LINKS_A_TASK + 1
+    if tasks < links.rdd.getNumPartitions():
+        links = links.coalesce(tasks)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -89,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v"))))
                          .alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        following = checkpoint(small)
+        following = checkpoint(small.coalesce(tasks))
         left = links.select("u", "v", F.lit(1).alias("s")).unionByName(
             following.select("u", "v", F.lit(-1).alias("s")))
         changed = left.groupBy("u", "v").agg(F.sum("s").alias("s")).where("s <> 0").limit(1).count()

@@ -347,7 +347,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         new = common.checkpoint(verified(pairs.repartition(4 * common.shuffle_width(spark), "a", "b"), index))
         open_ = now.select("list", "set", "n", *_WORDS)
         if new.limit(1).count():
-            links = common.checkpoint(links.unionByName(new))
+            links = common.checkpoint(links.unionByName(new.coalesce(common.shuffle_width(spark))))
             part = common.components(links)
     if part is None:
         part = spark.createDataFrame([], "id long, component long")

@@ -269,3 +269,15 @@ def test_window_hashes_do_not_read_the_text_for_each_window(spark):
         want = {(i, at): tuple(w[at: at + length]) for i, w, _ in rows for at in range(len(w) - length + 1)}
         assert got.keys() == want.keys()
         assert len(set(got.values())) == len(set(want.values())) == len(set(zip(got.values(), (want[k] for k in got), strict=True)))
+
+
+def test_few_links_are_read_by_few_tasks(spark, monkeypatch):
+    tasks, real = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: tasks.append(df.rdd.getNumPartitions()) or real(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(41)}
+    assert len(tasks) > 2 and set(tasks[1:]) == {1}
