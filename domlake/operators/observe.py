@@ -206,9 +206,8 @@ def live_region_ancestor(dom: DataFrame) -> DataFrame:
         | F.try_element_at("attributes", F.lit("aria-live")).isin("polite", "assertive")
     ).filter(F.upper("node_name") != "BODY").select(
         "snapshot_id", F.col("id").alias("live_id"))
-    up = dom.filter(F.col("node_type") == 3).select(
-        "snapshot_id", "id", F.posexplode(F.transform("ancestors", lambda a: a.id))
-        .alias("pos", "live_id"))
+    above = F.col("ancestor_ids") if "ancestor_ids" in dom.columns else F.transform("ancestors", lambda a: a.id)
+    up = dom.filter(F.col("node_type") == 3).select("snapshot_id", "id", F.posexplode(above).alias("pos", "live_id"))
     return up.join(live, ["snapshot_id", "live_id"]).groupBy("snapshot_id", "id").agg(
         F.min_by("live_id", "pos").alias("live_id"))
 
