@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..operators import layers, observe, render
 from ..operators.diff import compute_diff
-from ..schema import bbox, make_nodes
+from ..schema import ELEMENT_COLUMNS, bbox, make_nodes
 from ..sources.html import html_to_dom
 from . import adapters as a
 from .catalog import ORACLES, query
@@ -80,12 +80,14 @@ _HTML = "".join(f'{m} id="{n}" aria-label="{n}"><button>Go {n}</button></{m[1:].
 def _(spark, d):
     pages = a.table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), "p_size", F.concat(
         F.lit("<html><body>"), F.lit(_HTML), F.lit("</body></html>")).alias("html"))
-    dom = html_to_dom(a.spread(spark, d, pages.select("page_id", "html"), "page_id"))
+    documents = a.spread(spark, d, pages.select("page_id", "html"), "page_id")
+    dom = html_to_dom(documents, texts=False, columns=ELEMENT_COLUMNS)
+    marked = html_to_dom(documents, columns=("id", "attributes"))
     place = F.create_map(*[x for n, _, (x, y, z), *_ in _OVERLAYS for x in (F.lit(n), F.struct(
         F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")))])
     at = F.try_element_at(place, F.try_element_at("attributes", F.lit("id")))
     flat = (F.col("p_size") % 2 == 1).cast("int")
-    layouts = dom.withColumn("at", at).filter("at IS NOT NULL").join(
+    layouts = marked.withColumn("at", at).filter("at IS NOT NULL").join(
         pages.select(F.col("page_id").alias("snapshot_id"), "p_size"), "snapshot_id").select(
         "snapshot_id", "id", "at.x", "at.y", F.lit(90).alias("w"), F.lit(40).alias("h"), F.lit("block").alias("display"),
         F.lit("visible").alias("visibility"), F.lit(None).cast("string").alias("clip_path"), (F.col("at.z") * flat).alias("z_index"))
@@ -97,7 +99,7 @@ def _(spark, d):
         marks, keys=["snapshot_id"], node_id=F.col("name"), kind=F.when(F.col("role") == "navigation", "navigation").otherwise("section"),
         label=F.col("name"), doc_order=F.lit(0), attributes={"role": F.col("role")},
         layout={"bbox": bbox("x", "y", "w", "h"), "z_index": F.col("z") * F.col("flat")}), allowMissingColumns=True)
-    names = dom.select("snapshot_id", F.col("id").cast("string").alias("node_id"), F.try_element_at("attributes", F.lit("id")).alias("name"))
+    names = marked.select("snapshot_id", F.col("id").cast("string").alias("node_id"), F.try_element_at("attributes", F.lit("id")).alias("name"))
     found = layers.detect_layers(nodes, 0.5).join(names, ["snapshot_id", "node_id"], "left")
     return found.select(F.col("snapshot_id").alias("page_id"), F.coalesce("name", "node_id").alias("name"), "type", "confidence", "z")
 
